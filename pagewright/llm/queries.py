@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["tokens", "leaks", "repetition"]
+MODULES = ["near_duplicates", "tokens", "leaks", "repetition"]
 
 
 def _modules() -> list:
