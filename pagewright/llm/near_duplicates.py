@@ -34,6 +34,8 @@ from pagewright.session import materialize, table
 SPAN, LIMIT, LEAST_WORDS = 3, 0.6, 30
 PARTS, SLOTS = 36, 3
 MISS = 5e-4
+#: Ratio of the size classes that a class key carries in its last byte.
+SIZE_STEP = 1.05
 #: Numbers of a tug-of-war sketch; its relative error is about sqrt(2 / COPIES).
 COPIES = 32
 U64, U32 = np.uint64, np.uint32
@@ -116,7 +118,7 @@ def allocate(cost: dict[tuple[int, int], float], limit: float = LIMIT, miss: flo
 
 
 def _sets(rows: DataFrame, span: int, least: int) -> DataFrame:
-    """(code, ka, kb, n, shingles) of the rows (code, text) with enough words."""
+    """(code, ka, kb, shingles) of the rows (code, text) with enough words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,13 +126,14 @@ def _sets(rows: DataFrame, span: int, least: int) -> DataFrame:
             for place, shingles, begin in shingle_sets(b.column(1).to_pylist(), span, least):
                 wide = shingles.astype(U64)
                 ka, kb = (np.add.reduceat(kernel.mix(wide + U64(s)), begin[:-1]).view(np.int64) for s in (1 << 40, 1 << 50))
+                ka = ka & ~np.int64(255) | size_code(np.diff(begin))
                 data = pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer((begin * 4).astype(np.int32)), pa.py_buffer(shingles)])
                 yield pa.RecordBatch.from_arrays(
-                    [codes.take(pa.array(place)), pa.array(ka), pa.array(kb), pa.array(np.diff(begin).astype(np.int32)), data],
-                    names=["code", "ka", "kb", "n", "shingles"],
+                    [codes.take(pa.array(place)), pa.array(ka), pa.array(kb), data],
+                    names=["code", "ka", "kb", "shingles"],
                 )
 
-    return rows.mapInArrow(run, "code long, ka long, kb long, n int, shingles binary")
+    return rows.mapInArrow(run, "code long, ka long, kb long, shingles binary")
 
 
 def _slots(column: pa.Array) -> np.ndarray:
@@ -163,23 +166,34 @@ def estimated_candidates(sets: DataFrame) -> dict[tuple[int, int], float]:
     return {(i, t): float(moment[i, t]) for i in range(PARTS) for t in (0, 1)}
 
 
+def size_code(n: np.ndarray) -> np.ndarray:
+    """A set's size on a logarithmic scale of 256 steps; larger sizes share the last one."""
+    return np.minimum(np.floor(np.log(n) / np.log(SIZE_STEP)), 255).astype(np.int64)
+
+
 def candidate_classes(sets: DataFrame, thresholds: list[int], limit: float = LIMIT) -> DataFrame:
-    """(a, b): class keys that share a probe key and whose sizes allow the similarity, each once."""
+    """(a, b): class keys that share a probe key and whose sizes allow the similarity, each once.
+
+    Probes of one class are merged within a batch before they are shuffled and over all batches
+    behind the shuffle, which is the only one: the self-join uses the same partitioning.
+    """
     used = [(i, t) for i, t in enumerate(thresholds) if t >= 0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not len(b):
                 continue
-            slots = _slots(b.column(2))
+            keys, first = np.unique(b.column(0).to_numpy(), return_index=True)
+            slots = _slots(b.column(1).take(pa.array(first)))
             for i, t in used:
                 for key in probe_keys(slots, i, t):
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0), b.column(1)], names=["probe", "class", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(keys)], names=["probe", "class"])
 
-    probes = sets.select("ka", "n", "shingles").mapInArrow(run, "probe long, class long, n int").distinct()
-    left, right = (probes.select("probe", F.col("class").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    return left.join(right, "probe").where((F.col("a") < F.col("b")) & (small >= limit * large)).select("a", "b").distinct()
+    probes = sets.select("ka", "shingles").mapInArrow(run, "probe long, class long").repartition("probe").dropDuplicates()
+    left, right = (probes.select("probe", F.col("class").alias(x)) for x in "ab")
+    apart = int(np.ceil(-np.log(limit) / np.log(SIZE_STEP))) + 1
+    sizes = F.abs(F.col("a").bitwiseAND(F.lit(255)) - F.col("b").bitwiseAND(F.lit(255)))
+    return left.join(right, "probe").where((F.col("a") < F.col("b")) & (sizes <= apart)).select("a", "b").distinct()
 
 
 def _verified(pairs: DataFrame, limit: float) -> DataFrame:
