@@ -218,8 +218,11 @@ def similar_classes(rows: DataFrame, span: int = SPAN, limit: float = LIMIT, lea
     ``rows`` has code (a unique long, not null) and text. A class is the records with equal shingle
     sets, named by its smallest code. Null, empty and shorter texts are in no class.
     """
-    sets = materialize(_sets(rows.select("code", "text"), span, least), "p1-sets")
-    reps = sets.groupBy("ka", "kb").agg(F.min("code").alias("class"))
+    # Sets are as large as the texts and cheap to make, so they are made again where they are needed
+    # rather than kept on disk; only their keys are.
+    sets = _sets(rows.select("code", "text"), span, least)
+    keys = materialize(sets.select("code", "ka", "kb"), "p1-keys")
+    reps = keys.groupBy("ka", "kb").agg(F.min("code").alias("class"))
     links = candidate_classes(sets, allocate(estimated_candidates(sets), limit), limit)
     data = sets.select(F.col("code").alias("c"), "shingles")
     for key, name, s in (("a", "x", "sx"), ("b", "y", "sy")):
@@ -227,7 +230,7 @@ def similar_classes(rows: DataFrame, span: int = SPAN, limit: float = LIMIT, lea
     for name, s in (("x", "sx"), ("y", "sy")):
         links = links.join(data.select(F.col("c").alias(name), F.col("shingles").alias(s)), name)
     found = _verified(links.select("x", "y", "sx", "sy"), limit).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "similarity")
-    return sets.select("code", "ka", "kb").join(reps, ["ka", "kb"]).select("code", "class"), found
+    return keys.join(reps, ["ka", "kb"]).select("code", "class"), found
 
 
 #: The tables that hold contents, with their ids. A record's code is its id times the number of tables, plus the table's place.
