@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["near_duplicates", "seen", "boilerplate", "residue", "mojibake", "tokens", "leaks", "repetition"]
+MODULES = ["near_duplicates", "markup", "seen", "boilerplate", "residue", "mojibake", "tokens", "leaks", "repetition"]
 
 
 def _modules() -> list:
