@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list[str] = ["nested"]
+MODULES: list[str] = ["web", "nested"]
 
 
 def _modules() -> list:

@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space: Unicode's, as Go's and Python's ``split`` see it.
 SPACE = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -27,7 +28,7 @@ def strip_zero_width(c: Column) -> Column:
     return F.translate(c, "​‌‍⁠﻿", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_unescape(c: pd.Series) -> pd.Series:
     """Entities decoded; null stays null."""
     return c.map(lambda s: s if s is None or "&" not in s else html.unescape(s))
