@@ -170,3 +170,14 @@ def find_by_text(nodes: DataFrame, text: str, partial: bool = False, case: bool
 def find_by_regex(nodes: DataFrame, pattern: str) -> DataFrame:
     """Elements whose own text matches somewhere."""
     return elements(nodes).where(F.col("text_direct").rlike(pattern))
+
+
+def has_class(c: Column, name: str) -> Column:
+    """Whether a class attribute holds a name."""
+    return F.array_contains(F.split(F.coalesce(c, F.lit("")), r"\s+"), name)
+
+
+def attributes_with(nodes: DataFrame, value: str, partial: bool = False) -> DataFrame:
+    """(page_id, node_id, key, value) of attributes whose value is, or holds, a text."""
+    each = elements(nodes).select("page_id", "node_id", F.explode("attr").alias("key", "value"))
+    return each.where(F.col("value").contains(value) if partial else F.col("value") == value)

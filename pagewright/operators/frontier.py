@@ -137,3 +137,50 @@ def last_n(rows: DataFrame, partition: str, order: str, n: int = 5) -> DataFrame
     """The n latest rows of each partition, ``ago`` 0 for the latest."""
     w = Window.partitionBy(partition).orderBy(F.desc(order))
     return rows.withColumn("ago", F.row_number().over(w) - 1).where(F.col("ago") < n)
+
+
+def limit_per_host(requests: DataFrame, limit: int, order: str) -> DataFrame:
+    """The first requests of each host in scheduling order, as many as the limit; 0 or less has none."""
+    if limit <= 0:
+        return requests
+    w = Window.partitionBy(urls.host(F.col("url"))).orderBy(F.desc("priority"), order)
+    return requests.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limit).drop("__n")
+
+
+def start_times(requests: DataFrame, order: str, delay: Column) -> DataFrame:
+    """With ``starts_at``: seconds after which each request of a host starts if every one waits its
+    delay behind the one before (a simulated clock; nothing sleeps)."""
+    w = Window.partitionBy(urls.host(F.col("url"))).orderBy(F.desc("priority"), order).rowsBetween(Window.unboundedPreceding, -1)
+    return requests.withColumn("__d", delay).withColumn("starts_at", F.coalesce(F.sum("__d").over(w), F.lit(0.0))).drop("__d")
+
+
+def follow_ups(found: DataFrame, origin: DataFrame, referer: bool = True) -> DataFrame:
+    """Requests for links (page_id, url) of the requests that led to them (page_id, and a request's
+    columns with its url as request_url): method, body, headers, session and priority are inherited,
+    forcing isn't."""
+    keep = [c for c in origin.columns if c not in ("page_id", "url", "request_url", "dont_filter", "headers")]
+    out = found.join(origin, "page_id")
+    headers = F.coalesce(F.col("headers"), F.create_map().cast("map<string,array<string>>"))
+    if referer:
+        headers = F.map_concat(F.map_filter(headers, lambda k, v: F.lower(k) != "referer"), F.create_map(F.lit("Referer"), F.array("request_url")))
+    return out.select("page_id", found["url"].alias("url"), *keep, headers.alias("headers"), F.lit(False).alias("dont_filter"))
+
+
+def backoff(attempt: Column, delay: float, attempts: int = 3) -> Column:
+    """Seconds to wait before an attempt (from 1): none before the first, null beyond the last."""
+    return F.when(attempt > attempts, F.lit(None).cast("double")).when(attempt <= 1, 0.0).otherwise(delay * F.pow(F.lit(2.0), attempt - 2))
+
+
+def redirect_history(start: DataFrame, hops: DataFrame, limit: int = 30) -> DataFrame:
+    """(url, final_url, history): chains of redirects (source, target), followed up to a limit. Each
+    hop is one join of the chains that still move, so work shrinks with them."""
+    moving = start.select("url", F.col("url").alias("final_url"), F.array().cast("array<string>").alias("history"))
+    done = None
+    for _ in range(limit):
+        step = materialize(moving.join(hops.withColumnRenamed("source", "final_url").dropDuplicates(["final_url"]), "final_url", "left"), "hops")
+        still = step.where(F.col("target").isNull() | F.array_contains("history", F.col("target"))).select("url", "final_url", "history")
+        done = still if done is None else done.unionByName(still)
+        moving = step.where(F.col("target").isNotNull() & ~F.array_contains("history", F.col("target"))).select("url", F.col("target").alias("final_url"), F.concat("history", F.array("final_url")).alias("history"))
+        if moving.isEmpty():
+            return done
+    return done.unionByName(moving)
