@@ -10,7 +10,7 @@ from pagewright.functions import json_path
 from pagewright.functions import text as T
 from pagewright.functions import urls
 from pagewright.operators import adaptive, frontier, links, merge, robots, views
-from pagewright.session import table
+from pagewright.session import materialize, table
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
@@ -218,7 +218,7 @@ def q_fingerprints(spark: SparkSession, d: str) -> DataFrame:
 def q_schedule(spark: SparkSession, d: str) -> DataFrame:
     """Requests that a scheduler takes, in the order it gives them out, within each crawl."""
     own = frontier.with_fingerprint(table(spark, d, "scheduler_requests").select("request_id", "crawl_id", "url", "method", "sid", "body", "priority", "dont_filter", "fingerprint"))
-    own = own.where("btrim(fingerprint, ' \t\n\r') <> ''")
+    own = materialize(own.where("btrim(fingerprint, ' \t\n\r') <> ''"), "schedule")  # fingerprints are made once
     return frontier.dequeue_order(frontier.accepted(own, "request_id"), "request_id", "crawl_id").select("crawl_id", "request_id", "place")
 
 
