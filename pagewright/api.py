@@ -186,3 +186,17 @@ class Document:
 
 def parse(source: str | None, url: str = "") -> Document:
     return Document(source, url)
+
+
+def render(document: Document, name: str, selector: str = "") -> str:
+    """A document, or a selection of it, as the extension of a file name tells: markup for html and htm,
+    Markdown for md, text for txt and none; another extension is an error."""
+    extension = name.rpartition(".")[2].lower() if "." in name else ""
+    chosen = document.css(selector) if selector else None
+    if extension in ("html", "htm"):
+        return "\n".join(chosen.get_all()) if chosen is not None else document.html
+    if extension == "md":
+        return document.markdown if chosen is None else "\n\n".join(views.markdown(e.node) for e in chosen)
+    if extension in ("txt", ""):
+        return chosen.text if chosen is not None else document.css("body").text
+    raise ValueError(f"unknown extension {extension}")

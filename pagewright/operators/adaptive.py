@@ -163,6 +163,25 @@ def similar(elements: DataFrame, least: float = 0.2, ignore: tuple[str, ...] = (
     return both.select("page_id", "node_id", "other_id", F.round(s, 12).alias("score")).where(F.col("score") >= least)
 
 
+def select_adaptive(pages: DataFrame, selector: str, identifier: str, stored: DataFrame, least: float = ACCEPT) -> tuple[DataFrame, DataFrame]:
+    """(found, to_save): elements that a selector selects and, on pages where it selects none, the
+    relocated element of the stored fingerprint.
+
+    ``found`` is (page_id, node_id, relocated), ``to_save`` (domain, identifier, fp) of each domain's
+    first hit, for ``upsert``. Each page is parsed once for fingerprints and once for the selector.
+    """
+    from pagewright.dom.nodes import select_all
+    from pagewright.functions import urls
+
+    hits = select_all(pages, {identifier: selector}).select("page_id", "node_id").distinct()
+    fps = element_fingerprints(pages).withColumn("domain", urls.adaptive_domain(F.col("url"))).drop("url")
+    missed = fps.join(hits.select("page_id"), "page_id", "left_anti")
+    again = relocate(missed, stored.where(F.col("identifier") == identifier), least)
+    found = hits.withColumn("relocated", F.lit(False)).unionByName(again.select("page_id", "node_id", F.lit(True).alias("relocated")))
+    first = fps.join(hits, ["page_id", "node_id"]).groupBy("domain").agg(F.min_by("fp", F.struct("page_id", "node_id")).alias("fp"))
+    return found, first.select("domain", F.lit(identifier).alias("identifier"), "fp")
+
+
 # Stores of fingerprints: (domain, identifier, fp, version)
 
 

@@ -113,3 +113,25 @@ def test_sources_take_nulls(spark):
     cache = spark.createDataFrame([(1, " u ", 200, "OK", "4Q==", "latin1", {"CONTENT-type": ["Text/HTML; charset=x"]}, None, None)], "record_id long, url string, status int, reason string, content string, encoding string, headers map<string,array<string>>, method string, stored_at timestamp")
     r = responses.responses(cache).collect()[0]
     assert (r["text"], r["media_type"], r["method"], r["url"]) == ("á", "text/html", "GET", "u")
+
+
+def test_adaptive_selection(spark):
+    old = '<div class="card"><h2 class="t">Trail Kit</h2></div>'
+    new = '<div class="card"><h2 class="u">Trail Kit</h2></div>'
+    pages = spark.createDataFrame([(1, "http://a.test/", old), (2, "http://a.test/2", new), (3, "http://a.test/3", None)], "page_id long, url string, html string")
+    none = spark.createDataFrame([], f"domain string, identifier string, fp {adaptive.FINGERPRINT}")
+    found, save = adaptive.select_adaptive(pages, "h2.t", "title", none)
+    assert [(r["page_id"], r["relocated"]) for r in found.collect()] == [(1, False)]
+    found, _ = adaptive.select_adaptive(pages, "h2.t", "title", save)
+    assert sorted((r["page_id"], r["relocated"]) for r in found.collect()) == [(1, False), (2, True)]
+
+
+def test_render():
+    import pytest
+
+    from pagewright.api import parse, render
+
+    d = parse("<h1>T</h1><p>x <b>y</b></p>")
+    assert render(d, "a.md") == "# T\n\nx y" and render(d, "a.txt", "b") == "y" and render(d, "a.html", "b") == "<b>y</b>" and render(d, "a") == "T x y"
+    with pytest.raises(ValueError):
+        render(d, "a.pdf")
