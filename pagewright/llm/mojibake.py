@@ -5,10 +5,13 @@ one of the latter; tokens that stand alone between quotation marks are quotation
 
 Every distinct token of the corpus is taken as a word, and its garbled form under every chain
 (written in one encoding, read in another; lossy ones leave U+FFFD) is generated, with the word's
-document count. The table is hash-joined with the corpus's tokens. A match is verified: forms of
-UTF-8 texts carry UTF-8's byte structure and can't arise by chance; forms of single-byte chains must
-have three characters and the word must be at least as common as the form. Chains of chains need no
-entries of their own, since a garbled token is itself a token with its garbled forms.
+counts. The table is hash-joined with the corpus's tokens. A match is verified: forms of UTF-8 texts
+carry UTF-8's byte structure and can't arise by chance; forms of single-byte chains must have three
+characters, and since such a chain can be read both ways, its direction is told by the letters: the
+form must have more ``oddities`` than the word. Where both have as many, the word must stand on at
+least as many hosts; a host counts once however many records it has, so no host turns the count
+round (records without a host count each). Where hosts are as many too, records decide. Chains of
+chains need no entries of their own, since a garbled token is itself a token with its garbled forms.
 
 Tokens whose original never occurs clean (names) have no entry; those are read back directly where
 their characters are, as a whole, well-formed UTF-8 read in another encoding. U+FFFD and control
@@ -18,6 +21,7 @@ characters U+0080-U+009F are wrong letters in themselves.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.functions import urls
 from pagewright.llm.bodies import body_text
 from pagewright.session import materialize, table
 
@@ -118,6 +123,37 @@ def read_back(token: str) -> str | None:
 
 
 WRONG = re.compile("[�\x80-\x9f]")
+#: Signs that stand beside a letter in clean texts, and those that stand between two.
+SIGNS = frozenset("’‘‚‛“”„‟«»‹›–—―‑‐…•·°©®™§€£¥\u00a0\u202f\u200b\u200c\u200d\ufeff¿¡²³¹½¼¾")
+BETWEEN = frozenset("’‘“”„«»–—―‑‐…·\u00a0\u202f\u200b\u200c\u200d\ufeff")
+#: Accented Latin letters in a row that words have at most.
+ROW = 4
+
+
+def _script(c: str) -> str:
+    if c in "ªº" or not c.isalpha():
+        return ""
+    if c < "\u0250" or "\u1e00" <= c < "\u1f00":
+        return "latin"
+    return "cyrillic" if "\u0400" <= c < "\u0530" else "greek" if "\u0370" <= c < "\u0400" or "\u1f00" <= c < "\u2000" else "other"
+
+
+def oddities(token: str) -> int:
+    """Places of a token that clean words hardly have: strange signs beside or between letters,
+    letters of two scripts side by side, capitals behind small letters, accented Latin letters only."""
+    scripts = [_script(c) for c in token]
+    n = row = 0
+    for i, c in enumerate(token):
+        left, right = scripts[i - 1] if i else "", scripts[i + 1] if i + 1 < len(token) else ""
+        if scripts[i]:
+            n += bool(left) and (left != scripts[i] or token[i - 1].islower() and c.isupper() and not c.isascii())
+            row = row + 1 if scripts[i] == "latin" and c > "\x7f" else 0
+            n += row > ROW
+        else:
+            row = 0
+            if c > "\x7f" and not unicodedata.combining(c):
+                n += bool(left and right) and c not in BETWEEN or bool(left or right) and c not in SIGNS
+    return n + (len(token) > 2 and all(s == "latin" and c > "\x7f" for s, c in zip(scripts, token, strict=True)))
 
 
 def tokens(text: str) -> Iterator[tuple[int, int, bool]]:
@@ -134,16 +170,17 @@ def tokens(text: str) -> Iterator[tuple[int, int, bool]]:
         yield a, b, core_a < core_b and before in OPEN and after in CLOSE and not any(c.isascii() and c.isalpha() for c in text[core_a:core_b])
 
 
-TOKENS = "record_id long, token string, n long"
+TOKENS = "record_id long, token string, n long, source long"
 
 
 def record_tokens(df: DataFrame) -> DataFrame:
-    """(record_id, token, n): the distinct unquoted tokens of each record's body."""
+    """(record_id, token, n, source): the distinct unquoted tokens of each record's body. The source is
+    a hash of the host of its url, or the record's own where it has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, found, counts = [], [], []
-            for i, content, encoding in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            ids, found, counts, sources = [], [], [], []
+            for i, content, encoding, source in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 text = body_text(content, encoding)
                 if text.isascii():
                     continue
@@ -156,28 +193,39 @@ def record_tokens(df: DataFrame) -> DataFrame:
                 ids += [i] * len(own)
                 found += own
                 counts += own.values()
+                sources += [source] * len(own)
             found = [t.encode("utf-8", "replace").decode() for t in found]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string()), pa.array(counts, pa.int64())], names=["record_id", "token", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string()), pa.array(counts, pa.int64()), pa.array(sources, pa.int64())], names=["record_id", "token", "n", "source"])
 
-    return df.where(F.col("record_id").isNotNull()).select("record_id", "content", "encoding").mapInArrow(run, TOKENS)
+    own = F.xxhash64(F.lit("record"), "record_id")
+    source = F.coalesce(F.when(urls.host(F.col("url")) != "", F.xxhash64(urls.host(F.col("url")))), own) if "url" in df.columns else own
+    return df.where(F.col("record_id").isNotNull()).select("record_id", "content", "encoding", source.alias("source")).mapInArrow(run, TOKENS)
 
 
 def garbled_tokens(pairs: DataFrame) -> DataFrame:
-    """(token, original): the garbled tokens of (record_id, token), with the original where known."""
-    words = pairs.groupBy("token").agg(F.count("*").alias("documents"))
+    """(token, original): the garbled tokens of (record_id, token, source), with the original where known."""
+    words = pairs.groupBy("token", "source").agg(F.count("*").alias("documents")).groupBy("token").agg(F.count("*").alias("sources"), F.sum("documents").alias("documents"))
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            g, w, k, n = [], [], [], []
-            for word, documents in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            g, w, k, o, m, n = [], [], [], [], [], []
+            for word, sources, documents in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if WRONG.search(word):
                     continue
                 own = garbled_forms(word)
+                odd = oddities(word)
                 g += own
                 k += own.values()
                 w += [word] * len(own)
+                o += [odd] * len(own)
+                m += [sources] * len(own)
                 n += [documents] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(g, pa.string()), pa.array(w, pa.string()), pa.array(k, pa.string()), pa.array(n, pa.int64())], names=["token", "word", "kind", "word_documents"])
+            columns = [pa.array(x, t) for x, t in ((g, pa.string()), (w, pa.string()), (k, pa.string()), (o, pa.int64()), (m, pa.int64()), (n, pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["token", "word", "kind", "word_odd", "word_sources", "word_documents"])
+
+    def odd_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([oddities(t) for t in b.column(0).to_pylist()], pa.int64())], names=["token", "sources", "documents", "odd"])
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,11 +233,11 @@ def garbled_tokens(pairs: DataFrame) -> DataFrame:
             rows = [(t, u) for t, u in rows if u is not None or WRONG.search(t)]
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.string()), pa.array([u for _, u in rows], pa.string())], names=["token", "original"])
 
-    table_ = words.mapInArrow(forms, "token string, word string, kind string, word_documents long")
-    joined = words.join(table_, "token").where(
-        (F.col("kind") != "byte") | (F.char_length("token") >= 3) & (F.col("word_documents") >= F.col("documents"))
-    )
-    best = joined.groupBy("token").agg(F.max_by("word", F.struct(F.col("kind") == "utf", "word_documents", "word")).alias("original"))
+    table_ = words.mapInArrow(forms, "token string, word string, kind string, word_odd long, word_sources long, word_documents long")
+    # both readings of a single-byte chain are words of the corpus; the likelier is the word
+    likelier = F.struct(-F.col("word_odd"), "word_sources", "word_documents") >= F.struct(-F.col("odd"), "sources", "documents")
+    joined = words.mapInArrow(odd_of, "token string, sources long, documents long, odd long").join(table_, "token").where((F.col("kind") != "byte") | (F.char_length("token") >= 3) & likelier)
+    best = joined.groupBy("token").agg(F.max_by("word", F.struct(F.col("kind") == "utf", -F.col("word_odd"), "word_sources", "word_documents", "word")).alias("original"))
     own = words.select("token").mapInArrow(direct, "token string, original string")
     return best.unionByName(own).groupBy("token").agg(F.first("original", ignorenulls=True).alias("original"))
 
@@ -226,7 +274,7 @@ def restored(df: DataFrame) -> DataFrame:
     Each unquoted garbled token is replaced by its verified original, again where that is garbled
     too. ``complete`` tells whether no wrong letter is left.
     """
-    df = df.where(F.col("record_id").isNotNull()).select("record_id", "content", "encoding")
+    df = df.where(F.col("record_id").isNotNull())
     pairs = materialize(record_tokens(df), "p7")
     bad = materialize(garbled_tokens(pairs), "p7-tokens")
     again = bad.select(F.col("token").alias("original"), F.col("original").alias("deeper"))

@@ -104,6 +104,23 @@ def test_garbled_records(spark):
     assert fixed == {10: (words, True), 20: (words, True)}
 
 
+def test_garbled_host(spark):
+    """A host with a third of the rows garbles: its forms are commoner than the clean words."""
+    russian = "Привет большой страны народ говорит правду"
+    hungarian = "női erdők felhők időben"
+    data = []
+    for i in range(60):
+        host, text = (f"h{i % 6}.test", russian if i < 4 else hungarian if i < 8 else "plain words") if i % 3 else ("hot.test", "")
+        body = text.encode() if text else f"{russian.encode('cp1251').decode('latin-1')} {hungarian.encode('cp1250').decode('latin-1')}".encode()
+        data.append((i, f"http://{host}/{i}", base64.b64encode(body).decode(), "utf-8"))
+    df = spark.createDataFrame(data, "record_id long, url string, content string, encoding string")
+    pairs = mojibake.record_tokens(df)
+    bad = mojibake.garbled_tokens(pairs).select("token")
+    assert {r[0] for r in pairs.join(bad, "token", "left_semi").select("record_id").distinct().collect()} == set(range(0, 60, 3))
+    fixed = {r["record_id"]: r["text"] for r in mojibake.restored(df).collect()}
+    assert fixed == {i: f"{russian} {hungarian}" for i in range(0, 60, 3)}
+
+
 def test_encoding_frame(spark):
     d = spark.createDataFrame([(1, "x y", "z"), (2, None, "z"), (None, "", "z")], "doc_id long, text string, ids string")
     got = {r["doc_id"]: r["ids"] for r in T.encode_texts(d, "doc_id", "text").collect()}
