@@ -4,9 +4,9 @@ A text, however the four are mixed, is parsed into leaves, each with its root-to
 (``body/ul/li``, ``md/p/em``), its text and its kind. Text length and punctuation are aggregated per
 path; both are divided by the number of leaves (the path ratios), smoothed along the order in which
 paths first appear, and fused by their geometric mean. Paths whose score reaches the threshold (a part
-of the mean over all leaves) are content nodes. Headings, lists, code, tables and formulas are kept
-whatever their scores if a content path lies within ``NEAR`` leaves, so structure inside the content
-stays while scripts, styles and link bars go.
+of the mean over all leaves) are content nodes. Headings, lists, code, tables, quotes and formulas are
+kept whatever their scores and however far from a content path, so a block of them is never cut;
+scripts and styles go, and other leaves below the threshold.
 
 A record has markup if any leaf was reached through a construct. Mere punctuation is none: a tag needs
 a known name, mathematics between dollars needs no blank inside its ends and no digit behind it, and
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from pagewright.session import table
 
-#: Part of the mean score that a content path has at least; leaves that structure may be away from one.
-THRESHOLD, NEAR = 0.25, 12
+#: Part of the mean score that a content path has at least.
+THRESHOLD = 0.25
 
 # Names of HTML elements.
 HTML_NAMES = frozenset(
@@ -361,20 +361,12 @@ def path_scores(leaves: list[Leaf]) -> dict[str, float]:
 
 
 def content(leaves: list[Leaf]) -> list[Leaf]:
-    """Content leaves by thresholded path scores, with the structure among them."""
+    """Content leaves by thresholded path scores, and all structure."""
     if not leaves:
         return []
     score = path_scores(leaves)
     bar = THRESHOLD * sum(score[x.path] for x in leaves) / len(leaves)
-    good = [score[x.path] >= bar for x in leaves]
-    near = [i for i, ok in enumerate(good) if ok]
-    out, k = [], 0
-    for i, x in enumerate(leaves):
-        while k + 1 < len(near) and abs(near[k + 1] - i) <= abs(near[k] - i):
-            k += 1
-        if good[i] or x.kind in STRUCTURE and near and abs(near[k] - i) <= NEAR:
-            out.append(x)
-    return out
+    return [x for x in leaves if score[x.path] >= bar or x.kind in STRUCTURE]
 
 
 def rendered(leaves: list[Leaf]) -> str:

@@ -176,3 +176,17 @@ def test_boilerplate_lines_keep_code_and_titles():
 def test_key_columns(spark):
     rows = spark.createDataFrame([(" AB\t",), ("",), (" ",), (None,), ("x y",)], "f string")
     assert [r[0] for r in rows.select(seen.key_of(rows["f"])).collect()] == ["ab", None, None, None, "x y"]
+
+
+def test_long_tables_and_lists_stay_whole():
+    words = "Words, and more; words: of a line. "
+    for n in (60, 500):
+        items, rows = [f"item {i}" for i in range(n)], [f"row {i} value" for i in range(n)]
+        paragraphs = "".join(f"<p>{words * 12}</p>" for _ in range(20))
+        page = f"<h1>Title</h1>{paragraphs}<ul>{''.join(f'<li>{x}</li>' for x in items)}</ul><table>{''.join(f'<tr><td>{x}</td></tr>' for x in rows)}</table>"
+        lines = set(markup.clean(page)[0].split("\n"))
+        assert all(f"- {x}" in lines for x in items)
+        assert all(any(x in line for line in lines) for x in rows)
+        markdown = "# Title\n\n" + f"{words * 12}\n\n" * 20 + "".join(f"- {x}\n" for x in items) + "\n| a | b |\n|---|---|\n" + "".join(f"| {x} | 1 |\n" for x in rows)
+        got = markup.clean(markdown)[0]
+        assert all(f"- {x}\n" in got for x in items) and all(f"{x} | 1" in got for x in rows)
