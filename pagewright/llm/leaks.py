@@ -1,13 +1,15 @@
 """Evaluation passages inside a corpus.
 
-Words of passages and documents are symbols. Every window of ``WIDTH`` consecutive words of an item
-is embedded by CGK's random walk: a walker goes along the window, writes the symbol it stands on,
-and steps on or stays by a random bit that depends on the step and the symbol. Two windows within a
-small edit distance get embeddings at a small Hamming distance, and equal windows equal ones. Of
-each embedding, ``TABLES`` samples of ``SAMPLE`` places are the keys of a locality-sensitive hash;
-document windows look their keys up, and candidates are verified exactly.
-
-The recall of a table for equal windows is 1; each further table raises the recall for edited ones.
+Words of passages and documents are symbols. For whole leaks every window of ``WIDTH`` consecutive
+words of an item is embedded by CGK's random walk: a walker goes along the window, writes the symbol
+it stands on, and steps on or stays by a random bit that depends on the step and the symbol. Equal
+windows get equal embeddings; a sample of ``SAMPLE`` places is the key, and candidates are verified.
+
+For near leaks samples of the walk would miss edits at early places, so the keys are exact: an item's
+window is cut into one block more than there may be edits. So many edits leave a block unbroken, and
+move it by so many places at most; a document's window has a key for each block at each such place.
+Nothing within the edits is missed; candidates are verified by their edit distance.
+
 Only two filters of fixed size, whatever the number of items, travel to the tasks: the set of item
 words and the set of item keys, both as bitmaps without false negatives. The lookup itself is a join.
 """
@@ -34,7 +36,7 @@ WORD_BITS, KEY_BITS = 20, 24
 U64 = np.uint64
 _rng = np.random.default_rng(20240209)
 _SEEDS = _rng.integers(1, 2**63, STEPS, dtype=np.uint64) | U64(1)
-#: The walk of an edited window drifts apart behind the edit, so half of the tables sample early places.
+#: Of the tables, whole leaks need the first alone.
 _PLACES = [np.sort(_rng.choice(STEPS if t % 2 else STEPS // 2, SAMPLE, replace=False)) for t in range(TABLES)]
 
 
@@ -54,6 +56,20 @@ def embed_keys(symbols: np.ndarray, starts: np.ndarray, tables: int, width: int
     return keys
 
 
+def block_keys(symbols: np.ndarray, starts: np.ndarray, width: int, edits: int, moved: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """(block, keys) of the windows: of each of ``edits`` + 1 blocks, and if ``moved`` at each place in
+    the window that it may be moved to."""
+    size = width // (edits + 1)
+    if not size:
+        raise ValueError("a window needs more words than edits")
+    grams = np.zeros(len(symbols) - size + 1, U64)
+    for j in range(size):
+        grams = kernel.mix(grams ^ (symbols[j : len(symbols) - size + 1 + j] + U64(j + 1)))
+    for k in range(edits + 1):
+        for at in range(max(0, k * size - edits), min(width - size, k * size + edits) + 1) if moved else (k * size,):
+            yield k, kernel.mix(grams[starts + at] + U64(k + 1))
+
+
 def bitmap(values: np.ndarray, bits: int) -> np.ndarray:
     out = np.zeros(1 << bits, bool)
     out[(values >> U64(64 - bits)).astype(np.int64)] = True
@@ -80,35 +96,35 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
-def item_windows(items: DataFrame, id_column: str, text_column: str, width: int, tables: int) -> DataFrame:
+def item_windows(items: DataFrame, id_column: str, text_column: str, width: int, edits: int) -> DataFrame:
     """(item_id, at, tab, key, win): the keys of all windows, and the words' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = np.array(b.column(0).to_pylist(), object)
             for first, block in kernel.blocks(b.column(1).to_pylist()):
-                yield from _emit(kernel.words(block), ids[first : first + len(block)], None, None, width, tables, 0, "item_id")
+                yield from _emit(kernel.words(block), ids[first : first + len(block)], None, None, width, edits, "item_id")
 
     return items.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long"), text_column).mapInArrow(run, "item_id long, at int, tab int, key long, win binary")
 
 
-def _emit(w: kernel.Words, ids: np.ndarray, word_bits, key_bits, width: int, tables: int, strange: int, name: str) -> Iterator[pa.RecordBatch]:
+def _emit(w: kernel.Words, ids: np.ndarray, word_bits, key_bits, width: int, edits: int, name: str) -> Iterator[pa.RecordBatch]:
     known = np.ones(len(w.hashes), bool) if word_bits is None else has(word_bits, w.hashes)
-    starts = window_starts(w, known, width, strange)
+    starts = window_starts(w, known, width, edits)
     if not len(starts):
         return
-    keys = embed_keys(w.hashes, starts, tables, width)
+    keys = block_keys(w.hashes, starts, width, edits, key_bits is not None) if edits else [(0, embed_keys(w.hashes, starts, 1, width)[0])]
     own = w.owner()[starts]
     data = w.hashes.view(np.int64)
-    for t in range(tables):
-        hit = np.arange(len(starts)) if key_bits is None else np.flatnonzero(has(key_bits, keys[t]))
+    for t, key in keys:
+        hit = np.arange(len(starts)) if key_bits is None else np.flatnonzero(has(key_bits, key))
         if not len(hit):
             continue
         s = starts[hit]
         win = np.ascontiguousarray(data[s[:, None] + np.arange(width)])
         binary = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer((np.arange(len(s) + 1) * (8 * width)).astype(np.int32)), pa.py_buffer(win)])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[own[hit]].astype(np.int64)), pa.array((s - w.first[own[hit]]).astype(np.int32)), pa.array(np.full(len(s), t, np.int32)), _signed(keys[t][hit]), binary],
+            [pa.array(ids[own[hit]].astype(np.int64)), pa.array((s - w.first[own[hit]]).astype(np.int32)), pa.array(np.full(len(s), t, np.int32)), _signed(key[hit]), binary],
             names=[name, "at", "tab", "key", "win"],
         )
 
@@ -132,8 +148,8 @@ def _filters(items: DataFrame, text_column: str, windows: DataFrame) -> tuple[np
     return out[0], out[1]
 
 
-def _candidates(spark: SparkSession, items: DataFrame, docs: DataFrame, width: int, tables: int, strange: int) -> DataFrame:
-    windows = item_windows(items, "item_id", "text", width, tables)
+def _candidates(spark: SparkSession, items: DataFrame, docs: DataFrame, width: int, edits: int) -> DataFrame:
+    windows = item_windows(items, "item_id", "text", width, edits)
     word_bits, key_bits = _filters(items, "text", windows)
     shared = spark.sparkContext.broadcast((np.packbits(word_bits), np.packbits(key_bits)))  # 128 kB and 2 MB, always
 
@@ -143,7 +159,7 @@ def _candidates(spark: SparkSession, items: DataFrame, docs: DataFrame, width: i
         for b in batches:
             ids = np.array(b.column(0).to_pylist(), object)
             for first, block in kernel.blocks(b.column(1).to_pylist()):
-                yield from _emit(kernel.words(block), ids[first : first + len(block)], wb, kb, width, tables, strange, "doc_id")
+                yield from _emit(kernel.words(block), ids[first : first + len(block)], wb, kb, width, edits, "doc_id")
 
     found = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, at int, tab int, key long, win binary")
     return found.join(windows.withColumnsRenamed({"at": "item_at", "win": "item_win"}), ["tab", "key"])
@@ -153,10 +169,10 @@ def whole_leaks(spark: SparkSession, items: DataFrame, docs: DataFrame, width: i
     """(doc_id, item_id): documents that hold ``width`` consecutive words of an item unbroken.
 
     ``items`` has item_id and text, ``docs`` doc_id and text; other columns play no part. Null ids
-    and null, empty or shorter texts give nothing; repeated rows give a pair once. One table is
-    enough here: equal windows have equal keys, so nothing is missed.
+    and null, empty or shorter texts give nothing; repeated rows give a pair once. Equal
+    windows have equal keys, so nothing is missed.
     """
-    return _candidates(spark, items, docs, width, 1, 0).where("win = item_win").select("doc_id", "item_id").distinct()
+    return _candidates(spark, items, docs, width, 0).where("win = item_win").select("doc_id", "item_id").distinct()
 
 
 def near_leaks(spark: SparkSession, items: DataFrame, docs: DataFrame, width: int = WIDTH, edits: int = EDITS) -> DataFrame:
@@ -170,7 +186,7 @@ def near_leaks(spark: SparkSession, items: DataFrame, docs: DataFrame, width: in
             ok = np.flatnonzero(got <= edits)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok)), b.column(1).take(pa.array(ok)), pa.array(got[ok], pa.int32())], names=["doc_id", "item_id", "edits"])
 
-    rows = _candidates(spark, items, docs, width, TABLES, edits).select("doc_id", "item_id", "win", "item_win")
+    rows = _candidates(spark, items, docs, width, edits).select("doc_id", "item_id", "win", "item_win")
     return rows.mapInArrow(run, "doc_id long, item_id long, edits int").groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
 
 

@@ -67,6 +67,31 @@ def test_near_leak_recall(spark):
     assert sum(r["doc_id"] == r["item_id"] for r in got.collect()) >= 0.9 * len(items)
 
 
+def test_near_leaks_against_brute_force(spark):
+    import numpy as np
+
+    rng = random.Random(8)
+    items, docs, want = [(i, sentence(rng, 12)) for i in range(300)], [], {}
+    for i, t in items:
+        w = t.split()
+        for _ in range(1 + i % 2):
+            at = rng.randrange(len(w))
+            if i % 3 == 0:
+                w[at] = items[(i + 1) % 300][1].split()[0]
+            elif i % 3 == 1:
+                w.insert(rng.randrange(len(w) + 1), items[(i + 1) % 300][1].split()[0])
+            else:
+                del w[at]
+        w += items[(i + 2) % 300][1].split()[: max(0, 12 - len(w))]
+        docs.append((i, " ".join(w)))
+        codes = {x: k for k, x in enumerate({*t.split(), *w})}
+        own = np.array([[codes[x] for x in t.split()]])
+        want[i] = min(int(leaks.edit_distances(own, np.array([[codes[x] for x in w[s : s + 12]]]))[0]) for s in range(len(w) - 11))
+    got = leaks.near_leaks(spark, spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["edits"] for r in got if r["doc_id"] == r["item_id"]} == {i: n for i, n in want.items() if n <= leaks.EDITS}
+    assert sum(n <= leaks.EDITS for n in want.values()) > 200
+
+
 def test_seen_over_batches(spark, tmp_path):
     requests = [(1, "A", False), (2, " a ", False), (3, None, False), (4, " ", None), (5, "b", True), (6, "b", False), (7, "s", False), (8, "b", False), (9, "hot", False)] + [(10 + i, "hot", False) for i in range(50)]
     r = spark.createDataFrame([(*x, "e") for x in requests], "request_id long, fingerprint string, dont_filter boolean, key string")
