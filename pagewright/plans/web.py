@@ -216,25 +216,50 @@ def q_fingerprints(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_schedule(spark: SparkSession, d: str) -> DataFrame:
-    """Requests that a scheduler takes, in the order it gives them out, within each crawl."""
+    """Requests with a delivered fingerprint that a scheduler takes, in the order it gives them out, within each crawl."""
     own = frontier.with_fingerprint(table(spark, d, "scheduler_requests").select("request_id", "crawl_id", "url", "method", "sid", "body", "priority", "dont_filter", "fingerprint"))
     own = materialize(own.where("btrim(fingerprint, ' \t\n\r') <> ''"), "schedule")  # fingerprints are made once
     return frontier.dequeue_order(frontier.accepted(own, "request_id"), "request_id", "crawl_id").select("crawl_id", "request_id", "place")
 
 
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    """All requests with their computed fingerprints, whether or not they bring one."""
+    return frontier.with_fingerprint(table(spark, d, "scheduler_requests"))
+
+
+def q_fingerprints_all(spark: SparkSession, d: str) -> DataFrame:
+    """Computed fingerprints of all requests; null for a broken URL."""
+    return _requests(spark, d).select("request_id", "fp")
+
+
+def q_schedule_all(spark: SparkSession, d: str) -> DataFrame:
+    """As q_schedule, over all requests."""
+    own = _requests(spark, d).select("request_id", "crawl_id", "priority", "dont_filter", "fp")
+    own = materialize(own, "schedule")  # fingerprints are made once
+    return frontier.dequeue_order(frontier.accepted(own, "request_id"), "request_id", "crawl_id").select("crawl_id", "request_id", "place")
+
+
 def q_schedule_global(spark: SparkSession, d: str) -> DataFrame:
     """Orders in one global priority order."""
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (10 - F.substring("o_orderpriority", 1, 1).cast("int")).alias("priority"))
     return frontier.dequeue_order(rows, "id").select("id", "place")
 
 
-def q_seen(spark: SparkSession, d: str) -> DataFrame:
-    """Requests whose computed fingerprint isn't in any snapshot."""
+def _unseen(spark: SparkSession, d: str, own: DataFrame) -> DataFrame:
     seen = table(spark, d, "scheduler_snapshots").select(F.explode("seen").alias("fp")).distinct()
-    own = table(spark, d, "scheduler_requests").select("request_id", F.lower(F.btrim("fingerprint", F.lit(" \t\n\r"))).alias("fp")).where("fp <> ''")
     return own.join(seen, "fp", "left_anti").select("request_id")
 
 
+def q_seen(spark: SparkSession, d: str) -> DataFrame:
+    """Requests that bring a fingerprint and whose computed one isn't in any snapshot."""
+    return _unseen(spark, d, q_fingerprints(spark, d))
+
+
+def q_seen_all(spark: SparkSession, d: str) -> DataFrame:
+    """Requests whose computed fingerprint isn't in any snapshot; broken URLs have none and are left in."""
+    return _unseen(spark, d, q_fingerprints_all(spark, d))
+
+
 def q_merge(spark: SparkSession, d: str) -> DataFrame:
     """Merged results with their scores."""
     m = merge.merge_results(table(spark, d, "web_extract_results"))

@@ -135,3 +135,23 @@ def test_render():
     assert render(d, "a.md") == "# T\n\nx y" and render(d, "a.txt", "b") == "y" and render(d, "a.html", "b") == "<b>y</b>" and render(d, "a") == "T x y"
     with pytest.raises(ValueError):
         render(d, "a.pdf")
+
+
+def test_requests_without_a_delivered_fingerprint(spark, tmp_path):
+    from pagewright.plans import web
+
+    rows = [
+        (1, 1, "http://a.test/x", "GET", None, None, 0, False, " "),
+        (2, 1, "http://a.test/x", "GET", None, None, 5, False, None),  # a repeat of 1
+        (3, 1, "http://a.test/x", "GET", None, None, 1, True, ""),  # forced
+        (4, 1, "http://a.test/y", "GET", None, None, 2, False, None),
+        (5, 2, "http://a.test/z", "POST", "s", b"b", 0, None, ""),
+    ]
+    schema = "request_id long, crawl_id long, url string, method string, sid string, body binary, priority int, dont_filter boolean, fingerprint string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/scheduler_requests.parquet")
+    d = str(tmp_path)
+    fps = {r["request_id"]: r["fp"] for r in web.q_fingerprints_all(spark, d).collect()}
+    assert len(fps) == 5 and None not in fps.values() and fps[1] == fps[2] == fps[3] and len(set(fps.values())) == 3
+    assert {tuple(r) for r in web.q_schedule_all(spark, d).collect()} == {(1, 4, 1), (1, 3, 2), (1, 1, 3), (2, 5, 1)}
+    spark.createDataFrame([([fps[1]],)], "seen array<string>").write.parquet(f"{tmp_path}/scheduler_snapshots.parquet")
+    assert {r[0] for r in web.q_seen_all(spark, d).collect()} == {4, 5}
