@@ -4,9 +4,10 @@ Tokens are the lines of a page, without list, heading and link markup; for lines
 (menus, breadcrumbs) and lines of several sentences (notices with buttons) the parts are tokens as
 well. The occurrence vector of a token on a host is the set of the host's pages it stands on; it is
 kept as the number of pages and a commutative hash of their keys. Tokens of a host with equal vectors
-form an equivalence class. A class is valid if it is frequent: ``PAGES`` pages, and more the longer a
-token is. The valid classes of a host nest into its template, and tokens that are valid on pages of
-``HOSTS`` hosts belong to the template that all hosts share.
+form an equivalence class. Document frequency decides: a token is template if it stands on ``PAGES``
+pages, more the longer it is, and on the part ``SHARE`` of the host's pages; a class of three tokens or
+more lowers what long tokens need. Order and nesting of classes aren't looked at. Tokens as frequent
+over ``HOSTS`` hosts and their pages belong to the template that all hosts share.
 
 Pages are told apart by what they say, not by where they lie: the key of a page is its title, or else
 a minhash of the word sequences of its paragraphs, so copies and edited copies of one article count as few pages and their paragraphs
@@ -41,8 +42,8 @@ WORDS_A_PAGE = 4
 DIVERSE = 0.5
 #: Lines whose analysis a worker keeps; a page's lines are asked about several times.
 CACHED = 2048
-#: Different pages that copies of a few articles can't have.
-MANY = 40
+#: Part of the pages of a host, or of all hosts that a token stands on, that it must stand on.
+SHARE = 0.005
 #: Characters that a line of a paragraph has at least.
 LONGER = 120
 #: A line that could be an entry of a sidebar has at most so many words.
@@ -276,17 +277,19 @@ def template(seen: DataFrame) -> DataFrame:
     ``seen`` are the occurrences. A page that lies under several hosts counts once for all hosts.
     """
     found = classes(seen)
+    sizes = seen.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
+    found = found.join(sizes, "host")
     need = PAGES + F.floor(F.col("words") / WORDS_A_PAGE)
+    common = F.col("pages") >= SHARE * F.col("host_pages")
     rate = F.col("opened") >= OPENS * F.col("pages")
-    diverse = (F.col("pages") >= DIVERSE * F.col("records")) | (F.col("pages") >= MANY)
-    own = found.where(diverse & ((F.col("pages") >= need) | (F.col("size") >= 3) & (F.col("pages") >= PAGES) & (F.col("words") <= 2 * WORDS_A_PAGE))).select("host", "token", rate.alias("opens"))
+    diverse = F.col("pages") >= DIVERSE * F.col("records")
+    own = found.where(diverse & common & ((F.col("pages") >= need) | (F.col("size") >= 3) & (F.col("pages") >= PAGES) & (F.col("words") <= 2 * WORDS_A_PAGE))).select("host", "token", rate.alias("opens"))
     pages = seen.groupBy("token", "page").agg(F.max("words").alias("words"), F.max("opens").alias("opens"), F.sum("records").alias("records"))
     every = pages.groupBy("token").agg(
         F.max("words").alias("words"), F.count("*").alias("pages"), F.sum("records").alias("records"), F.sum(F.col("opens").cast("long")).alias("opened")
     )
-    every = every.where(F.col("pages") >= PAGES).join(found.groupBy("token").agg(F.count("*").alias("hosts")), "token")
-    many = (F.col("hosts") > 1) & (F.col("pages") >= MANY)
-    shared = every.where((F.col("hosts") >= HOSTS) & (F.col("pages") >= need) & diverse | many).select(F.lit(0).cast("long").alias("host"), "token", rate.alias("opens"))
+    every = every.where(F.col("pages") >= PAGES).join(found.groupBy("token").agg(F.count("*").alias("hosts"), F.sum("host_pages").alias("host_pages")), "token")
+    shared = every.where((F.col("hosts") >= HOSTS) & (F.col("pages") >= need) & diverse & common).select(F.lit(0).cast("long").alias("host"), "token", rate.alias("opens"))
     return own.unionByName(shared)
 
 

@@ -165,6 +165,13 @@ def test_boilerplate_frame(spark):
     assert got == {(i, n) for i in range(2, 40) for n in (1, 5, 6)}
 
 
+def test_headings_of_a_large_host_are_main_text(spark):
+    rng = random.Random(9)
+    rows = [(i, f"http://a.big.test/{i}", f"Title {i}", f"Title {i}\n{sentence(rng, 30)}.\n" + ("## Installation\n" if i < 4 else "") + f"{sentence(rng, 30)}.\nBack to top") for i in range(1200)]
+    got = boilerplate.boilerplate_lines(spark.createDataFrame(rows, "code long, url string, title string, text string"))
+    assert {(r["code"], r["line_no"]) for r in got.collect()} == {(i, 5 if i < 4 else 4) for i in range(1200)}
+
+
 def test_residue_frame(spark):
     rng = random.Random(7)
     notice = "This site works best with JavaScript enabled."
