@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list[str] = ["web", "tools", "nested"]
+MODULES: list[str] = ["web", "tools", "more", "nested"]
 
 
 def _modules() -> list:

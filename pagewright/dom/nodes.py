@@ -8,6 +8,7 @@ shuffle; a page is parsed once for all that is asked of it.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -19,6 +20,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from pagewright.dom import tree
 from pagewright.select import css, xpath
+from pagewright.session import spread
 
 NODES = (
     "page_id long, node_id int, last int, parent_id int, kind string, tag string, depth int, "
@@ -43,7 +45,7 @@ def per_page(pages: DataFrame, schema: str, rows: Callable[[int, str | None, tre
             if out:
                 yield _batch(out, arrow)
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, fields)
+    return spread(pages.select(F.col("page_id").cast("long"), "url", "html")).mapInArrow(run, fields)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -55,26 +57,82 @@ def _storable(column: tuple) -> list[Any]:
     return [v.encode("utf-8", "replace").decode() if isinstance(v, str) and not v.isascii() else v for v in column]
 
 
-def dom_nodes(pages: DataFrame) -> DataFrame:
-    """All nodes of all pages. The first of repeated attributes counts; texts are null where they
-    don't apply."""
+_COLUMNS = [c.strip().partition(" ")[0] for c in NODES.replace("map<string,string>", "map").split(",")]
+
+
+def dom_nodes(pages: DataFrame, columns: list[str] | None = None, tags: list[str] | None = None) -> DataFrame:
+    """All nodes of all pages, or only the asked columns and the elements of the asked tags.
+
+    One walk counts places among siblings and writes paths from the parent's, so the work grows with
+    the page and with what is asked. The last of repeated attributes counts; texts are null where they
+    don't apply. Unknown columns are an error.
+    """
+    names = list(columns or _COLUMNS)
+    kinds = {f.name: f.dataType for f in _parse_datatype_string(NODES)}
+    if unknown := [c for c in names if c not in kinds]:
+        raise ValueError("unknown columns: " + ", ".join(unknown))
+    wanted, only = set(names), None if tags is None else frozenset(tags)
 
     def rows(page_id: int, url: str | None, root: tree.Node) -> Iterator[tuple]:
-        for n in root.walk():
+        pieces: list[str] = []  # normalised text pieces of the page in document order
+        upto: list[int] = []  # of each node: how many pieces stand before it
+        nodes: list[tree.Node] = list(root.walk())
+        if "text_full" in wanted:
+            for n in nodes:
+                upto.append(len(pieces))
+                if n.kind == "text" and (t := tree.normal(n.text)):
+                    pieces.append(t)
+            upto.append(len(pieces))
+        counts: dict[int, dict[str, int]] = {}  # element children of a node seen so far, by tag
+        paths: dict[int, str] = {}
+        for n in nodes:
             if n is root:
                 continue
             element = n.kind == "element"
-            attrs: dict[str, str] = {}
-            for k, v in n.attrs:
-                attrs.setdefault(k, v)
-            same = n.siblings() if element else []
-            yield (
-                page_id, n.pre, n.last, n.parent.pre if n.parent is not root else None, n.kind, n.tag or None, n.depth, list(attrs.items()) if element else None,
-                None if element else n.text, tree.direct_text(n) if element else None, tree.full_text(n) if element else None,
-                next(i for i, s in enumerate(same, 1) if s is n) if element else None, tree.nth_of_type(n) if element else None, tree.absolute_xpath(n) if element else None,
-            )
+            place = nth = path = None
+            if element:
+                seen = counts.setdefault(n.parent.pre, {"": 0})
+                seen[""] += 1
+                seen[n.tag] = seen.get(n.tag, 0) + 1
+                place, nth = seen[""], seen[n.tag]
+                if "xpath" in wanted:
+                    path = paths[n.pre] = f"{paths.get(n.parent.pre, '')}/{n.tag}[{nth}]"
+            if only is not None and not (element and n.tag in only):
+                continue
+            own = {
+                "page_id": page_id, "node_id": n.pre, "last": n.last, "parent_id": n.parent.pre if n.parent is not root else None, "kind": n.kind, "tag": n.tag or None,
+                "depth": n.depth, "text": None if element else n.text, "child_ord": place, "nth_of_type": nth, "xpath": path,
+            }
+            if element:
+                if "attr" in wanted:
+                    own["attr"] = list(dict(n.attrs).items())
+                if "text_direct" in wanted:
+                    own["text_direct"] = tree.direct_text(n)
+                if "text_full" in wanted:
+                    own["text_full"] = " ".join(pieces[upto[n.pre] : upto[n.last + 1]])
+            yield tuple(own.get(c) for c in names)
+
+    return per_page(pages, ", ".join(f"{c} {kinds[c].simpleString()}" for c in names), rows)
+
+
+def counted_within(pages: DataFrame, outer: str, tag: str) -> DataFrame:
+    """(page_id, node_id, n): for every ``outer`` element that holds any, how many ``tag`` elements lie
+    under it. Structure inside a page is known where it is parsed, so there is no join."""
+
+    def rows(page_id: int, url: str | None, root: tree.Node) -> Iterator[tuple]:
+        places: list[int] = []
+        tops: list[tree.Node] = []
+        for n in root.walk():
+            if n.kind == "element":
+                if n.tag == tag:
+                    places.append(n.pre)
+                if n.tag == outer:
+                    tops.append(n)
+        for n in tops:
+            if k := bisect_right(places, n.last) - bisect_right(places, n.pre):
+                yield page_id, n.pre, k
 
-    return per_page(pages, NODES, rows)
+    return per_page(pages, "page_id long, node_id int, n long", rows)
 
 
 SELECTED = "page_id long, name string, branch int, ord int, node_id int, tag string, value string, text string, html string"
@@ -158,18 +216,19 @@ def neighbours(nodes: DataFrame) -> DataFrame:
 # Search
 
 
-def find_by_text(nodes: DataFrame, text: str, partial: bool = False, case: bool = True, full: bool = False) -> DataFrame:
-    """Elements whose own (or full) text is, or holds, a text."""
+def find_by_text(nodes: DataFrame, text: str, partial: bool = False, case: bool = False, full: bool = False, clean: bool = True) -> DataFrame:
+    """Elements whose own (or full) text is, or holds, a text; any case unless told otherwise. White
+    space of the asked text is normalised as the elements' is, if ``clean``."""
     own = F.col("text_full" if full else "text_direct")
-    want = F.lit(text)
+    want = F.lit(tree.normal(text) if clean else text)
     if not case:
         own, want = F.lower(own), F.lower(want)
     return elements(nodes).where(own.contains(want) if partial else own == want)
 
 
-def find_by_regex(nodes: DataFrame, pattern: str) -> DataFrame:
-    """Elements whose own text matches somewhere."""
-    return elements(nodes).where(F.col("text_direct").rlike(pattern))
+def find_by_regex(nodes: DataFrame, pattern: str, case: bool = False) -> DataFrame:
+    """Elements whose own text matches somewhere; any case unless told otherwise."""
+    return elements(nodes).where(F.col("text_direct").rlike(pattern if case else "(?i)" + pattern))
 
 
 def has_class(c: Column, name: str) -> Column:

@@ -7,7 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: White space: Unicode's, as Go's and Python's ``split`` see it.
 SPACE = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -34,6 +34,12 @@ def html_unescape(c: pd.Series) -> pd.Series:
     return c.map(lambda s: s if s is None or "&" not in s else html.unescape(s))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def unescape_each(c: pd.Series) -> pd.Series:
+    """Entities decoded in each text of a list."""
+    return c.map(lambda xs: None if xs is None else [x if x is None or "&" not in x else html.unescape(x) for x in xs])
+
+
 def regex_all(c: Column, pattern: str, groups: int) -> Column:
     """All matches of a pattern, or all its groups of all matches in order (an unmatched group is
     ''). ``groups`` is the number of groups. Null and no match give an empty list."""
@@ -44,7 +50,8 @@ def regex_all(c: Column, pattern: str, groups: int) -> Column:
     else:
         each = [F.regexp_extract_all(c, F.lit(pattern), F.lit(g)) for g in range(1, groups + 1)]
         found = F.flatten(F.transform(F.arrays_zip(*[e.alias(f"g{i}") for i, e in enumerate(each)]), lambda z: F.array(*[z[f"g{i}"] for i in range(groups)])))
-    return F.coalesce(found, F.array().cast("array<string>"))
+    found = F.coalesce(found, F.array().cast("array<string>"))
+    return F.when(F.exists(found, lambda x: x.contains("&")), unescape_each(found)).otherwise(found)
 
 
 def regex_first(c: Column, pattern: str, groups: int, default: str = "") -> Column:

@@ -212,8 +212,30 @@ def _udf(f, kind: str, *extra):
     return column
 
 
+#: URLs whose canonical form needs no decoding: plain characters in all parts. Others go to Python.
+PLAIN = r"^[A-Za-z][A-Za-z0-9+.-]*://[A-Za-z0-9._-]+(?::[0-9]+)?(?:/[A-Za-z0-9._~$&+,/:;=@!'()*-]*)?(?:\?[A-Za-z0-9._~=&+-]*)?(?:#[A-Za-z0-9._~=&/-]*)?$"
+
+
+def _plain_canonical(c: Column, keep_fragment: bool) -> Column:
+    """Canonical form of a plain URL by built-in functions: scheme and host folded, pairs sorted by key
+    (and among equal keys as they came)."""
+    head = F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#:]+)", 1)
+    rest = F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#:]+([^?#]*)", 1)
+    query = F.regexp_extract(c, r"\?([^#]*)", 1)
+    parts = F.filter(F.split(query, "&"), lambda p: p != "")
+    keyed = F.transform(parts, lambda p, i: F.struct(F.substring_index(p, "=", 1).alias("k"), i.alias("i"), F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))).alias("p")))
+    joined = F.array_join(F.transform(F.array_sort(keyed), lambda x: x["p"]), "&")
+    # an equals sign in a value is written as %3D
+    joined = F.when(query.rlike("=[^&]*="), F.lit(None).cast("string")).otherwise(joined)
+    mark = F.when(~c.rlike(r"^[^#]*\?"), "").when(query == "", "?").when(F.size(parts) == 0, "").otherwise(F.concat(F.lit("?"), joined))
+    out = F.concat(F.lower(head), rest, mark)
+    return F.concat(out, F.regexp_extract(c, r"(#.+)$", 1)) if keep_fragment else out
+
+
 def canonical_request(c: Column, keep_fragment: bool = False) -> Column:
-    return _udf(canonical_request_url, "string", keep_fragment)(c)
+    """``canonical_request_url`` as a column: built-in functions for plain URLs, Python for the rest."""
+    plain = F.when(c.rlike(PLAIN), _plain_canonical(c, keep_fragment))
+    return F.coalesce(plain, _udf(canonical_request_url, "string", keep_fragment)(F.when(plain.isNull(), c)))
 
 
 def canonical_link(c: Column, keep_fragment: bool = False) -> Column:
@@ -225,20 +247,48 @@ def resolve(base: Column, c: Column) -> Column:
 
 
 def request_fingerprint(url: Column, method: Column, sid: Column, body: Column) -> Column:
-    return _udf(fingerprint, "string")(url, method, sid, body)
+    """``fingerprint`` of the default options as a column. Plain URLs with plain methods and sessions are
+    hashed by built-in functions; only the rest goes to Python."""
+    easy = url.rlike(PLAIN) & F.coalesce(method, F.lit("")).rlike("^[A-Za-z]*$") & F.coalesce(sid, F.lit("")).rlike("^[A-Za-z0-9 ._-]*$")
+    verb = F.coalesce(F.nullif(F.upper(method), F.lit("")), F.lit("GET"))
+    data = F.lower(F.hex(F.encode(F.coalesce(body, F.lit("")), "UTF-8")))
+    address = F.replace(_plain_canonical(url, False), F.lit("&"), F.lit("\\u0026"))
+    text = F.concat(F.lit('{"body":"'), data, F.lit('","method":"'), verb, F.lit('","sid":"'), F.coalesce(sid, F.lit("")), F.lit('","url":"'), address, F.lit('"}'))
+    plain = F.when(easy, F.sha1(text))
+    rest = plain.isNull()
+    own = lambda x: F.when(rest, x)
+    # a null address is an empty one to the function, so rows that are done pass a broken one
+    slow = _udf(fingerprint, "string")(F.when(rest, F.coalesce(url, F.lit(""))).otherwise("\x00"), own(method), own(sid), own(body))
+    return F.coalesce(plain, slow)
 
 
 def private_ip(c: Column) -> Column:
     return _udf(is_private_ip, "boolean")(c)
 
 
+def ip_in(c: Column, nets: list) -> Column:
+    """Whether an IP address lies in any of some networks; false for what isn't one."""
+
+    def inside(text: str | None) -> bool:
+        try:
+            ip = ipaddress.ip_address((text or "").strip("[]"))
+        except ValueError:
+            return False
+        ip = getattr(ip, "ipv4_mapped", None) or ip
+        return any(ip in n for n in nets if n.version == ip.version)
+
+    return _udf(inside, "boolean")(c)
+
+
 def host(c: Column) -> Column:
     """The host of a URL in lower case, without port and userinfo; '' where there is none."""
     return F.lower(F.regexp_extract(F.trim(c), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:@]*)", 1))
 
 
-def adaptive_domain(c: Column) -> Column:
-    """The host, or "default" where there is none."""
+def adaptive_domain(c: Column, override: str = "") -> Column:
+    """The host, or "default" where there is none; an override replaces both."""
+    if override.strip():
+        return F.lit(override.strip())
     return F.coalesce(F.nullif(host(c), F.lit("")), F.lit("default"))
 
 

@@ -43,12 +43,12 @@ def fingerprint_of(n: tree.Node) -> dict:
     }
 
 
-def element_fingerprints(pages: DataFrame) -> DataFrame:
-    """(page_id, url, node_id, depth, grandparent_tag, fp) of every element."""
+def element_fingerprints(pages: DataFrame, tags: tuple[str, ...] = ()) -> DataFrame:
+    """(page_id, url, node_id, depth, grandparent_tag, fp) of every element, or of those of some tags."""
 
     def rows(i: int, url: str | None, root: tree.Node) -> Iterator[tuple]:
         for n in root.walk():
-            if n.kind == "element":
+            if n.kind == "element" and (not tags or n.tag in tags):
                 above = list(n.ancestors())
                 yield i, url, n.pre, n.depth, above[1].tag if len(above) > 1 else "", fingerprint_of(n)
 
@@ -150,13 +150,15 @@ def relocate(elements: DataFrame, stored: DataFrame, least: float = ACCEPT) -> D
     return best.select("page_id", "identifier", (-F.col("b.n")).alias("node_id"), F.col("b.score").alias("score")).where(F.col("score") >= least)
 
 
-def similar(elements: DataFrame, least: float = 0.2, ignore: tuple[str, ...] = ("href", "src"), with_text: bool = False) -> DataFrame:
+def similar(elements: DataFrame, asked: DataFrame | None = None, least: float = 0.2, ignore: tuple[str, ...] = ("href", "src"), with_text: bool = False) -> DataFrame:
     """(page_id, node_id, other_id, score) of similar elements of a page: same tag, depth, parent's and
-    grandparent's tag, and attributes that agree in names and words."""
+    grandparent's tag, and attributes that agree in names and words. With ``asked`` (page_id, node_id)
+    only the elements similar to those are looked for."""
     kept = lambda m: F.map_filter(m, lambda k, v: ~F.lower(k).isin(*ignore)) if ignore else m
     side = elements.select("page_id", "node_id", "depth", "grandparent_tag", F.col("fp.tag").alias("tag"), F.col("fp.parent_tag").alias("up"), kept(F.col("fp.attributes")).alias("attrs"), F.col("fp.text").alias("text"))
+    mine = side if asked is None else side.join(asked.select("page_id", "node_id").distinct(), ["page_id", "node_id"], "left_semi")
     other = side.withColumnsRenamed({"node_id": "other_id", "attrs": "other_attrs", "text": "other_text"})
-    both = side.join(other, ["page_id", "tag", "depth", "up", "grandparent_tag"]).where("node_id <> other_id")
+    both = mine.join(other, ["page_id", "tag", "depth", "up", "grandparent_tag"]).where("node_id <> other_id")
     s = (key_similarity(F.col("attrs"), F.col("other_attrs")) + value_similarity(F.col("attrs"), F.col("other_attrs"))) / 2
     if with_text:
         s = (s + T.string_similarity(F.col("text"), F.col("other_text"))) / 2
@@ -186,11 +188,12 @@ def select_adaptive(pages: DataFrame, selector: str, identifier: str, stored: Da
 
 
 def upsert(store: DataFrame, new: DataFrame) -> DataFrame:
-    """The store with newer fingerprints in place of older ones of the same key; blank identifiers
-    are an error of the caller and dropped."""
-    every = store.unionByName(new).withColumn("identifier", F.trim("identifier")).where("identifier <> ''")
-    w = Window.partitionBy("domain", "identifier").orderBy(F.desc("version"))
-    return every.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """The store with newer fingerprints in place of older ones of the same key, the last by aggregation;
+    a null or blank identifier is an error."""
+    name = F.trim("identifier")
+    name = F.when(F.coalesce(name, F.lit("")) != "", name).otherwise(F.raise_error(F.lit("an identifier is required")).cast("string"))
+    every = store.unionByName(new).withColumn("identifier", name)
+    return every.groupBy("domain", "identifier").agg(F.max_by("fp", "version").alias("fp"), F.max("version").alias("version"))
 
 
 SCHEMA_VERSION = 1
@@ -202,7 +205,45 @@ def write_store(store: DataFrame, path: str) -> None:
 
 
 def read_store(spark, path: str) -> DataFrame:
-    """A written store; another schema version is an error."""
+    """A written store; another schema version is an error, a missing path an empty store."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        return spark.createDataFrame([], f"domain string, identifier string, fp {FINGERPRINT}, version long")
     df = spark.read.schema(f"schema_version int, domain string, identifier string, fp {FINGERPRINT}, version long").json(path)
     version = F.when(F.col("schema_version") == SCHEMA_VERSION, F.col("version")).otherwise(F.raise_error(F.concat(F.lit("unsupported store schema "), F.col("schema_version").cast("string"))).cast("long"))
     return df.withColumn("version", version).drop("schema_version")
+
+
+def export_database(store: DataFrame, path: str) -> None:
+    """A store as a one-file database: a row for each key with the fingerprint as JSON. An existing
+    file keeps its other keys; rows come to the driver one batch at a time."""
+    import sqlite3
+
+    with sqlite3.connect(path) as db:
+        version = db.execute("pragma user_version").fetchone()[0]
+        if version not in (0, SCHEMA_VERSION):
+            raise ValueError(f"unsupported store schema {version}")
+        db.execute("create table if not exists fingerprints (domain text, identifier text, element text, version integer, unique (domain, identifier))")
+        db.execute(f"pragma user_version = {SCHEMA_VERSION}")
+        rows = store.select("domain", F.trim("identifier").alias("identifier"), F.to_json("fp").alias("fp"), "version").where("identifier <> ''")
+        for r in rows.toLocalIterator():
+            db.execute(
+                "insert into fingerprints values (?, ?, ?, ?) on conflict (domain, identifier) do update set element = excluded.element, version = excluded.version where excluded.version >= version",
+                tuple(r),
+            )
+
+
+def import_database(spark, path: str) -> DataFrame:
+    """A store read from a one-file database; another schema version is an error, a missing file is empty."""
+    import sqlite3
+    from pathlib import Path
+
+    rows: list[tuple] = []
+    if Path(path).exists():
+        with sqlite3.connect(path) as db:
+            version = db.execute("pragma user_version").fetchone()[0]
+            if version != SCHEMA_VERSION:
+                raise ValueError(f"unsupported store schema {version}")
+            rows = db.execute("select domain, identifier, element, version from fingerprints").fetchall()
+    raw = spark.createDataFrame(rows, "domain string, identifier string, element string, version long")
+    return raw.select("domain", "identifier", F.from_json("element", FINGERPRINT).alias("fp"), "version")

@@ -32,20 +32,38 @@ def accepted(requests: DataFrame, order: str, seen: DataFrame | None = None) ->
     return forced.unionByName(free.join(firsts, order, "left_semi").select(*requests.columns))
 
 
+def _ranged(rows: DataFrame, partition: str | None, keys: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """Rows in range-partitioned order with ``__part`` and ``__row`` (their place in it), written once; and
+    the runs (partition value, part) with how many rows they have and where in the part they begin.
+
+    A partition value, however hot, is cut by the ranges, and there are no more runs than ranges and
+    values together.
+    """
+    by = ([F.asc(partition)] if partition else []) + keys
+    sorted_ = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    written = materialize(sorted_.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id() % (1 << 33)}), "frontier")
+    value = F.col(partition) if partition else F.lit(0)
+    written = written.withColumn("__value", value)
+    runs = written.groupBy("__value", "__part").agg(F.count("*").alias("__n"), F.min("__row").alias("__first"))
+    return written, runs
+
+
+def _with_runs(written: DataFrame, runs: DataFrame) -> DataFrame:
+    right = runs.withColumnsRenamed({"__value": "__value2", "__part": "__part2"})
+    return written.join(right, F.col("__value").eqNullSafe(F.col("__value2")) & (F.col("__part") == F.col("__part2")))
+
+
 def dequeue_order(requests: DataFrame, order: str, partition: str | None = None) -> DataFrame:
-    """With ``place``: by priority from the highest, then in order of arrival, within a partition.
+    """With ``place``: by priority from the highest, then in order of arrival, within a partition or
+    globally.
 
-    Without one the order is global: a range-partitioned sort numbers rows by the counts of the
-    partitions before, so no task sees all rows.
+    The order is a range-partitioned sort; rows are numbered by the counts of the ranges before theirs, so
+    no task sees all rows of a partition, whatever part of the table it is.
     """
-    if partition:
-        w = Window.partitionBy(partition).orderBy(F.desc("priority"), order)
-        return requests.withColumn("place", F.row_number().over(w).cast("long"))
-    ranged = requests.repartitionByRange(F.desc("priority"), F.asc(order)).sortWithinPartitions(F.desc("priority"), F.asc(order))
-    ranged = materialize(ranged.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id() % (1 << 33)}), "frontier")
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))  # one row for each partition
-    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    return ranged.join(F.broadcast(before), "__part").withColumn("place", F.col("__before") + F.col("__row") + 1).drop("__part", "__row", "__before", "__n")
+    written, runs = _ranged(requests, partition, [F.desc("priority"), F.asc(order)])
+    before = F.sum("__n").over(Window.partitionBy("__value").orderBy("__part")) - F.col("__n")
+    out = _with_runs(written, runs.withColumn("__before", before))
+    return out.select(*requests.columns, (F.col("__before") + F.col("__row") - F.col("__first") + 1).alias("place"))
 
 
 def is_blocked(status: Column) -> Column:
@@ -57,6 +75,9 @@ def retries(responses: DataFrame, limit: int = 3) -> DataFrame:
     long as the limit allows (0 means 3, negative none)."""
     limit = 3 if limit == 0 else max(limit, 0)
     again = responses.where(is_blocked(F.col("status")) & (F.coalesce("retry_count", F.lit(0)) < limit))
+    for c in ("proxy", "proxies"):  # the next try takes another one
+        if c in again.columns:
+            again = again.withColumn(c, F.lit(None).cast(again.schema[c].dataType))
     return again.withColumns({"retry_count": F.coalesce("retry_count", F.lit(0)) + 1, "priority": F.col("priority") - 1, "dont_filter": F.lit(True)})
 
 
@@ -70,7 +91,7 @@ def crawl(seeds: DataFrame, pages: DataFrame, follow: Callable[[DataFrame], Data
     from pagewright.operators.links import allowed
 
     found = [materialize(seeds.select(urls.canonical_request(F.col("url")).alias("url")).where("url is not null").distinct().withColumn("wave", F.lit(0)), "wave")]
-    web = pages.withColumn("key", urls.canonical_request(F.trim("url"))).where("key is not null")
+    web = materialize(pages.withColumn("key", urls.canonical_request(F.trim("url"))).where("key is not null"), "web")  # keyed once, not in every wave
     for wave in range(1, depth + 1):
         here = web.join(found[-1].select(F.col("url").alias("key")), "key", "left_semi").drop("key")
         new = follow(here).select("url").where(allowed(F.col("url"), domains or [])).distinct()
@@ -101,6 +122,12 @@ def crawl_stats(log: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [counters, *each])
 
 
+def crawl_times(log: DataFrame, key: str, at: str) -> DataFrame:
+    """(key, started_at, ended_at, elapsed): first and last time of each crawl, and the seconds between."""
+    out = log.where(F.col(at).isNotNull()).groupBy(key).agg(F.min(at).alias("started_at"), F.max(at).alias("ended_at"))
+    return out.withColumn("elapsed", (F.unix_micros("ended_at") - F.unix_micros("started_at")) / 1e6)
+
+
 def save_checkpoint(pending: DataFrame, seen: DataFrame, path: str) -> None:
     """Pending requests and seen fingerprints, each written whole."""
     pending.write.mode("overwrite").parquet(f"{path}/pending")
@@ -149,9 +176,15 @@ def limit_per_host(requests: DataFrame, limit: int, order: str) -> DataFrame:
 
 def start_times(requests: DataFrame, order: str, delay: Column) -> DataFrame:
     """With ``starts_at``: seconds after which each request of a host starts if every one waits its
-    delay behind the one before (a simulated clock; nothing sleeps)."""
-    w = Window.partitionBy(urls.host(F.col("url"))).orderBy(F.desc("priority"), order).rowsBetween(Window.unboundedPreceding, -1)
-    return requests.withColumn("__d", delay).withColumn("starts_at", F.coalesce(F.sum("__d").over(w), F.lit(0.0))).drop("__d")
+    delay behind the one before (a simulated clock; nothing sleeps). Sums run inside the ranges of a sort
+    and are moved by the sums of the ranges before, so a hot host is spread over tasks."""
+    rows = requests.withColumns({"__d": delay, "__host": urls.host(F.col("url"))})
+    written, _ = _ranged(rows, "__host", [F.desc("priority"), F.asc(order)])
+    sums = written.groupBy("__value", "__part").agg(F.sum("__d").alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(Window.partitionBy("__value").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    own = F.coalesce(F.sum("__d").over(Window.partitionBy("__value", "__part").orderBy("__row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    out = _with_runs(written.withColumn("__own", own), sums.withColumn("__before", before))
+    return out.select(*requests.columns, (F.col("__before") + F.col("__own")).alias("starts_at"))
 
 
 def follow_ups(found: DataFrame, origin: DataFrame, referer: bool = True) -> DataFrame:
@@ -172,15 +205,19 @@ def backoff(attempt: Column, delay: float, attempts: int = 3) -> Column:
 
 
 def redirect_history(start: DataFrame, hops: DataFrame, limit: int = 30) -> DataFrame:
-    """(url, final_url, history): chains of redirects (source, target), followed up to a limit. Each
-    hop is one join of the chains that still move, so work shrinks with them."""
+    """(url, final_url, history, error): chains of redirects (source, target), followed up to a limit.
+    Each hop is one join of the chains that still move, so work shrinks with them. A chain that moves on
+    behind the limit, or that comes back to an address it has left, has an error and ends there."""
     moving = start.select("url", F.col("url").alias("final_url"), F.array().cast("array<string>").alias("history"))
     done = None
     for _ in range(limit):
         step = materialize(moving.join(hops.withColumnRenamed("source", "final_url").dropDuplicates(["final_url"]), "final_url", "left"), "hops")
-        still = step.where(F.col("target").isNull() | F.array_contains("history", F.col("target"))).select("url", "final_url", "history")
+        loop = F.array_contains("history", F.col("target")) | (F.col("target") == F.col("final_url"))
+        error = F.when(F.coalesce(loop, F.lit(False)), "redirect loop")
+        still = step.where(F.col("target").isNull() | loop).select("url", "final_url", "history", error.alias("error"))
         done = still if done is None else done.unionByName(still)
-        moving = step.where(F.col("target").isNotNull() & ~F.array_contains("history", F.col("target"))).select("url", F.col("target").alias("final_url"), F.concat("history", F.array("final_url")).alias("history"))
+        moving = step.where(F.col("target").isNotNull() & ~loop).select("url", F.col("target").alias("final_url"), F.concat("history", F.array("final_url")).alias("history"))
         if moving.isEmpty():
             return done
-    return done.unionByName(moving)
+    last = moving.join(hops.select(F.col("source").alias("final_url"), F.lit(True).alias("more")).distinct(), "final_url", "left")
+    return done.unionByName(last.select("url", "final_url", "history", F.when(F.col("more"), f"stopped after {limit} redirects").alias("error")))

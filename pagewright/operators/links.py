@@ -70,13 +70,13 @@ class LinkExtractor:
 
     def passes(self, url: str) -> bool:
         u = urls.parse_url(url)
-        if u is None or not (u.scheme in ("http", "https", "ftp") and u.host or u.scheme == "file"):
+        if u is None or not (u.scheme in ("http", "https") and u.host or u.scheme == "file"):
             return False
         denied = IGNORED_EXTENSIONS if self.deny_extensions is None else self.deny_extensions
         if urls.link_extension(u.path) in denied:
             return False
-        host = u.host.lower()
-        under = lambda domains: any(host == d or host.endswith("." + d) for d in (x.lower().strip() for x in domains))
+        host = u.host.lower().rstrip(".")
+        under = lambda domains: any(host == d or host.endswith("." + d) for d in (x.lower().strip().strip(".") for x in domains))
         if self.allow_domains and not under(self.allow_domains) or self.deny_domains and under(self.deny_domains):
             return False
         return (not self.allow or any(re.search(p, url) for p in self.allow)) and not any(re.search(p, url) for p in self.deny)
@@ -132,16 +132,23 @@ class Rule:
     priority: int | None = None
 
 
-def dispatch(urls_: DataFrame, rules: list[Rule], fallback: str = "") -> DataFrame:
-    """(*, rule, callback): the first rule that takes each row's url; without rules all go to the
-    fallback, and rows that no rule takes are dropped."""
+def dispatch(urls_: DataFrame, rules: list[Rule], fallback: str = "", every: bool = False) -> DataFrame:
+    """(*, rule, callback, rule_priority): the first rule that takes each row's url, or with ``every`` a
+    row for each of them; without rules all go to the fallback, and rows that no rule takes are
+    dropped. ``rule_priority`` is null where the rule has none of its own."""
     if not rules:
-        return urls_.withColumns({"rule": F.lit(""), "callback": F.lit(fallback)})
+        return urls_.withColumns({"rule": F.lit(""), "callback": F.lit(fallback), "rule_priority": F.lit(None).cast("int")})
 
-    @F.pandas_udf("int")
-    def first(c):
-        return c.map(lambda u: next((i for i, r in enumerate(rules) if u and r.extractor.prepared(None, u)[0]), -1)).astype("int32")
+    @F.pandas_udf("array<int>")
+    def taking(c):
+        def of(u):
+            hits = (i for i, r in enumerate(rules) if u and r.extractor.prepared(None, u)[0])
+            return list(hits) if every else [i for i in [next(hits, None)] if i is not None]
+
+        return c.map(of)
 
     names, calls = (F.array(*[F.lit(x) for x in v]) for v in ([r.name for r in rules], [r.callback or fallback for r in rules]))
+    ranks = F.array(*[F.lit(r.priority).cast("int") for r in rules])
     at = F.col("__rule") + 1
-    return urls_.withColumn("__rule", first("url")).where("__rule >= 0").withColumns({"rule": F.element_at(names, at), "callback": F.element_at(calls, at)}).drop("__rule")
+    each = urls_.withColumn("__rule", F.explode(taking("url")))
+    return each.withColumns({"rule": F.element_at(names, at), "callback": F.element_at(calls, at), "rule_priority": F.element_at(ranks, at)}).drop("__rule")

@@ -132,3 +132,100 @@ def sitemap_lines(policies: DataFrame) -> DataFrame:
     """(origin, url): the Sitemap lines, whatever group they stand in."""
     lines = policies.select("origin", F.explode(F.split("body", r"\r?\n")).alias("line"))
     return lines.where(F.lower(F.trim("line")).startswith("sitemap:")).select("origin", F.trim(F.regexp_replace("line", "^[^:]*:", "")).alias("url")).where("url <> ''")
+
+
+def _path(url: str | None) -> str:
+    """The escaped path of a URL, "/" where there is none."""
+    u = urls.parse_url(url)
+    return (u.path if u is not None else "") or "/"
+
+
+def literal_rules(body: str | None, agent: str = "") -> list[tuple[str, bool]]:
+    """(pattern, allow) of the groups of ``*`` or of the agent itself. The last user-agent line before a
+    rule decides whose it is, and a blank line ends it."""
+    out: list[tuple[str, bool]] = []
+    mine = False
+    for line in (body or "").splitlines():
+        line = line.partition("#")[0].strip()
+        key, colon, value = line.partition(":")
+        key, value = key.strip().lower(), value.strip()
+        if not line:
+            mine = False
+        elif colon and key == "user-agent":
+            mine = value == "*" or bool(agent) and value.lower() == agent.lower()
+        elif colon and mine and value and key in ("allow", "disallow"):
+            out.append((value, key == "allow"))
+    return out
+
+
+def literal_check(requests: DataFrame, policies: DataFrame, agent: str = "") -> DataFrame:
+    """``requests`` (with url) with origin and allowed: rules are prefixes of the path, wildcards mean
+    nothing, the longest decides, allow among equals. Files that didn't come with a status of 200 to 299
+    allow all, as do addresses without scheme or host."""
+    known = policies.select("origin", F.when(F.col("status").between(200, 299), F.col("body")).alias("__robots")).dropDuplicates(["origin"])
+
+    @F.pandas_udf("boolean")
+    def judge(url: pd.Series, robots: pd.Series) -> pd.Series:
+        seen: dict[str | None, list] = {}
+        out = []
+        for u, r in zip(url, robots, strict=True):
+            own = seen.setdefault(r, literal_rules(r, agent)) if r not in seen else seen[r]
+            path = _path(u)
+            fits = [(len(p), allow) for p, allow in own if path.startswith(p)]
+            out.append(max(fits)[1] if fits else True)
+        return pd.Series(out, dtype=object)
+
+    out = requests.withColumn("origin", origin(F.col("url"))).join(known, "origin", "left")
+    return out.withColumn("allowed", judge("url", "__robots")).drop("__robots")
+
+
+def strict_decision(status: int | None, body: str | None, url: str | None, token: str) -> tuple[bool, str, float]:
+    """(allowed, reason, delay) of a check that refuses where it can't know: without a file, with another
+    status than 200, with an empty file or a page of markup."""
+    u = urls.parse_url(url)
+    if u is None or not u.scheme or not u.host:
+        return False, "target URL must include scheme and host", 0.0
+    if status != 200:
+        return False, "robots.txt unavailable" + ("" if status is None else f": status {status}"), 0.0
+    text = (body or "").strip()
+    head = text[:256].lower()
+    if not text:
+        return False, "empty robots.txt", 0.0
+    if head.startswith(("<!doctype html", "<html")) or "<title>" in head:
+        return False, "not a usable robots.txt", 0.0
+    found = groups(re.sub(r"\n\s*(?=\n)", "", "\n" + body) if body else body)  # blank lines end nothing here
+    name = token.lower()
+    own = [g for g in found if any(a and a != "*" and a in name for a in g["agents"])]
+    scope = "specific" if own else "wildcard"
+    own = own or [g for g in found if "*" in g["agents"]]
+    if not own:
+        return True, "no matching robots rules", 0.0
+    delay = max(g["delay"] for g in own)
+    fits = [(len(p), allow, p) for g in own for p, allow in g["rules"] if strict_match(p, _path(url))]
+    if not fits:
+        return True, f"{scope} robots group has no matching path rule", delay
+    best = max(fits, key=lambda x: x[:2])
+    return best[1], ("allowed" if best[1] else "disallowed") + " by robots rule " + best[2], delay
+
+
+def strict_match(pattern: str, path: str) -> bool:
+    """``$`` at the end asks for an equal path; with ``*`` the parts must follow each other, the last at the
+    end; else the pattern is a prefix."""
+    if pattern.endswith("$"):
+        return path == pattern.removesuffix("$")
+    if "*" not in pattern:
+        return path.startswith(pattern)
+    return re.fullmatch(".*".join(map(re.escape, pattern.split("*"))), path, re.S) is not None
+
+
+def strict_check(requests: DataFrame, policies: DataFrame, token: str) -> DataFrame:
+    """``requests`` with origin, allowed, reason and delay by ``strict_decision``."""
+    known = policies.select("origin", F.col("status").alias("__status"), F.col("body").alias("__robots")).dropDuplicates(["origin"])
+
+    @F.pandas_udf("allowed boolean, reason string, delay double")
+    def judge(url: pd.Series, status: pd.Series, robots: pd.Series) -> pd.DataFrame:
+        rows = [strict_decision(None if s != s or s is None else int(s), r, u, token) for u, s, r in zip(url, status, robots, strict=True)]
+        return pd.DataFrame(rows, columns=["allowed", "reason", "delay"])
+
+    out = requests.withColumn("origin", origin(F.col("url"))).join(known, "origin", "left")
+    return out.withColumn("__v", judge("url", "__status", "__robots")).withColumns({c: F.col(f"__v.{c}") for c in ("allowed", "reason", "delay")}).drop("__v", "__status", "__robots")

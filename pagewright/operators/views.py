@@ -181,6 +181,21 @@ def jsonld_view(pages: DataFrame, objects_only: bool = True) -> DataFrame:
     return per_page(pages, "page_id long, ord int, text string", lambda i, u, r: [(i, k, t) for k, t in enumerate(jsonld(r, objects_only))])
 
 
+def evidence_view(pages: DataFrame) -> DataFrame:
+    """(page_id, markdown, links, nodes, opengraph, jsonld) of each page: all views of one parse."""
+    schema = (
+        "page_id long, markdown string, links array<struct<text:string,href:string>>, nodes array<struct<id:int,role:string,tag:string,name:string,interactive:boolean>>,"
+        "opengraph map<string,string>, jsonld array<string>"
+    )
+
+    def rows(i: int, u: str | None, r: Node) -> list[tuple]:
+        found = ((visible_text(n), n.attr("href")) for n in r.walk() if n.tag == "a")
+        nodes = [{"id": x[0], "role": x[1], "tag": x[2], "name": x[3], "interactive": x[6]} for x in semantic(r)]
+        return [(i, markdown(r), [{"text": t, "href": h} for t, h in found if t and h], nodes, list(opengraph(r).items()), jsonld(r))]
+
+    return per_page(pages, schema, rows)
+
+
 def cleaned_view(pages: DataFrame) -> DataFrame:
     """(page_id, text, html) of each page's main content."""
 

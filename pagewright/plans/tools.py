@@ -15,13 +15,13 @@ from pagewright.streaming import frontier as streaming
 
 def q_class(spark: SparkSession, d: str) -> DataFrame:
     """Elements of class card by page."""
-    nodes = N.elements(N.dom_nodes(table(spark, d, "pages")))
-    return nodes.where(N.has_class(F.col("attr")["class"], "card")).groupBy("page_id").agg(F.count("*").alias("n"))
+    nodes = N.dom_nodes(table(spark, d, "pages"), ["page_id", "attr", "kind"])
+    return N.elements(nodes).where(N.has_class(F.col("attr")["class"], "card")).groupBy("page_id").agg(F.count("*").alias("n"))
 
 
 def q_attribute_search(spark: SparkSession, d: str) -> DataFrame:
     """Attributes whose value holds "checkout"."""
-    return N.attributes_with(N.dom_nodes(table(spark, d, "pages")).where("tag = 'a'"), "checkout", partial=True).where("key = 'href'").select("page_id", "value")
+    return N.attributes_with(N.dom_nodes(table(spark, d, "pages"), ["page_id", "node_id", "kind", "attr"], ["a"]), "checkout", partial=True).where("key = 'href'").select("page_id", "value")
 
 
 def q_recipe(spark: SparkSession, d: str) -> DataFrame:
@@ -77,8 +77,9 @@ def q_ledger_top(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_unmapped(spark: SparkSession, d: str) -> DataFrame:
-    """Customers without orders, and orders' customers that don't exist."""
-    mapped = table(spark, d, "orders").select(F.col("o_custkey").alias("k"))
+    """Customers without urgent orders, and users of events that are no customers."""
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("k"))
+    mapped = urgent.unionByName(table(spark, d, "events").select((F.col("user_id") * 3).alias("k")))
     return ledger.unmapped(mapped, table(spark, d, "customer").select(F.col("c_custkey").alias("k")), "k")
 
 
@@ -167,7 +168,7 @@ p as (select phase, null::varchar subphase, count(*) k, sum(n)::bigint n, sum(c)
 select phase, subphase, case when c = n then 'complete' when b > 0 then 'in_progress' else 'planned' end status, n n_items, c n_complete from g
 union all select phase, subphase, case when kc = k then 'complete' when kb > 0 then 'in_progress' else 'planned' end, n, c from p""",
     "q_ledger_top": "select o_orderkey, o_orderpriority, o_orderstatus from orders order by case o_orderpriority when '1-URGENT' then 1 when '2-HIGH' then 2 else 3 end, case o_orderstatus when 'P' then 1 when 'O' then 2 else 3 end, o_orderkey limit 10",
-    "q_unmapped": "select c_custkey k, 'unmapped' side from customer where c_custkey not in (select o_custkey from orders) union all select distinct o_custkey, 'stale' from orders where o_custkey not in (select c_custkey from customer)",
+    "q_unmapped": "with m as (select o_custkey k from orders where o_orderpriority = '1-URGENT' union select user_id * 3 from events) select c_custkey k, 'unmapped' side from customer where c_custkey not in (select k from m where k is not null) union all select k, 'stale' from m where k not in (select c_custkey from customer)",
     "q_violations": """select doc_id, v violations from (select doc_id, concat_ws(',', case when coalesce(length(lang) = 2, false) then null else 'language' end, case when coalesce(n_chars = length(text), false) then null else 'length' end,
 case when coalesce(trim(text, ' ') <> '', false) then null else 'text' end, case when source is not null then null else 'source' end) v from documents) where v <> ''""",
     "q_host_limit": f"select request_id from (select request_id, row_number() over (partition by {_HOST} order by priority desc, request_id) n from scheduler_requests) where n <= 5",

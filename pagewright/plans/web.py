@@ -73,25 +73,23 @@ def q_title(spark: SparkSession, d: str) -> DataFrame:
 
 def q_dom_counts(spark: SparkSession, d: str) -> DataFrame:
     """How often each of some tags occurs."""
-    nodes = N.elements(N.dom_nodes(_pages(spark, d)))
-    return nodes.where(F.col("tag").isin("a", "li", "h2", "span", "meta", "script", "nav")).groupBy("tag").agg(F.count("*").alias("n"))
+    nodes = N.dom_nodes(_pages(spark, d), ["tag"], ["a", "li", "h2", "span", "meta", "script", "nav"])
+    return nodes.groupBy("tag").agg(F.count("*").alias("n"))
 
 
 def q_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """Links under each page's main element, by a structural join."""
-    nodes = N.dom_nodes(_pages(spark, d)).select("page_id", "node_id", "last", "kind", "tag")
-    mains = nodes.where("tag = 'main'")
-    return N.descendants(mains, nodes).where("tag = 'a'").groupBy("page_id").agg(F.count("*").alias("n_links"))
+    """Links under each page's main element, counted where the page is parsed."""
+    return N.counted_within(_pages(spark, d), "main", "a").groupBy("page_id").agg(F.sum("n").alias("n_links"))
 
 
 def q_children(spark: SparkSession, d: str) -> DataFrame:
     """Children of the list in the navigation."""
-    nodes = N.dom_nodes(_pages(spark, d)).select("page_id", "node_id", "last", "parent_id", "kind", "tag")
+    nodes = N.dom_nodes(_pages(spark, d), ["page_id", "node_id", "parent_id", "kind", "tag"])
     return N.children(nodes.where("tag = 'ul'"), nodes).groupBy("page_id").agg(F.count("*").alias("n_items"))
 
 
 def q_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """Next navigation link of each, by lead over siblings' order."""
+    """Next navigation link of each, by lead over their order in the page."""
     found = N.select_all(_pages(spark, d), {"a": "nav a::attr(href)"})
     w = Window.partitionBy("page_id").orderBy("ord")
     return found.select("page_id", "ord", F.col("value").alias("href"), F.lead("value").over(w).alias("next_href"), F.lag("value").over(w).alias("previous_href"))
@@ -99,18 +97,19 @@ def q_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 def q_nth_of_type(spark: SparkSession, d: str) -> DataFrame:
     """Articles with their place among siblings of the same tag."""
-    nodes = N.dom_nodes(_pages(spark, d))
-    return nodes.where("tag = 'article'").select("page_id", "nth_of_type", F.col("attr")["data-sku"].alias("sku"))
+    nodes = N.dom_nodes(_pages(spark, d), ["page_id", "nth_of_type", "attr"], ["article"])
+    return nodes.select("page_id", "nth_of_type", F.col("attr")["data-sku"].alias("sku"))
 
 
 def q_search_text(spark: SparkSession, d: str) -> DataFrame:
     """Pages whose h1's own text holds "guide", any case."""
-    return N.find_by_text(N.dom_nodes(_pages(spark, d)).where("tag = 'h1'"), "GUIDE", partial=True, case=False).select("page_id", F.col("text_direct").alias("h1"))
+    nodes = N.dom_nodes(_pages(spark, d), ["page_id", "kind", "text_direct"], ["h1"])
+    return N.find_by_text(nodes, " GUIDE ", partial=True).select("page_id", F.col("text_direct").alias("h1"))
 
 
 def q_search_regex(spark: SparkSession, d: str) -> DataFrame:
     """Prices by a regular expression over elements' own texts."""
-    found = N.find_by_regex(N.dom_nodes(_pages(spark, d)), r"^\d+\.\d\d EUR$")
+    found = N.find_by_regex(N.dom_nodes(_pages(spark, d), ["page_id", "kind", "text_direct"]), r"^\d+\.\d\d eur$")
     return found.select("page_id", F.regexp_extract("text_direct", r"^(\d+\.\d\d)", 1).cast("double").alias("price"))
 
 
@@ -167,7 +166,7 @@ def q_jsonld(spark: SparkSession, d: str) -> DataFrame:
 
 def q_cleaned(spark: SparkSession, d: str) -> DataFrame:
     """Main content of the pages without navigation and footers."""
-    return views.cleaned_view(_pages(spark, d))
+    return views.cleaned_view(_pages(spark, d)).select("page_id", "text")
 
 
 def q_links(spark: SparkSession, d: str) -> DataFrame:
@@ -283,17 +282,26 @@ def q_jaccard(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_relocate(spark: SparkSession, d: str) -> DataFrame:
-    """Each page's h1 found again by the fingerprint stored for the h1 of its host's first page."""
+    """Each page's h1 found again, among all elements, by the fingerprint stored for the h1 of its host's
+    first page."""
     pages = _pages(spark, d)
-    fps = adaptive.element_fingerprints(pages).withColumn("domain", urls.adaptive_domain(F.col("url"))).drop("url")
-    stored = fps.where("fp.tag = 'h1'").groupBy("domain").agg(F.min_by("fp", "page_id").alias("fp")).withColumns({"identifier": F.lit("h1"), "version": F.lit(1).cast("long")})
-    return adaptive.relocate(fps.where("fp.tag in ('h1', 'h2', 'title')"), stored).select("page_id", "identifier", "node_id", F.round("score", 6).alias("score"))
+    own = lambda df: df.withColumn("domain", urls.adaptive_domain(F.col("url"))).drop("url")
+    stored = own(adaptive.element_fingerprints(pages, ("h1",))).groupBy("domain").agg(F.min_by("fp", "page_id").alias("fp")).withColumns({"identifier": F.lit("h1"), "version": F.lit(1).cast("long")})
+    return adaptive.relocate(own(adaptive.element_fingerprints(pages)), stored).select("page_id", "identifier", "node_id", F.round("score", 6).alias("score"))
+
+
+def q_relocated_text(spark: SparkSession, d: str) -> DataFrame:
+    """What the relocated h1 of each page says."""
+    found = q_relocate(spark, d).select("page_id", "node_id")
+    nodes = N.dom_nodes(_pages(spark, d), ["page_id", "node_id", "tag", "text_full"])
+    return found.join(nodes, ["page_id", "node_id"]).select("page_id", "tag", F.col("text_full").alias("h1"))
 
 
 def q_similar(spark: SparkSession, d: str) -> DataFrame:
-    """Articles similar to others of their page."""
-    fps = adaptive.element_fingerprints(_pages(spark, d)).where("fp.tag = 'article'")
-    return adaptive.similar(fps).groupBy("page_id").agg(F.count("*").alias("n_pairs"))
+    """Articles similar to the first one of their page."""
+    fps = adaptive.element_fingerprints(_pages(spark, d), ("article",))
+    asked = fps.groupBy("page_id").agg(F.min("node_id").alias("node_id"))
+    return adaptive.similar(fps, asked).groupBy("page_id").agg(F.count("*").alias("n_similar"))
 
 
 def q_json_path(spark: SparkSession, d: str) -> DataFrame:
@@ -316,13 +324,16 @@ def q_normalize(spark: SparkSession, d: str) -> DataFrame:
 def q_extension(spark: SparkSession, d: str) -> DataFrame:
     """Content types and path extensions of results."""
     w = table(spark, d, "web_extract_results").where("extraction is not null")
-    return w.groupBy(urls.media_type(F.col("extraction.content_type")).alias("media_type")).agg(F.count("*").alias("n"))
+    path = F.regexp_extract(F.trim("url"), r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
+    return w.groupBy(urls.media_type(F.col("extraction.content_type")).alias("media_type"), urls.extension(F.concat(path, F.when(F.col("result_id") % 2 == 0, ".PDF;x").otherwise(""))).alias("extension")).agg(F.count("*").alias("n"))
 
 
 def q_stats(spark: SparkSession, d: str) -> DataFrame:
     """Crawl statistics of the cached responses."""
     c = table(spark, d, "response_cache_records")
-    log = c.select(F.when(frontier.is_blocked(F.col("status")), "blocked").otherwise("ok").alias("outcome"), "status", F.lit(None).cast("string").alias("sid"), urls.host(F.col("url")).alias("host"), F.coalesce(F.length(F.unbase64("content")), F.lit(0)).cast("long").alias("bytes"), F.lit(0).cast("long").alias("items"))
+    others = F.element_at(F.array(*map(F.lit, ["failed", "skipped", "offsite", "robots", "dropped"])), (F.col("record_id") % 5).cast("int") + 1)
+    outcome = F.when(F.col("record_id") % 7 == 0, others).when(frontier.is_blocked(F.col("status")), "blocked").otherwise("ok")
+    log = c.select(outcome.alias("outcome"), "status", F.lit(None).cast("string").alias("sid"), urls.host(F.col("url")).alias("host"), F.coalesce(F.length(F.unbase64("content")), F.lit(0)).cast("long").alias("bytes"), F.lit(0).cast("long").alias("items"))
     return frontier.crawl_stats(log)
 
 
@@ -347,7 +358,7 @@ def q_crawl(spark: SparkSession, d: str) -> DataFrame:
     """Two waves from the first page of each host over the links of all pages."""
     pages = _pages(spark, d)
     seeds = pages.groupBy(urls.adaptive_domain(F.col("url"))).agg(F.min_by("url", "page_id").alias("url")).select("url")
-    return frontier.crawl(seeds, pages, lambda p: links.extract_links(p, links.LinkExtractor(restrict_css=("nav",))), 2).groupBy("wave").agg(F.count("*").alias("n"))
+    return frontier.crawl(seeds, pages, lambda p: links.extract_links(p, links.LinkExtractor(restrict_css=("nav",))), 2, ["example", "test"]).groupBy("wave").agg(F.count("*").alias("n"))
 
 
 QUERIES = {k: f for k, f in globals().items() if k.startswith("q_")}
@@ -393,15 +404,64 @@ select call_id, s suggestion, row_number() over (partition by call_id order by m
     "q_json_path": "select request_id, json_extract_string(meta, '$.depth') depth from scheduler_requests where meta is not null",
     "q_regex": r"""select doc_id, 2 * len(regexp_extract_all(text, '([0-9]+)\.([0-9]+)'))::bigint n, replace(array_to_string(regexp_extract_all(text, '([0-9]+)\.([0-9]+)'), ','), '.', ',') "groups" from documents where text is not null""",
     "q_normalize": r"select result_id, trim(regexp_replace(title, '[\s\x{00A0}]+', ' ', 'g')) title from web_extract_results where title is not null",
-    "q_extension": "select lower(trim(split_part(extraction.content_type, ';', 1))) media_type, count(*) n from web_extract_results where extraction is not null group by 1",
+    "q_extension": r"""select lower(trim(split_part(extraction.content_type, ';', 1))) media_type, case when url is null then null when result_id % 2 = 0 then 'pdf' else lower(regexp_extract(regexp_extract(trim(url), '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '\.([^./]*)/*$', 1)) end "extension", count(*) n from web_extract_results where extraction is not null group by all""",
     "q_retries": "select record_id, 2::bigint retry_count, -1::bigint priority from response_cache_records where status in (401, 403, 407, 429, 444, 500, 502, 503, 504)",
     "q_rotation": f"select event_id, {PROXIES!r}[(row_number() over (partition by user_id order by event_id) - 1) % 3 + 1] choice from events",
     "q_history": "select user_id, event_id, ago from (select user_id, event_id, row_number() over (partition by user_id order by event_id desc) - 1 ago from events) where ago < 5",
     "q_jaccard": r"""with t as (select result_id, lower(trim(regexp_replace(title, '\s+', ' ', 'g'))) a, lower(trim(regexp_replace(split_part(content, chr(10), 1), '\s+', ' ', 'g'))) b from web_extract_results where title is not null and content is not null),
 s as (select *, list_distinct(regexp_extract_all(a, '[\p{L}\p{N}]+')) x, list_distinct(regexp_extract_all(b, '[\p{L}\p{N}]+')) y from t)
 select result_id, round(case when a = b then 1.0 when a = '' or b = '' then 0.0 when len(x) + len(y) = 0 then 1.0 else len(list_intersect(x, y))::double / len(list_distinct(list_concat(x, y))) end, 6) similarity from s""",
-    "q_stats": r"""with l as (select *, status in (401, 403, 407, 429, 444, 500, 502, 503, 504) b, coalesce(octet_length(from_base64(content)), 0) n, lower(regexp_extract(trim(url), '^[A-Za-z]+://([^/?#:]+)', 1)) h from response_cache_records),
-t as (select count(*) requests, 0 items, count(*) filter (b) blocked, 0 failed, 0 skipped, 0 offsite, 0 robots, 0 dropped, sum(n) bytes from l)
+    "q_stats": r"""with a as (select *, case when record_id % 7 = 0 then ['failed', 'skipped', 'offsite', 'robots', 'dropped'][record_id % 5 + 1] when status in (401, 403, 407, 429, 444, 500, 502, 503, 504) then 'blocked' else 'ok' end o, coalesce(octet_length(from_base64(content)), 0) n, lower(regexp_extract(trim(url), '^[A-Za-z]+://([^/?#:]+)', 1)) h from response_cache_records),
+l as (select * from a where o in ('ok', 'blocked')),
+t as (select count(*) filter (o in ('ok', 'blocked')) requests, 0 items, count(*) filter (o = 'blocked') blocked, count(*) filter (o = 'failed') failed, count(*) filter (o = 'skipped') skipped, count(*) filter (o = 'offsite') offsite, count(*) filter (o = 'robots') robots, count(*) filter (o = 'dropped') dropped, sum(n) filter (o in ('ok', 'blocked')) bytes from a)
 select '' "key", name, value::bigint "value" from (unpivot t on columns(*) into name name value value)
-union all select 'status', status::varchar, count(*) from l group by 2 union all select 'host', h, sum(n)::bigint from l group by 2""",
+union all select 'status', status::varchar, count(*) from l where status is not null group by 2 union all select 'host', h, sum(n)::bigint from l group by 2""",
+}
+
+_CLEAN = lambda x: f"trim(regexp_replace({DECODE.format(x)}, '\\s+', ' ', 'g'))"
+_TITLE = _CLEAN("regexp_extract(coalesce(html, ''), '<title>(.*?)</title>', 1, 's')")
+_ALL = f"""(select page_id, {DECODE.format("m[1]")} href, {_CLEAN("regexp_replace(m[2], '<[^>]*>', ' ', 'g')")} t, i, inmain, innav from
+(select page_id, [regexp_extract(x, ' href="([^"]*)"', 1), regexp_extract(x, '^<a[^>]*>(.*)</a>$', 1, 's')] m, i, contains(regexp_extract(html, '<main[^>]*>(.*?)</main>', 1, 's'), x) inmain, contains(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), x) innav from
+(select page_id, html, unnest(regexp_extract_all(coalesce(html, ''), '<a[^>]*? href="[^"]*"[^>]*>.*?</a>', 0, 's')) x, generate_subscripts(regexp_extract_all(coalesce(html, ''), '<a[^>]*? href="[^"]*"[^>]*>.*?</a>', 0, 's'), 1) i from pages)))"""
+_FULL = lambda tag: _CLEAN(f"regexp_replace(regexp_extract(coalesce(html, ''), '<{tag}[^>]*>(.*?)</{tag}>', 1, 's'), '<[^>]*>', ' ', 'g')")
+SQL |= {
+    "q_title": f"select page_id, {_TITLE} title from pages",
+    "q_xpath_nth": f"select page_id, {DECODE.format('l')} label from (select page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<li><a[^>]*>([^<]*)</a></li>', 1)[2] l from pages) where l <> ''",
+    "q_css_union": f"select page_id, (2 * (h <> '')::int + (t <> '')::int)::bigint n, (2 * (h <> '')::int + (t <> '')::int)::bigint n_branches from (select page_id, coalesce({_H1}, '') h, {_TITLE} t from pages) where h <> '' or t <> ''",
+    "q_descendants": f"select page_id, count(*)::bigint n_links from {_MAIN} group by 1",
+    "q_children": "select page_id, len(regexp_extract_all(html, '<li>'))::bigint n_items from pages where len(regexp_extract_all(html, '<li>')) > 0",
+    "q_full_text": f"select page_id, {_FULL('footer')} footer from pages where html like '%<footer%'",
+    "q_semantic_headings": "select t tag, sum(n)::bigint n from (select 'h' || k t, len(regexp_extract_all(coalesce(html, ''), '<h' || k || '>')) n from pages, (select unnest([1, 2]) k)) group by 1",
+    "q_link_view": f"select page_id, (row_number() over (partition by page_id order by i))::int ord, t \"text\", href from {_ALL} where t <> '' and href <> ''",
+    "q_interactive": f"select page_id, 'link' \"role\", count(*) n from {_ALL} where t <> '' and href <> '' group by 1",
+    "q_links": f"select page_id, count(distinct href) n_links from {_ALL} where href not like 'mailto:%' and href <> '' group by 1",
+    "q_link_scope": f"select page_id, count(distinct href) n_links from {_ALL} where inmain and href not like 'mailto:%' group by 1",
+    "q_link_drops": f"select case when href = '' then 'empty_raw' when href like 'mailto:%' or href like '%?ref=%' then 'filtered' else '' end reason, count(*) n from {_ALL} group by 1",
+    "q_canonical": "select page_id, regexp_replace(url, '#.*$', '') canonical from pages",
+    "q_relocated_text": f"select page_id, 'h1' tag, {_H1} h1 from pages where html like '%<h1>%'",
+    "q_similar": r"""select page_id, len(regexp_extract_all(html, '<article class="card"')) - 1 n_similar from pages where len(regexp_extract_all(html, '<article class="card"')) > 1""",
+    "q_crawl": f"""with p as (select page_id, url, {_HOST} h from pages), s as (select h, arg_min(url, page_id) url, min(page_id) page_id from p group by h),
+n as (select distinct regexp_extract(s.url, '^([a-z]+://[^/]+)', 1) || a.href u from s join {_ALL} a on a.page_id = s.page_id where a.innav and (s.h like '%.example' or s.h like '%.test') and a.href like '/%')
+select 0::int wave, count(*) n from s union all select 1, count(*) from n where u not in (select url from s)""",
+}
+# Fingerprints from their definition, for the addresses of this data.
+_PARTS = """(select *, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) head, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) path, case when regexp_matches(url, '^[^#]*\\?') then regexp_extract(url, '\\?([^#]*)', 1) end q from scheduler_requests)"""
+_SORTED = """list_transform(list_sort(list_transform(list_zip(list_filter(string_split(q, '&'), lambda x: x <> ''), range(100)), lambda z: {'k': url_decode(replace(split_part(z[1], '=', 1), '+', ' ')), 'i': z[2], 'v': url_decode(replace(substr(z[1], len(split_part(z[1], '=', 1)) + 2), '+', ' ')), 'p': z[1]})),
+ lambda s: replace(url_encode(s.k), '%20', '+') || '=' || replace(url_encode(s.v), '%20', '+'))"""
+_CANON = f"lower(head) || path || case when q is null then '' when q = '' then '?' else '?' || array_to_string(list_filter({_SORTED}, lambda x: x is not null and x <> '='), '&') end"
+_SHA = f"""(select *, sha1('{{"body":"' || lower(hex(coalesce(body, '')::blob)) || '","method":"' || coalesce(nullif(upper("method"), ''), 'GET') || '","sid":"' || coalesce(sid, '') || '","url":"' || replace({_CANON}, '&', '\\u0026') || '"}}') fp from {_PARTS})"""
+_TAKEN = f"""(with r as (select * from {_SHA}) select * from r where dont_filter union all select * exclude (n) from (select *, row_number() over (partition by fp order by request_id) n from r where not dont_filter) where n = 1)"""
+SQL |= {
+    "q_selectors": "select page_id, '#m > h1' css, 'body > main > h1' css_full, '//*[@id=''m'']/h1' xpath, '//body/main/h1' xpath_full, true same from pages where html like '%<h1>%'",
+    "q_cleaned": f"select page_id, {_FULL('main')} \"text\" from pages",
+    "q_rules": r"""select case when regexp_matches(url, '[?&]page=') then 'paged' when regexp_matches(lower(url), '^[a-z]+://([^/?#:]*\.)?example[/?#:]') then 'example' else 'rest' end "rule", count(*) n from scheduler_requests group by 1""",
+    "q_robots": r"""select not (starts_with(p, '/column') and not starts_with(p, '/column/a') or regexp_matches(p, '^/item/.*\?ref=')) allowed, count(*) n, 0::double "delay" from (select regexp_extract(trim(url), '^[A-Za-z]+://[^/?#]*([^#]*)', 1) p from scheduler_requests) group by 1""",
+    "q_diagnose": r"""select r::int "rank", r = 1 accepted, count(*) n from (select unnest(range(1, len(regexp_extract_all(html, '<article ')) + 1)) r from pages) group by all""",
+    "q_fingerprints_all": f"select request_id, fp from {_SHA}",
+    "q_seen_all": f"select request_id from {_SHA} where fp not in (select unnest(seen) from scheduler_snapshots where seen is not null)",
+    "q_schedule_all": f"select crawl_id, request_id, row_number() over (partition by crawl_id order by priority desc, request_id) place from {_TAKEN}",
+    "q_stream_new": f"select dont_filter, count(*) n, count(distinct fp) n_keys from {_TAKEN} group by 1",
+    "q_static_extract": f"select page_id, {_TITLE} title, {_FULL('main')} content, case when html like '%<main%' then '' else 'css_selector matched no elements' end error from pages",
+    "q_follow": f"select (page_id % 3)::int priority, count(*) n, count(*) n_referers from (select distinct page_id, href from {_ALL} where innav and href not like 'mailto:%' and href <> '') group by 1",
+    "q_rules_every": r"""select 'paged' "rule", 5::int rule_priority, count(*) n from scheduler_requests where regexp_matches(url, '[?&]page=') union all select 'example', null, count(*) from scheduler_requests where regexp_matches(lower(url), '^[a-z]+://([^/?#:]*\.)?example[/?#:]')""",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -61,8 +62,18 @@ def as_pages(resp: DataFrame) -> DataFrame:
 
 
 def cache_lookup(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(hits, misses) of requests (with fp) in a cache (with fp): an inner and an anti-join."""
-    return requests.join(cache, "fp"), requests.join(cache.select("fp"), "fp", "left_anti")
+    """(hits, misses) of requests (with fp) in a cache (with fp): an inner and an anti-join. A cached
+    response answers each request of its fingerprint; of several the one stored last does."""
+    rest = [c for c in cache.columns if c not in requests.columns]
+    newest = cache.where("fp is not null").groupBy("fp").agg(F.max_by(F.struct(*rest), F.col("stored_at") if "stored_at" in cache.columns else F.col(rest[0])).alias("__r"))
+    hits = requests.join(newest, "fp").select(*requests.columns, *[F.col("__r")[c].alias(c) for c in rest])
+    return hits, requests.join(newest.select("fp"), "fp", "left_anti")
+
+
+def cache_counters(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    """(hits, misses): how many requests a cache answers."""
+    known = cache.select("fp", F.lit(1).alias("__hit")).where("fp is not null").distinct()
+    return requests.join(known, "fp", "left").agg(F.count("__hit").alias("hits"), F.count(F.when(F.col("__hit").isNull(), 1)).alias("misses"))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -76,6 +87,48 @@ def write_json_lines(items: DataFrame, path: str) -> None:
     items.write.mode("overwrite").json(path)
 
 
+def write_json_array(items: DataFrame, path: str, order: str, indent: bool = False) -> None:
+    """One file that holds all items as one JSON array, two blanks deep if ``indent``; no items are ``[]``.
+
+    Rows are written as they come from sorted partitions, one at a time, so the driver never holds more
+    than a batch. The format is one file by definition; large lists belong into ``write_json_lines``.
+    """
+    import json
+    from pathlib import Path
+
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    rows = items.orderBy(order).select(F.to_json(F.struct(*items.columns), {"ignoreNullFields": "false"}).alias("j"))
+    with target.open("w", encoding="utf-8") as f:
+        first = True
+        for r in rows.toLocalIterator():
+            text = r["j"]
+            if indent:
+                text = json.dumps(json.loads(text), indent=2, ensure_ascii=False).replace("\n", "\n  ")
+            f.write(("[" if first else ",") + ("\n  " if indent else "") + text)
+            first = False
+        f.write("[]" if first else "\n]" if indent else "]")
+
+
+def view_file(page: DataFrame, path: str) -> str:
+    """The body of one page (page_id, html) written to a file; its path. Several pages are an error."""
+    from pathlib import Path
+
+    rows = page.select("html").limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("a view needs exactly one page")
+    Path(path).write_text(rows[0]["html"] or "", encoding="utf-8")
+    return path
+
+
+def scraped(items: DataFrame, process: Callable[[Column], Column], column: str = "item") -> tuple[DataFrame, DataFrame]:
+    """(kept, counters) of items put through a hook, a column expression that gives the replacement or null
+    for an item to be dropped; counters are (kept, dropped)."""
+    done = items.withColumn(column, process(F.col(column)))
+    kept = done.where(F.col(column).isNotNull())
+    return kept, done.agg(F.count(column).alias("kept"), (F.count("*") - F.count(column)).alias("dropped"))
+
+
 def merged_meta(a: Column, b: Column) -> Column:
     """Two maps as one; the second's values count."""
     return F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b)

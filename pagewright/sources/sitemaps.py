@@ -16,9 +16,11 @@ LIMIT = 64 << 20
 
 
 def unpacked(body: bytes, content_type: str = "") -> bytes:
-    """A gzipped document, told by its first bytes or its content type, unpacked up to LIMIT."""
-    if body[:2] == b"\x1f\x8b" or "gzip" in content_type.lower() and body[:2] == b"\x1f\x8b":
-        return zlib.decompressobj(31).decompress(body, LIMIT)
+    """A gzipped document, told by its first bytes, unpacked; one of more than LIMIT bytes is an error."""
+    if body[:2] == b"\x1f\x8b":
+        body = zlib.decompressobj(31).decompress(body, LIMIT + 1)
+    if len(body) > LIMIT:
+        raise ValueError(f"a sitemap has more than {LIMIT} bytes")
     return body
 
 

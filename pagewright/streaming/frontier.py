@@ -26,10 +26,15 @@ def new_requests(stream: DataFrame) -> DataFrame:
 
 
 def run(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Append new requests to a parquet folder until all that is there is done."""
-    spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return new_requests(stream).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Append new requests to a parquet folder until all that is there is done. The session's own state
+    provider is put back once the query has been started, since a query keeps the one it began with."""
+    spark, key = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        return new_requests(stream).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
 
 
 def arrival_counts(stream: DataFrame, late: str = "2 days", window: str = "1 hour") -> DataFrame:
