@@ -1,21 +1,29 @@
 """Has this key been seen before? A keyed streaming state that never forgets.
 
-The stream of keys (those of the snapshots first, then the requests in their order of arrival) is
-aggregated by key in Structured Streaming: the state of a key is the smallest arrival order it came
-with, kept in RocksDB on the executors' disks and checkpointed to the shared folder. There is no
-watermark, so no state expires. Only the distinct keys of a batch reach the state, since partial
-aggregation runs before the shuffle: a key that makes up a third of all rows is one row a task.
-
-Each batch emits the first arrival of every key it touched. A request is a repeat exactly if it is
-not the first arrival of its key, so the answer comes from an anti-join on the unique request id,
-on which no key can be hot. Answers are exact; ``p3_wrong`` recomputes them by another way over all
-rows and counts the differences.
+The keys of the snapshots and of the requests are one stream. Its state is partitioned by a hash of the
+key into ``BUCKETS`` groups; a group's state holds its seen keys, each with the smallest arrival order it
+came with, in RocksDB on the executors' disks, checkpointed to the shared folder. There is no watermark and
+no timeout, so nothing expires.
+
+Each micro-batch puts its rows to the state and emits every request that turns out to be a repeat: its key
+is in the state with an earlier arrival, or an earlier request of the batch has it. Batches may bring
+requests in any order: where an earlier request comes late, the one that had counted as first is emitted as
+a repeat then, so after each batch the emitted rows are the exact answers for all that came so far.
+
+A key that makes up a third of all rows doesn't heat a task: before the shuffle each Arrow batch of rows
+keeps one row of a key for the state; the others are repeats for certain and travel by their own ids.
+
+Answers are exact; ``p3_wrong`` recomputes them by another way over all rows and counts the differences.
 """
 
 from __future__ import annotations
 
 import contextlib
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +31,11 @@ from pagewright.session import fresh_path, table
 
 #: Arrival order of keys that were there before the first request.
 BEFORE = -1
+#: Groups of the keyed state. A touched group's keys are read and written in each batch, so a state of
+#: billions of keys wants more groups; the number is fixed for the life of a state.
+BUCKETS = 2048
+#: Files of each source that a micro-batch takes at most.
+FILES = 4096
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -61,8 +74,105 @@ def _settings(spark: SparkSession, wanted: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def _combined(keys: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, key, arrival): of each key of an Arrow batch its earliest row, in the key's bucket; the other
+    requests of the key, which are repeats, without a key and in buckets of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            best: dict[bytes, int] = {}
+            later: list[int] = []
+            for k, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                got = best.get(k)
+                if got is None:
+                    best[k] = a
+                elif a != got:
+                    best[k] = min(a, got)
+                    if max(a, got) != BEFORE:
+                        later.append(max(a, got))
+            yield pa.RecordBatch.from_arrays([pa.array([*best, *[None] * len(later)], pa.binary()), pa.array([*best.values(), *later], pa.int64())], names=["key", "arrival"])
+
+    rows = keys.where("key is not null and arrival is not null").select("key", "arrival").mapInArrow(run, "key binary, arrival long")
+    own = F.when(F.col("key").isNull(), F.xxhash64("arrival")).otherwise(F.xxhash64("key"))
+    return rows.select(F.pmod(own, F.lit(buckets)).cast("int").alias("bucket"), "key", "arrival")
+
+
+def _load(blob: bytes | None) -> dict[bytes, int]:
+    if not blob:
+        return {}
+    t = pa.ipc.open_stream(blob).read_all()
+    return dict(zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True))
+
+
+def _dump(known: dict[bytes, int]) -> bytes:
+    batch = pa.RecordBatch.from_arrays([pa.array(list(known), pa.binary()), pa.array(list(known.values()), pa.int64())], names=["k", "a"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _answer(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """Repeats among the rows of a bucket, and its seen keys brought up to date."""
+    known = _load(state.get[0]) if state.exists else {}
+    out: list[int] = []
+    changed = False
+    for f in frames:
+        for k, a in zip(f["key"], f["arrival"].tolist(), strict=True):
+            if k is None:
+                out.append(a)
+                continue
+            k = bytes(k)
+            first = known.get(k)
+            if first is None or a < first:
+                known[k] = a
+                changed = True
+                if first is not None and first != BEFORE:
+                    out.append(first)  # had counted as the first
+            elif a > first:
+                out.append(a)
+    if changed:
+        state.update((_dump(known),))
+    yield pd.DataFrame({"request_id": np.array(out, np.int64)})
+
+
+def stream_repeats(keys: DataFrame, batches: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """(request_id) of the requests of the streaming frame ``keys`` (key, arrival) that aren't the first of
+    their key, each once; ``arrival`` is the request's id, or ``BEFORE`` for keys known from elsewhere.
+
+    Runs the stream over all that there is. ``batches`` names a folder that keeps the checkpoint and the
+    emitted rows, so that a later call goes on where this one ended; by default a new one under the shared
+    folder. Null keys give nothing; two rows of one id are one request.
+    """
+    spark = keys.sparkSession
+    root = batches or fresh_path(spark, "p3")
+
+    def emit(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{root}/repeats/batch={batch}")  # a batch done again replaces itself
+
+    with _settings(spark, STATE):
+        query = (
+            _combined(keys, buckets)
+            .groupBy("bucket")
+            .applyInPandasWithState(_answer, "request_id long", "known binary", "append", "NoTimeout")
+            .writeStream.outputMode("append")
+            .option("checkpointLocation", f"{root}/answers")
+            .trigger(availableNow=True)
+            .foreachBatch(emit)
+            .start()
+        )
+        query.awaitTermination()
+    try:
+        return spark.read.schema("request_id long, batch long").parquet(f"{root}/repeats").select("request_id").distinct()  # a row delivered again is answered again
+    except Exception as e:  # no batch ran: there was no input
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "request_id long")
+
+
 def first_arrivals(keys: DataFrame, batches: str | None = None) -> DataFrame:
-    """(key, arrival): the first arrival of each key of the streaming frame ``keys`` (key, arrival).
+    """(key, arrival): the first arrival of each key of the streaming frame ``keys`` (key, arrival), by a
+    streaming aggregation; each batch emits the keys it touched, and the least of a key's rows counts.
 
     Runs the stream over all that there is and returns what it emitted. ``batches`` names a folder
     that keeps the checkpoint and the emitted table, so that a later call goes on where this one
@@ -87,17 +197,17 @@ def first_arrivals(keys: DataFrame, batches: str | None = None) -> DataFrame:
         )
         query.awaitTermination()
     try:
-        return spark.read.schema("key binary, arrival long, batch long").parquet(f"{root}/first")
+        return spark.read.schema("key binary, arrival long, batch long").parquet(f"{root}/first").groupBy("key").agg(F.min("arrival").alias("arrival"))
     except Exception as e:  # no batch ran: there was no input
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], "key binary, arrival long, batch long")
+        return spark.createDataFrame([], "key binary, arrival long")
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str, columns: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
     schema = table(spark, sf_dir, name).select(*columns.split()).schema
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES)
     # a table is a file or a folder of files; a stream reads folders, or files by a pattern
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     is_file = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isFile()
@@ -126,7 +236,7 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
         _stream(spark, sf_dir, "scheduler_requests", "request_id dont_filter fingerprint"),
         _stream(spark, sf_dir, "scheduler_snapshots", "seen"),
     )
-    return repeats(table(spark, sf_dir, "scheduler_requests"), first_arrivals(keys))
+    return stream_repeats(keys)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,6 +107,32 @@ def test_seen_over_batches(spark, tmp_path):
     assert {x["request_id"] for x in seen.repeats(r, first).collect()} == {2, 7, 8, *range(10, 60)}
 
 
+def test_seen_in_any_order(spark, tmp_path):
+    """Requests, and a snapshot's key, that come after later requests of their key."""
+    rng = random.Random(11)
+    rows = [(i, rng.choice(["a", "b", "hot", "hot", "hot", f"k{i}"]).encode()) for i in range(200)]
+    files = [[(i, k) for i, k in rows if i % 7 == part] for part in rng.sample(range(7), 7)] + [[(seen.BEFORE, b"b"), (seen.BEFORE, b"k3")], [(7, rows[7][1])]]
+    path, root = str(tmp_path / "keys"), str(tmp_path / "root")
+    sofar: dict[int, bytes] = {}
+    before: set[bytes] = set()
+    for f in files:
+        spark.createDataFrame([(k, i) for i, k in f], "key binary, arrival long").coalesce(1).write.mode("append").parquet(path)
+        got = [r[0] for r in seen.stream_repeats(spark.readStream.schema("key binary, arrival long").parquet(path), root, 4).collect()]
+        sofar |= {i: k for i, k in f if i != seen.BEFORE}
+        before |= {k for i, k in f if i == seen.BEFORE}
+        want = [i for i, k in sofar.items() if k in before or any(j < i and q == k for j, q in sofar.items())]
+        assert sorted(got) == sorted(want)
+
+
+def test_late_first_request(spark, tmp_path):
+    path, root = str(tmp_path / "keys"), str(tmp_path / "root")
+    for i in (5, 1):
+        spark.createDataFrame([(b"A", i)], "key binary, arrival long").coalesce(1).write.mode("append").parquet(path)
+        got = seen.stream_repeats(spark.readStream.schema("key binary, arrival long").parquet(path), root).collect()
+    assert [r[0] for r in got] == [5]
+    assert seen.stream_repeats(spark.readStream.schema("key binary, arrival long").parquet(path).where("false")).count() == 0
+
+
 def test_repetition_frame(spark):
     d = spark.createDataFrame([(1, "a b c d e " * 9, "x", 5), (2, None, None, 1), (3, "", "x", 2), (None, "one two", "y", 3)], "doc_id long, text string, kind string, share int")
     got = repetition.repetition(d, "doc_id", "text", "kind")
