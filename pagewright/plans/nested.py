@@ -9,15 +9,15 @@ from pagewright.operators.nested import child_table, explode_level, json_nodes,
 from pagewright.session import table
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All nodes of jsonld and opengraph, scalars in lists included."""
+def nodes(spark: SparkSession, sf_dir: str, items: bool = True) -> DataFrame:
+    """All nodes of jsonld and opengraph, scalars in lists included unless told otherwise."""
     data = table(spark, sf_dir, "structured_data")
-    return json_nodes(data, "page_id", "jsonld", items=True).unionByName(map_nodes(data, "page_id", "opengraph", "og:"))
+    return json_nodes(data, "page_id", "jsonld", items).unionByName(map_nodes(data, "page_id", "opengraph", "og:"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, node_path, parent_path) of every object and every opengraph key."""
-    return objects(nodes(spark, sf_dir)).select("page_id", "node_path", "parent_path")
+    return nodes(spark, sf_dir, items=False).select("page_id", "node_path", "parent_path")
 
 
 def p5_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
