@@ -2,16 +2,18 @@
 
 The share of a document is the part of its words that lie in a sequence of ``SPAN`` consecutive
 words occurring at least ``TIMES`` times in it (occurrences may overlap). It is computed for all
-documents in one pass over whole texts, without a shuffle.
-
-Which share is too high is decided for each stratum (``kind``) on labelled holdout documents: a
-holdout document whose share lies under the defining bound ``FLOOR`` is one that must be kept. For
-each cutoff of a fixed grid the exact (Clopper-Pearson) upper bound of the rate at which such
-documents are rejected is computed at confidence 1 - DELTA / (strata x cutoffs), so that all bounds
-hold together. The lowest cutoff whose bound is at most ``ALPHA`` is used; a stratum with too few
-labels for any bound keeps the defining ``FLOOR`` and is reported as not certified. Cutoffs never
-fall under FLOOR, and since documents at or above it are never "to be kept", a certified stratum
-uses FLOOR too unless its labels contradict it.
+documents in one pass over whole texts, without a shuffle. A document is repetitive (``found``) if its
+share reaches ``FLOOR``; that bound is the problem's definition and no label moves it.
+
+Which share a pipeline may reject from without losing good documents is another question, and it is
+answered for each stratum (``kind``) by people's labels: a labelled document of quality ``GOOD`` or more
+must be kept, whatever its share, and rejecting it is a false rejection. All labelled documents are the
+holdout; nothing else is fitted on them. Cutoffs of a fixed grid, below and above FLOOR, are tested from
+the highest down: one passes if the exact (Clopper-Pearson) upper bound of its false-rejection rate at
+confidence 1 - DELTA / strata is at most ``ALPHA``, and the first that fails ends the stratum's sequence.
+Fixed-sequence testing needs no further division by the size of the grid, and the division by the strata
+makes all bounds hold together. A stratum's cutoff is the lowest that passed; one where none passes (too
+few labels, or good documents that repeat themselves) is not certified and rejects nothing.
 """
 
 from __future__ import annotations
@@ -29,8 +31,11 @@ from pagewright.session import materialize, table
 
 SPAN, TIMES = 5, 3
 FLOOR = 0.4
-GRID = [0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
-ALPHA, DELTA = 0.02, 0.05
+#: Cutoffs, from the safest on.
+GRID = [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1]
+#: Quality from which a labelled document must be kept; the rate of false rejections that is allowed; the
+#: probability that any stratum's cutoff exceeds it.
+GOOD, ALPHA, DELTA = 4, 0.1, 0.05
 
 
 def repeated_words(w: kernel.Words, span: int = SPAN, times: int = TIMES) -> np.ndarray:
@@ -94,10 +99,14 @@ def upper_bound(rejected: int, n: int, confidence: float) -> float:
 
 def risk_cutoffs(shares: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(kind, cutoff, n_holdout, n_rejected, bound, certified): one row for each kind of ``shares``
-    (a null kind counts as ''). Documents labelled twice count once."""
+    (a null kind counts as '').
+
+    Of several labels of a document the best counts; null ones don't. An uncertified kind has the cutoff
+    FLOOR, which rejects nothing by itself, with the bound that the safest cutoff reached.
+    """
     shares = shares.select("doc_id", F.coalesce("kind", F.lit("")).alias("kind"), "share")
-    held = shares.join(labels.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
-    kept = held.where(F.col("share") < FLOOR)
+    quality = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    kept = shares.join(quality.where(F.col("quality") >= GOOD).select("doc_id"), "doc_id", "left_semi")
     counts = kept.groupBy("kind").agg(F.count("*").alias("n"), *[F.sum((F.col("share") >= c).cast("long")).alias(f"r{i}") for i, c in enumerate(GRID)])
     strata = shares.groupBy("kind").agg(F.count("*").alias("documents"))
     m = strata.agg(F.count("*").alias("m"))
@@ -110,35 +119,55 @@ def risk_cutoffs(shares: DataFrame, labels: DataFrame, alpha: float = ALPHA, del
                 n, best = int(x["n"]), None
                 for i, c in enumerate(GRID):
                     r = int(x[f"r{i}"])
-                    b = upper_bound(r, n, 1 - delta / (x["m"] * len(GRID)))
-                    if b <= alpha:
-                        best = (x["kind"], c, n, r, b, True)
+                    b = upper_bound(r, n, 1 - delta / x["m"])
+                    if b > alpha:
+                        best = best or (x["kind"], FLOOR, n, r, b, False)
                         break
-                out.append(best or (x["kind"], FLOOR, n, int(x["r0"]), upper_bound(int(x["r0"]), n, 1 - delta / (x["m"] * len(GRID))), False))
+                    best = (x["kind"], c, n, r, b, True)
+                out.append(best)
             yield pd.DataFrame(out, columns=["kind", "cutoff", "n_holdout", "n_rejected", "bound", "certified"])
 
     return rows.mapInPandas(run, "kind string, cutoff double, n_holdout long, n_rejected long, bound double, certified boolean")
 
 
+def judged(shares: DataFrame, cutoffs: DataFrame, floor: float = FLOOR) -> DataFrame:
+    """Shares with ``found`` (the share reaches the floor) and ``rejected`` (it reaches its kind's certified
+    cutoff)."""
+    own = cutoffs.where("certified").select(F.col("kind").alias("__kind"), F.col("cutoff").alias("__cutoff"))
+    out = shares.join(own, F.coalesce("kind", F.lit("")) == F.col("__kind"), "left")
+    rejected = F.coalesce(F.col("share") >= F.col("__cutoff"), F.lit(False))
+    return out.withColumns({"found": F.col("share") >= floor, "rejected": rejected}).drop("__kind", "__cutoff")
+
+
 def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(table(spark, sf_dir, "documents"), "doc_id", "text", "kind")
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares = materialize(_shares(spark, sf_dir), "p10")
+    return judged(shares, risk_cutoffs(shares, table(spark, sf_dir, "labels")))
+
+
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_words, n_repeated, share) of every document."""
     return _shares(spark, sf_dir).select("doc_id", "n_words", "n_repeated", F.round("share", 6).alias("share"))
 
 
 def p10_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cutoff of each kind, with its bound."""
-    return risk_cutoffs(_shares(spark, sf_dir), table(spark, sf_dir, "labels"))
+    """The cutoff of each kind, with what it rests on."""
+    got = risk_cutoffs(_shares(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return got.select("kind", "cutoff", "n_holdout", "n_rejected", "certified")
+
+
+def p10_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, n_found, n_rejected): repetitive documents, and those that certified cutoffs reject."""
+    count = lambda c: F.count(F.when(F.col(c), 1))
+    return _judged(spark, sf_dir).groupBy(F.coalesce("kind", F.lit("")).alias("kind")).agg(count("found").alias("n_found"), count("rejected").alias("n_rejected"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id) of documents whose share reaches the cutoff of their kind."""
-    shares = materialize(_shares(spark, sf_dir), "p10")
-    cut = risk_cutoffs(shares, table(spark, sf_dir, "labels")).select("kind", "cutoff")
-    return shares.withColumn("kind", F.coalesce("kind", F.lit(""))).join(cut, "kind").where(F.col("share") >= F.col("cutoff")).select("doc_id")
+    """(doc_id) of repetitive documents, judged together with their kinds' certified cutoffs."""
+    return _judged(spark, sf_dir).where("found").select("doc_id")
 
 
 SQL = {
@@ -152,3 +181,13 @@ select d.doc_id, coalesce(n.n_words, 0) n_words, coalesce(r.n_repeated, 0) n_rep
 from documents d left join n using (doc_id) left join r using (doc_id)""",
 }
 SQL["p10_found"] = f"select doc_id from ({SQL['p10_shares']}) where share >= 0.4"
+
+_CUTOFFS = f"""(with s as (select d.doc_id, coalesce(d.kind, '') kind, x.share from documents d join ({SQL['p10_shares']}) x using (doc_id)),
+m as (select count(distinct kind) m from s), q as (select doc_id from labels group by doc_id having max(quality) >= {GOOD}),
+g as (select unnest({GRID!r}::double[]) c, unnest(range(1, {len(GRID) + 1})) i),
+t as (select s.kind, c, i, count(q.doc_id) n, count(q.doc_id) filter (share >= c) r from s cross join g left join q on q.doc_id = s.doc_id group by all),
+p as (select *, coalesce(list_sum(list_transform(range(0, r + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({ALPHA}) + (n - k) * ln(1 - {ALPHA})))), 1) <= {DELTA} / m ok from t, m),
+f as (select *, bool_and(ok) over (partition by kind order by i) good from p)
+select kind, case when bool_or(good) then min(c) filter (good) else {FLOOR} end cutoff, any_value(n) n_holdout, case when bool_or(good) then arg_max(r, i) filter (good) else arg_min(r, i) end n_rejected, bool_or(good) certified from f group by kind)"""
+SQL["p10_cutoffs"] = f"select * from {_CUTOFFS}"
+SQL["p10_rejected"] = f"select coalesce(d.kind, '') kind, count(*) filter (x.share >= {FLOOR}) n_found, count(*) filter (c.certified and x.share >= c.cutoff) n_rejected from documents d join ({SQL['p10_shares']}) x using (doc_id) join {_CUTOFFS} c on c.kind = coalesce(d.kind, '') group by 1"

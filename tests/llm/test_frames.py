@@ -3,6 +3,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagewright.llm import boilerplate, leaks, mojibake, near_duplicates, queries, repetition, residue, seen
 from pagewright.llm import tokens as T
@@ -142,6 +143,32 @@ def test_repetition_frame(spark):
     assert cut == {"x": (0.4, False), "": (0.4, False), "y": (0.4, False)}
 
 
+def test_cutoffs_move_with_the_labels(spark):
+    """Good documents without repetition certify low cutoffs; good ones that repeat themselves forbid them."""
+    rows = [(i, "clean", 0.05) for i in range(300)] + [(1000 + i, "mixed", 0.75 if i % 3 == 0 else 0.0) for i in range(300)] + [(2000 + i, "few", 0.0) for i in range(5)] + [(3000, None, 0.5)]
+    shares = spark.createDataFrame(rows, "doc_id long, kind string, share double")
+    labels = spark.createDataFrame([(i, 5) for i, _, _ in rows] + [(0, 1), (None, 5), (1, None)], "doc_id long, quality int")
+    got = {r["kind"]: r for r in repetition.risk_cutoffs(shares, labels).collect()}
+    assert (got["clean"]["cutoff"], got["clean"]["certified"], got["clean"]["n_rejected"]) == (0.1, True, 0)
+    assert (got["mixed"]["cutoff"], got["mixed"]["certified"]) == (0.8, True)
+    assert not got["few"]["certified"] and not got[""]["certified"]
+    bad = labels.withColumn("quality", F.lit(1))
+    assert not any(r["certified"] for r in repetition.risk_cutoffs(shares, bad).collect())
+    out = {r["doc_id"]: (r["found"], r["rejected"]) for r in repetition.judged(shares, repetition.risk_cutoffs(shares, labels)).collect()}
+    assert out[1000] == (True, False) and out[0] == (False, False) and out[3000] == (True, False)
+    assert repetition.risk_cutoffs(shares.limit(0), labels).count() == 0
+
+
+def test_false_rejections_stay_under_the_bound():
+    """With a true rate above ALPHA, a cutoff is certified with a probability of at most DELTA."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    n, trials = 200, 2000
+    passed = sum(repetition.upper_bound(int(r), n, 1 - repetition.DELTA) <= repetition.ALPHA for r in rng.binomial(n, repetition.ALPHA * 1.001, trials))
+    assert passed <= trials * repetition.DELTA * 1.3
+
+
 def test_garbled_records(spark):
     words = "déjà après élève Größe über für naïve café señor año"
     rows = [(i, words) for i in range(6)] + [(10, words.encode().decode("cp1252")), (11, 'see "Ã©" in place of é'), (12, "Âge plain")]
