@@ -9,10 +9,12 @@ Lower casing is per code point (the first one where it expands), which keeps len
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Code points laid out at a time. Bounds the memory of a pass (about 60 bytes a code point);
 #: a single longer text forms a block of its own.
@@ -119,3 +121,53 @@ def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     own = w.owner()
     at = np.flatnonzero(own[: len(h) - n + 1] == own[n - 1 :])
     return mix(acc[at]), at
+
+
+# Bitmaps of fixed size over 64-bit hashes: without false negatives, and as large for any number of rows.
+CHUNK = 16  # a chunk has 2**CHUNK bits
+
+
+def places_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> U64(64 - bits)).astype(np.int64)
+
+
+def has(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Which hashes a packed bitmap may hold."""
+    at = places_of(hashes, bits)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def gathered_bitmap(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:
+    """The packed bitmap of all hashes that a function gives for the batches of ``rows``.
+
+    Each task makes its own bitmap and emits its chunks that aren't empty; the chunks of one place are
+    OR-ed in tasks of their own, so exactly 2**bits / 8 bytes reach the driver, whatever the rows.
+    """
+    size, width = 1 << bits, 1 << min(CHUNK, bits)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.zeros(size, bool)
+        for b in batches:
+            for h in hashes(b):
+                marks[places_of(h, bits)] = True
+        packed = np.packbits(marks, bitorder="little").reshape(-1, width // 8)
+        full = np.flatnonzero(packed.any(axis=1))
+        yield _chunks(full, packed[full])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(data, np.uint8)
+                found[k] = found[k] | part if k in found else part
+        yield _chunks(np.array(list(found), np.int64), list(found.values()))
+
+    parts = rows.mapInArrow(own, "chunk int, data binary").repartition(min(8, size // width), "chunk").mapInArrow(together, "chunk int, data binary").toArrow()
+    out = np.zeros((size // width, width // 8), np.uint8)
+    for k, data in zip(parts.column(0).to_pylist(), parts.column(1).to_pylist(), strict=True):
+        out[k] = np.frombuffer(data, np.uint8)
+    return out.ravel()
+
+
+def _chunks(keys: np.ndarray, data) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([x.tobytes() for x in data], pa.binary())], names=["chunk", "data"])

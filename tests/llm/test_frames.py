@@ -182,6 +182,28 @@ def test_garbled_records(spark):
     assert fixed == {10: (words, True), 20: (words, True)}
 
 
+@pytest.mark.parametrize("chain", [("mac_roman",), ("cp1252",), ("latin-1", "cp1252"), ("cp1251", "mac_roman"), ("koi8-r",)])
+def test_long_words_of_unspaced_scripts(spark, chain):
+    """A unit longer than any bound, behind a letter, and units between punctuation, whose clean forms stand
+    elsewhere in the corpus."""
+    units = ["A数据处理流程需要稳定的存储系统和网络连接" * 3, "流程需要稳定", "Съешьжеещёэтихмягкихфранцузскихбулокдавыпейчаю" * 2]
+    clean = f"{units[0]} {units[2]} 存储系统。{units[1]}、网络连接"
+    bad = clean
+    for r in chain:
+        bad = mojibake.read(bad.encode(), r)
+    data = [(i, base64.b64encode(t.encode()).decode(), "utf-8") for i, t in enumerate([units[0], f"x {units[1]}。", units[2], "存储系统 网络连接", bad])]
+    df = spark.createDataFrame(data, "record_id long, content string, encoding string")
+    got = mojibake.restored(df).collect()
+    assert [(r["record_id"], r["text"], r["complete"]) for r in got] == [(4, clean, True)]
+
+
+def test_units_give_the_token_back():
+    rng = random.Random(12)
+    for _ in range(300):
+        t = "".join(rng.choice("aé。、数据ã€‚€¡£ï¼ÃО") for _ in range(rng.randrange(30)))
+        assert "".join(t[a:b] for a, b in mojibake.units(t)) == t
+
+
 def test_garbled_host(spark):
     """A host with a third of the rows garbles: its forms are commoner than the clean words."""
     russian = "Привет большой страны народ говорит правду"
