@@ -1,8 +1,9 @@
 """Records that are error pages, script notices, filler or unfilled templates.
 
-1. Every line that is no paragraph is normalised (lower case, digits to 0, the host's own name to a mark)
-   and counted by host in all records, over distinct pages with enough words to have a main text. Lines that recur
-   on a host, or under many hosts, are boilerplate.
+1. Every line is normalised (lower case, digits to 0, the host's own name to a mark) and counted by host in
+   all records, over distinct pages. Pages are told apart by their longest line: copies of an article are
+   one page, so their paragraphs don't recur, and error pages that say the same are one page, so what they
+   say isn't boilerplate. Lines that recur on a host, or under many hosts, are boilerplate.
 2. Records that show any evidence are looked at again: boilerplate lines and the title are
    subtracted, and evidence counts in what is left. A notice (error, block, script demand) needs to
    be what the record has instead of a text: next to nothing else may be left. Filler needs to make up
@@ -25,10 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.bodies import body_text
-from pagewright.session import table
+from pagewright.session import spread, table
 
-#: A page with fewer words may have no main text, so its lines don't count as boilerplate.
-PAGE_WORDS = 60
 #: A line is boilerplate if it stands on so many pages of a host, or under so many hosts.
 PAGES, HOSTS = 3, 3
 #: Words that a record may have besides a notice (reference numbers, advice what to do next).
@@ -80,8 +79,8 @@ def normalised(line: str, site: str) -> str:
 
 # Placeholders: template languages, mail merge, and brackets left to be filled.
 PLACEHOLDER = re.compile(
-    r"\{\{\{?[^{}\n]{1,60}\}?\}\}|\{\{\{[^{}\n]{1,60}\}|\{%[^%\n]{1,80}%\}|[$#]\{[^{}\n]{1,40}\}|\{\$\w{1,40}\}|<%[^%\n]{1,80}%>|&lt;%[^%\n]{1,80}%&gt;"
-    r"|%%[A-Za-z_]{2,40}%%|(?<![\w%])%[A-Z][A-Z_]{2,40}%(?![\w%])|\*\|[A-Z_:]{2,40}\|\*|__[A-Z][A-Z0-9_]*?[A-Z0-9]__|@@\w{2,40}@@"
+    r"\{\{\{?[^{}\n]+\}?\}\}|\{\{\{[^{}\n]+\}|\{%[^%\n]+%\}|[$#]\{[^{}\n]+\}|\{\$\w+\}|<%[^%\n]+%>|&lt;%[^%\n]+%&gt;"
+    r"|%%[A-Za-z_]{2,}%%|(?<![\w%])%[A-Z][A-Z_]{2,}%(?![\w%])|\*\|[A-Z_:]{2,}\|\*|__[A-Z][A-Z0-9_]*?[A-Z0-9]__|@@\w{2,}@@"
     r"|\[(?:INSERT|YOUR|ENTER|ADD|PLACEHOLDER|REPLACE|COMPANY|NAME|TITLE|DATE)\b[A-Z0-9 _.]*\](?!\()|\[(?:[A-Z][a-z]+\.?)(?: [A-Z][a-z]*\.?){0,2}\](?![(:\[\]])|\[object Object\]"
 )
 # What is left of a text that was to be written: whole-line evidence.
@@ -125,7 +124,7 @@ SCRIPTS = re.compile(
     rf"|^.{{0,40}}\bhas {_SCRIPT} (?:disabled|turned off|switched off|blocked)|\b{_SCRIPT} and cookies must be\b|^you need to .{{0,30}}\b{_SCRIPT}|^(?:loading|if (?:nothing|the page|it)).{{0,40}}\b{_SCRIPT}",
     re.I,
 )
-_QUOTED = re.compile(r"[\"“«„][^\"”»“\n]{0,80}[\"”»“]")
+_QUOTED = re.compile(r"[\"“«„][^\"”»“\n]*[\"”»“]")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 
 
@@ -136,7 +135,7 @@ def placeholder(text: str) -> bool:
         a, b = m.span()
         if a and text[a - 1] in QUOTES and b < len(text) and text[b] in QUOTES:
             continue
-        if text.find("`", max(0, a - 200), a) >= 0 or "```" in text or "~~~" in text:
+        if "`" in text or "~~~" in text:
             if fenced is None:
                 fenced = [x.span() for x in re.finditer(r"(?s)(`{3,}|~{3,}).*?(?:\1|\Z)|`[^`\n]*`", text)]
             if any(x <= a and b <= y for x, y in fenced):
@@ -152,21 +151,8 @@ def notice(sentence: str) -> bool:
 _MARK = re.compile(r"[{\[]|%%|<%|&lt;%|%[A-Z]|\*\||__[A-Z]|@@")
 #: Words that every unwritten text has one of.
 _UNWRITTEN_WORDS = ("todo", "tbd", "fixme", "goes here", "replace this", "insert", "sample", "placeholder", "dummy")
-#: Characters from which on a line is a paragraph of the page and no line of its template.
-PARAGRAPH = 200
-
-
-def beside(text: str) -> int:
-    """Words that the first paragraph has outside notices; 0 for a text without a paragraph."""
-    for line in text.split("\n"):
-        if len(line) >= PARAGRAPH:
-            return sum(len(s.split()) for s in _SENTENCE.split(line.strip()) if not notice(s))
-    return 0
-
-
 def any_evidence(text: str, filler: frozenset[str]) -> bool:
-    """Whether a record may be left out at all. A paragraph with more than BESIDES words outside
-    notices rules a notice out, so only its sentences are looked at in most records."""
+    """Whether a record may be left out at all: whether any evidence stands anywhere in it."""
     low = text.lower()
     if _MARK.search(text) and PLACEHOLDER.search(text):
         return True
@@ -175,7 +161,7 @@ def any_evidence(text: str, filler: frozenset[str]) -> bool:
     words = low.replace(".", " ").split()
     if "ipsum" in low or 4 * sum(w in filler for w in words) >= len(words):
         return True
-    return beside(text) <= BESIDES and any(notice(s) for x in text.split("\n") if x.strip() for s in _SENTENCE.split(x.strip()))
+    return any(notice(s) for x in text.split("\n") if x.strip() for s in _SENTENCE.split(x.strip()))
 
 
 def verdict(lines: list[str], filler: frozenset[str]) -> str | None:
@@ -236,26 +222,28 @@ def line_counts(rows: DataFrame) -> DataFrame:
         for b in batches:
             seen = set()
             for _, host, url, _, text in _texts(b):
-                lines = text.split("\n")
-                if len(text.split()) < PAGE_WORDS:
-                    continue
-                h, p, site = digest(host), digest(url), site_name(host)
-                seen.update((h, digest(n), p) for n in {normalised(x, site) for x in lines if 0 < len(x) < PARAGRAPH} if n)
+                site = site_name(host)
+                lines = {n for x in text.split("\n") if x and (n := normalised(x, site))}
+                if lines:
+                    h, p = digest(host), digest(max(lines, key=lambda n: (len(n), n)))
+                    seen.update((h, digest(n), p) for n in lines)
             out = [*zip(*seen, strict=True)] or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["host", "line", "page"])
 
     pages = rows.mapInArrow(run, "host long, line long, page long").distinct()
     by_host = pages.groupBy("host", "line").agg(F.count("*").alias("pages"))
-    by_host = by_host.groupBy("line", "host").agg(F.sum("pages").alias("pages"))
-    everywhere = by_host.groupBy("line").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= HOSTS).select(F.lit(0).cast("long").alias("host"), "line")
+    # a page under several hosts is one page: the line needs as many pages as hosts
+    by_page = pages.groupBy("line", "page").agg(F.lit(1).alias("n")).groupBy("line").agg(F.count("*").alias("all_pages"))
+    hosts = by_host.groupBy("line").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= HOSTS)
+    everywhere = hosts.join(by_page.where(F.col("all_pages") >= HOSTS), "line").select(F.lit(0).cast("long").alias("host"), "line")
     return by_host.where(F.col("pages") >= PAGES).select("host", "line").unionByName(everywhere)
 
 
 def filler_words(rows: DataFrame) -> frozenset[str]:
     """Words in at least SEED_PART (and three) of the lines that begin with the filler phrase.
 
-    A word counts once a line and lines of 200 words have at most 200, so at most 200 / SEED_PART
-    words come to the driver.
+    A word counts once a line, so what comes to the driver is at most the mean number of words of such a
+    line divided by SEED_PART.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,6 +266,7 @@ def residue(rows: DataFrame) -> DataFrame:
     """(code, kind) of the records that aren't real content."""
     import xxhash
 
+    rows = spread(rows)
     boilerplate = line_counts(rows)
     filler = filler_words(rows)
 
@@ -292,16 +281,17 @@ def residue(rows: DataFrame) -> DataFrame:
                     for i, x in enumerate(lines):
                         if x and " ".join(x.split()).lower() != t:
                             n = digest(normalised(x, site) or x)
-                            out += [(code, i, x, h, n), (code, i, x, 0, n)]
-            columns = [*zip(*out, strict=True)] or [()] * 5
-            kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["code", "place", "text", "host", "line"])
+                            stays = bool(PLACEHOLDER.search(x))
+                            out += [(code, i, x, stays, h, n), (code, i, x, stays, 0, n)]
+            columns = [*zip(*out, strict=True)] or [()] * 6
+            kinds = [pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["code", "place", "text", "stays", "host", "line"])
 
-    lines = rows.mapInArrow(candidates, "code long, place int, text string, host long, line long")
+    lines = rows.mapInArrow(candidates, "code long, place int, text string, stays boolean, host long, line long")
     marked = lines.join(boilerplate.withColumn("recurs", F.lit(1)), ["host", "line"], "left")
-    once = marked.groupBy("code", "place").agg(F.first("text").alias("text"), F.max("recurs").alias("recurs"))
+    once = marked.groupBy("code", "place").agg(F.first("text").alias("text"), F.first("stays").alias("stays"), F.max("recurs").alias("recurs"))
     # bounded by the lines of one record
-    kept = once.groupBy("code").agg(F.sort_array(F.collect_list(F.when(F.col("recurs").isNull() | F.col("text").rlike(r"[{}\[\]%@|]"), F.struct("place", "text")))).alias("lines"))
+    kept = once.groupBy("code").agg(F.sort_array(F.collect_list(F.when(F.col("recurs").isNull() | F.col("stays"), F.struct("place", "text")))).alias("lines"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

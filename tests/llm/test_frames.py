@@ -257,6 +257,24 @@ def test_residue_frame(spark):
     assert {(r["code"], r["kind"]) for r in residue.residue(df).collect()} == {(100, "notice"), (107, "notice")}
 
 
+def test_residue_has_no_length_bounds(spark):
+    """Long placeholders, long boilerplate lines, menus with bars, quotes and code of any length."""
+    rng = random.Random(13)
+    cookie = "Please enable JavaScript to accept our cookies, " + sentence(rng, 40) + "."
+    real = [(i, f"http://h{i % 4}.test/{i}", None, f"{sentence(rng, 60)}.\nHome | Error 404: Not found | Sale\n{cookie}", None) for i in range(0, 40, 2)]
+    short = [(100 + 2 * i, f"http://h{i % 4}.test/s{i}", None, f"{sentence(rng, 20)}.\nShop | Help", None) for i in range(8)]
+    cases = [
+        (200, "http://h0.test/a", None, "Text {{" + "x" * 61 + "}} here", None),
+        (202, "http://h0.test/b", None, "Text *|" + "NAME_" * 20 + "X|* here", None),
+        (204, "http://h0.test/c", None, f"Sorry: this account is suspended.\n{cookie}\nHome | Error 404: Not found | Sale", None),
+        (206, "http://h0.test/d", None, "Write `" + "a " * 300 + "{{name}}` in a template", None),
+    ]
+    same = [(300 + 2 * i, f"http://h{i % 4}.test/e{i}", None, "Home | Help\n404 Not Found: the page is gone.", None) for i in range(12)]
+    df = spark.createDataFrame(real + short + cases + same, "code long, url string, title string, content string, encoding string")
+    got = {r["code"]: r["kind"] for r in residue.residue(df).collect()}
+    assert got == {200: "placeholder", 202: "placeholder", 204: "notice"} | {c: "notice" for c, *_ in same}
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
 @pytest.mark.parametrize("name", ["p1_found", "p3_found", "p9_found", "p10_found", "p10_shares"])
 def test_against_sql(spark, name):
