@@ -21,12 +21,14 @@ from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.llm import kernel
 from pagewright.llm.bodies import body_text
-from pagewright.session import spread, table
+from pagewright.session import materialize, spread, table
 
 #: A line is boilerplate if it stands on so many pages of a host, or under so many hosts.
 PAGES, HOSTS = 3, 3
@@ -213,20 +215,41 @@ def _texts(b: pa.RecordBatch, word: str = "") -> Iterator[tuple[int, str, str, s
                 yield code, host_of(url), (url or "").strip(), title or "", text
 
 
-def line_counts(rows: DataFrame) -> DataFrame:
-    """(host, line): hashes of lines that are boilerplate of a host; host 0 stands for any host."""
+def _digest(text: str) -> int:
     import xxhash
 
+    return int.from_bytes(xxhash.xxh3_64_digest(text.encode("utf-8", "replace")), "big", signed=True)
+
+
+#: Bits of the bitmap of the lines that are asked about (2 MB).
+LINE_BITS = 24
+
+
+def line_counts(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(host, line): hashes of lines that are boilerplate of a host; host 0 stands for any host.
+
+    All records are counted; lines that aren't in ``asked`` (line), told by a bitmap of fixed size without
+    false negatives, needn't be shuffled.
+    """
+    spark = rows.sparkSession
+    bitmap = kernel.gathered_bitmap(asked.select("line"), lambda b: [b.column(0).to_numpy().view(np.uint64)], LINE_BITS)
+    shared = spark.sparkContext.broadcast(bitmap)  # 2 MB, always
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = lambda s: int.from_bytes(xxhash.xxh3_64_digest(s.encode("utf-8", "replace")), "big", signed=True)
+        bits, mask = shared.value, 64 - LINE_BITS
         for b in batches:
             seen = set()
-            for _, host, url, _, text in _texts(b):
+            for _, host, _, _, text in _texts(b):
                 site = site_name(host)
                 lines = {n for x in text.split("\n") if x and (n := normalised(x, site))}
-                if lines:
-                    h, p = digest(host), digest(max(lines, key=lambda n: (len(n), n)))
-                    seen.update((h, digest(n), p) for n in lines)
+                p = h = None
+                for n in lines:
+                    line = _digest(n)
+                    at = (line & (1 << 64) - 1) >> mask
+                    if bits[at >> 3] >> (at & 7) & 1:
+                        if p is None:
+                            h, p = _digest(host), _digest(max(lines, key=lambda n: (len(n), n)))
+                        seen.add((h, line, p))
             out = [*zip(*seen, strict=True)] or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["host", "line", "page"])
 
@@ -264,23 +287,19 @@ def filler_words(rows: DataFrame) -> frozenset[str]:
 
 def residue(rows: DataFrame) -> DataFrame:
     """(code, kind) of the records that aren't real content."""
-    import xxhash
-
     rows = spread(rows)
-    boilerplate = line_counts(rows)
     filler = filler_words(rows)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = lambda s: int.from_bytes(xxhash.xxh3_64_digest(s.encode("utf-8", "replace")), "big", signed=True)
         for b in batches:
             out = []
             for code, host, _, title, text in _texts(b):
                 lines = [x.strip() for x in text.split("\n")]
                 if any_evidence(text, filler):
-                    site, h, t = site_name(host), digest(host), " ".join(title.split()).lower()
+                    site, h, t = site_name(host), _digest(host), " ".join(title.split()).lower()
                     for i, x in enumerate(lines):
                         if x and " ".join(x.split()).lower() != t:
-                            n = digest(normalised(x, site) or x)
+                            n = _digest(normalised(x, site) or x)
                             stays = bool(PLACEHOLDER.search(x))
                             out += [(code, i, x, stays, h, n), (code, i, x, stays, 0, n)]
             columns = [*zip(*out, strict=True)] or [()] * 6
@@ -288,6 +307,8 @@ def residue(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["code", "place", "text", "stays", "host", "line"])
 
     lines = rows.mapInArrow(candidates, "code long, place int, text string, stays boolean, host long, line long")
+    lines = materialize(lines, "p6-lines")
+    boilerplate = line_counts(rows, lines)
     marked = lines.join(boilerplate.withColumn("recurs", F.lit(1)), ["host", "line"], "left")
     once = marked.groupBy("code", "place").agg(F.first("text").alias("text"), F.first("stays").alias("stays"), F.max("recurs").alias("recurs"))
     # bounded by the lines of one record
