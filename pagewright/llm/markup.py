@@ -1,14 +1,16 @@
 """Markup residue: HTML, Markdown, wiki and LaTeX in texts, and clean text from it.
 
 A text, however the four are mixed, is parsed into leaves, each with its root-to-leaf tag path
-(``body/ul/li``, ``md/p/em``), its text and its kind. Text length and punctuation are aggregated per
-path; both are divided by the number of leaves (the path ratios), smoothed along the order in which
-paths first appear, and fused by their geometric mean. Paths whose score reaches the threshold (a part
-of the mean over all leaves) are content nodes. Headings, lists, code, tables, quotes and formulas are
-kept whatever their scores and however far from a content path, so a block of them is never cut;
-scripts and styles go, and other leaves below the threshold.
-
-A record has markup if any leaf was reached through a construct. Mere punctuation is none: a tag needs
+(``body/ul/li``), the construct steps by which it was reached (``html:b``, ``md:em``), its text and its
+kind. Text length and punctuation are aggregated per path; both are divided by the number of leaves (the
+path ratios), smoothed along the order in which paths first appear, and fused by their geometric mean.
+Paths whose score reaches the threshold (a part of the mean over all leaves) are content nodes. Headings,
+lists, code, tables, quotes and formulas are kept whatever their scores and however far from a content
+path, so a block of them is never cut. Of the leaves below the threshold, those that say a sentence or lie
+between content leaves are kept too, so short paragraphs stay; labels around the content go, as do scripts
+and styles.
+
+A record has markup if any leaf was reached by a construct step. Mere punctuation is none: a tag needs
 a known name, mathematics between dollars needs no blank inside its ends and no digit behind it, and
 emphasis needs word characters right inside and no word character outside.
 """
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.session import table
+from pagewright.session import spread, table
 
 #: Part of the mean score that a content path has at least.
 THRESHOLD = 0.25
@@ -41,6 +43,7 @@ HTML_NAMES = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _WIKI_TAGS = frozenset("ref references nowiki syntaxhighlight source math gallery includeonly noinclude onlyinclude poem".split())
 _BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 ul ol li table tr td th section article header footer nav aside main pre blockquote body html head title form dl dt dd figure figcaption br hr".split())
+_LISTS = frozenset("ul ol menu dir".split())
 _GONE = frozenset("script style template noscript head".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!(?:doctype|DOCTYPE)\b[^<>]*>|<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s+[^<>]*?|\s*)/?)>", re.S)
@@ -53,7 +56,7 @@ INLINE: list[tuple[str, str, re.Pattern]] = [
     ("wiki", "template", re.compile(r"\{\{()[^{}\n]*\}\}(?!\})")),
     ("wiki", "a", re.compile(r"\[\[(?:[^\[\]|\n]*\|)*([^\[\]|\n]*)\]\]|\[(?:https?|ftp|mailto):[^\s\]]*(?: ([^\]\n]*))?\]")),
     ("md", "img", re.compile(r"!\[([^\[\]\n]*)\](?:\([^()\n]*\)|\[[^\]\n]*\])")),
-    ("md", "a", re.compile(r"\[((?:[^\[\]\n]|\[[^\[\]\n]*\])*)\](?:\((?:[^()\n]|\([^()\n]*\))*\)|\[[^\[\]\n]{1,40}\])|<((?:https?|ftp|mailto):[^\s<>]+)>")),
+    ("md", "a", re.compile(r"\[((?:[^\[\]\n]|\[[^\[\]\n]*\])*)\](?:\((?:[^()\n]|\([^()\n]*\))*\)|\[[^\[\]\n]+\])|<((?:https?|ftp|mailto):[^\s<>]+)>")),
     ("md", "note", re.compile(r"\[\^()[^\[\]\s]+\]:?")),
     ("wiki", "b", re.compile(r"'''(?=\S)(.+?)(?<=\S)'''")),
     ("wiki", "i", re.compile(r"(?<!')''(?=[^\s'])(.+?)(?<=[^\s'])''(?!')")),
@@ -78,24 +81,35 @@ _ROW = re.compile(r"^\s*\|?.*\|.*$")
 _RULER = re.compile(r"^\s*\|?\s*:?-{2,}:?\s*(?:\|\s*:?-{2,}:?\s*)*\|?\s*$")
 _ENV = re.compile(r"^\s*\\begin\{([a-zA-Z]+)\*?\}(?:\[[^\]]*\]|\{[^{}]*\})*(.*)$")
 _SECTION = re.compile(r"^\s*\\(part|chapter|(?:sub){0,2}section|paragraph|title)\*?\{(.*)\}\s*$")
-_REFDEF = re.compile(r"^\s{0,3}\[[^\]\n]{1,60}\]:\s*\S+")
+_REFDEF = re.compile(r"^\s{0,3}\[[^\]\n]+\]:\s*\S+")
 _LEVEL = {"part": 1, "chapter": 1, "title": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4}
 _PUNCTUATION = re.compile(r"[.,;:!?。、，；：！？…]")
 
 
 class Leaf(NamedTuple):
+    """A text with its path. Kind "mark" is a construct without text (a comment, an empty element)."""
+
     path: str
     kind: str
     text: str
+    depth: int = 0
+    steps: tuple[str, ...] = ()
 
 
 class Parser:
-    """Leaves and construct families of one text."""
+    """Leaves of one text."""
 
     def __init__(self) -> None:
         self.leaves: list[Leaf] = []
-        self.families: set[str] = set()
         self.stack: list[str] = []
+        self.pending: list[str] = []  # construct steps since the last leaf
+        self.counts: dict[int, int] = {}  # items of the list at a place of the stack
+        self.fresh = False  # whether an item has no text yet
+        self.row: list[str] | None = None  # cells of the open table row
+        self.above = -1  # depth of the item before
+
+    def mark(self, family: str, tag: str) -> None:
+        self.pending.append(f"{family}:{tag}")
 
     # inline -----------------------------------------------------------------------------------
     def inline(self, text: str) -> str:
@@ -109,11 +123,11 @@ class Parser:
         for family, tag, pattern in INLINE:
 
             def swap(m: re.Match, tag=tag, family=family) -> str:
-                self.families.add(family)
+                self.mark(family, tag)
                 got = m[2] if tag == "code" else next((g for g in m.groups() if g is not None), "")
                 return keep(f"${got.strip()}$") if tag == "math" else keep(got) if tag == "code" else got
 
-            for _ in range(3):  # nested emphasis
+            while True:  # constructs inside others; each pass takes signs away, so it ends
                 new = pattern.sub(swap, text)
                 if new == text:
                     break
@@ -130,15 +144,24 @@ class Parser:
         def swap(m: re.Match) -> str:
             if m[1] and m[1] + ";" not in html.entities.html5:
                 return m[0]
-            self.families.add("html")
+            self.mark("html", "entity")
             return html.unescape(m[0]).replace("\xa0", " ")
 
         return ENTITY.sub(swap, text)
 
     # blocks -----------------------------------------------------------------------------------
-    def add(self, path: str, kind: str, text: str) -> None:
+    def add(self, path: str, kind: str, text: str, depth: int = 0) -> None:
+        if kind not in ("li", "oli"):
+            self.above = -1
         if text.strip():
-            self.leaves.append(Leaf("/".join([*self.stack, path]).strip("/"), kind, text.strip("\n") if kind == "code" else text.strip()))
+            self.leaves.append(Leaf("/".join([*self.stack, path]).strip("/"), kind, text.strip("\n") if kind == "code" else text.strip(), depth, tuple(self.pending)))
+            self.pending.clear()
+
+    def end_row(self) -> None:
+        if self.row is not None:
+            cells, self.row = self.row, None
+            if any(cells):
+                self.add("", "row", " | ".join(cells))
 
     def lines(self, text: str) -> None:
         """Markdown, wiki and LaTeX blocks of a text without HTML tags."""
@@ -160,7 +183,7 @@ class Parser:
                 continue
             if m := _FENCE.match(line):
                 flush()
-                self.families.add("md")
+                self.mark("md", "block")
                 j = i + 1
                 while j < n and not (lines[j].strip().startswith(m[1]) and not lines[j].strip().strip(m[1][0])):
                     j += 1
@@ -169,23 +192,23 @@ class Parser:
                 continue
             if m := _ATX.match(line):
                 flush()
-                self.families.add("md")
+                self.mark("md", "block")
                 self.add(f"md/h{len(m[1])}", f"h{len(m[1])}", self.inline(m[2]))
             elif (m := _WIKI_H.match(line)) and (len(m[1]) > 1 or i + 1 >= n or not lines[i + 1].strip()):
                 flush()
-                self.families.add("wiki")
+                self.mark("wiki", "block")
                 self.add(f"wiki/h{len(m[1])}", f"h{len(m[1])}", self.inline(m[2]))
             elif m := _SECTION.match(line):
                 flush()
-                self.families.add("latex")
+                self.mark("latex", "block")
                 self.add(f"latex/{m[1]}", f"h{_LEVEL[m[1]]}", self.inline(m[2]))
             elif i + 1 < n and (m := _SETEXT.match(lines[i + 1])) and len(m[1]) > 2 and not paragraph and not _RULER.match(line) and "|" not in line:
-                self.families.add("md")
+                self.mark("md", "block")
                 self.add("md/h" + ("1" if m[1][0] == "=" else "2"), "h1" if m[1][0] == "=" else "h2", self.inline(bare))
                 i += 1
             elif bare.startswith("{|"):
                 flush()
-                self.families.add("wiki")
+                self.mark("wiki", "block")
                 j = i + 1
                 cells: list[str] = []
                 while j < n and not lines[j].strip().startswith("|}"):
@@ -200,23 +223,23 @@ class Parser:
                 i = j
             elif m := _ENV.match(line):
                 flush()
-                self.families.add("latex")
-                end = "\\end{" + m[1]
-                body, j = [m[2]], i
-                if end not in m[2]:
-                    j = i + 1
-                    while j < n and end not in lines[j]:
-                        body.append(lines[j])
-                        j += 1
-                    if j < n:
-                        body.append(lines[j].split(end)[0])
-                else:
-                    body = [m[2].split(end)[0]]
+                self.mark("latex", "block")
+                start, end = "\\begin{" + m[1], "\\end{" + m[1]
+                body, j, open_ = [], i, 1
+                rest = m[2]
+                while True:  # up to its own end, whatever lies inside
+                    open_ += rest.count(start) - rest.count(end)
+                    if open_ <= 0 or j + 1 >= n:
+                        body.append(rest.rpartition(end)[0] if end in rest else rest)
+                        break
+                    body.append(rest)
+                    j += 1
+                    rest = lines[j]
                 self.environment(m[1], "\n".join(body))
                 i = j
             elif "|" in line and i + 1 < n and _RULER.match(lines[i + 1]) and "-" in lines[i + 1] and "|" in lines[i + 1]:
                 flush()
-                self.families.add("md")
+                self.mark("md", "block")
                 j = i
                 while j < n and "|" in lines[j]:
                     if not _RULER.match(lines[j]):
@@ -225,7 +248,7 @@ class Parser:
                 i = j - 1
             elif bare in ("\\[", "$$"):
                 flush()
-                self.families.add("latex")
+                self.mark("latex", "block")
                 end, j = ("\\]" if bare == "\\[" else "$$"), i + 1
                 while j < n and lines[j].strip() != end:
                     j += 1
@@ -233,18 +256,21 @@ class Parser:
                 i = j
             elif _RULE.match(line):
                 flush()
-                self.families.add("md")
+                self.mark("md", "block")
             elif m := _ITEM.match(line):
                 flush()
-                self.families.add("md")
+                self.mark("md", "block")
                 kind = "oli" if m[2][0].isdigit() else "li"
-                self.add("md/ol/li" if kind == "oli" else "md/ul/li", kind, (m[2] + " " if kind == "oli" else "") + self.inline(m[3]))
+                deep = len(m[2]) - 1 if m[2][0] in "*#" else len(m[1].expandtabs(4)) // 2
+                depth = min(deep, self.above + 1)  # an item is at most one level below the one before
+                self.add("md/ol/li" if kind == "oli" else "md/ul/li", kind, (m[2] + " " if kind == "oli" else "") + self.inline(m[3]), depth)
+                self.above = depth
             elif bare[0] == ">" and (m := _QUOTE.match(line)) and not paragraph:
-                self.families.add("md")
+                self.mark("md", "block")
                 self.add("md/blockquote", "quote", self.inline(m[1]))
             elif _REFDEF.match(line):
                 flush()
-                self.families.add("md")
+                self.mark("md", "block")
             else:
                 paragraph.append(line)
             i += 1
@@ -252,8 +278,7 @@ class Parser:
 
     def environment(self, name: str, body: str) -> None:
         if name in ("itemize", "enumerate", "description"):
-            for item in re.split(r"\\item\b(?:\[[^\]]*\])?", body)[1:]:
-                self.add(f"latex/{name}/item", "li", self.inline(item))
+            self.latex_list(name, body, 0)
         elif name in ("verbatim", "lstlisting", "minted", "Verbatim"):
             self.add(f"latex/{name}", "code", body)
         elif name in ("equation", "align", "displaymath", "eqnarray", "gather", "multline", "math"):
@@ -266,6 +291,26 @@ class Parser:
             self.lines(body)
             self.stack.pop()
 
+    def latex_list(self, name: str, body: str, depth: int) -> None:
+        """Items of a list and of the lists inside it, numbered in enumerations."""
+        kinds = "itemize|enumerate|description"
+        n, inner, begun = [0], [name], False
+        for part in re.split(rf"(\\(?:begin|end)\{{(?:{kinds})\}}|\\item\b(?:\[[^\]]*\])?)", body):
+            if m := re.match(rf"\\begin\{{({kinds})\}}", part):
+                inner.append(m[1])
+                n.append(0)
+            elif part.startswith("\\end{"):
+                if len(inner) > 1:
+                    inner.pop()
+                    n.pop()
+            elif part.startswith("\\item"):
+                n[-1] += 1
+                begun = True
+            elif begun and part.strip():
+                text = self.inline(" ".join(part.split()))
+                numbered = inner[-1] == "enumerate"
+                self.add(f"latex/{inner[-1]}/item", "oli" if numbered else "li", f"{n[-1]}. {text}" if numbered else text, depth + len(inner) - 1)
+
     def parse(self, text: str) -> Parser:
         """HTML tags first; what lies between them is looked at for the other three."""
         text = text.replace("\r\n", "\n").replace("\r", "\n")
@@ -292,28 +337,68 @@ class Parser:
                 continue
             run.append(text[at : m.start()])
             at = m.end()
-            self.families.add("wiki" if name in _WIKI_TAGS and name not in ("math", "source") else "html")
+            family = "wiki" if name in _WIKI_TAGS and name not in ("math", "source") else "html"
+            if not (name in _BLOCKS or name in _GONE or name in ("math", "syntaxhighlight", "nowiki", "ref")):
+                self.mark(family, name or "comment")
             if not name:
                 continue
             if name in _BLOCKS or name in _GONE or name in ("math", "syntaxhighlight", "nowiki", "ref"):
                 out()
                 pieces.append(("close" if m[1] else "open", name))
+                pieces.append(("step", f"{family}:{name}"))
                 if name in _VOID or m[3].endswith("/") and not m[1]:
                     pieces.append(("close", name))
         run.append(text[at:])
         out()
         for kind, value in pieces:
-            if kind == "open":
+            if kind == "step":
+                self.pending.append(value)
+            elif kind == "open":
                 if value == "li" and self.stack and self.stack[-1] == "li" or value == "p" and self.stack and self.stack[-1] == "p":
                     self.stack.pop()
+                if value in ("tr", "table"):
+                    self.end_row()
                 self.stack.append(value)
+                if value in _LISTS:
+                    self.counts[len(self.stack)] = 0
+                elif value == "li":
+                    self.fresh = True
+                    at = self.list_place()
+                    self.counts[at] = self.counts.get(at, 0) + 1
+                elif value in ("td", "th"):
+                    self.row = [*(self.row or []), ""]
             elif kind == "close":
+                if value in ("tr", "table"):
+                    self.end_row()
                 if value in self.stack:
                     del self.stack[len(self.stack) - 1 - self.stack[::-1].index(value) :]
             else:
                 self.html_text(value)
+        self.end_row()
+        if self.pending:
+            self.leaves.append(Leaf("", "mark", "", 0, tuple(self.pending)))
         return self
 
+    def list_place(self) -> int:
+        """The place in the stack of the innermost list, 0 without one."""
+        return next((i for i in range(len(self.stack), 0, -1) if self.stack[i - 1] in _LISTS), 0)
+
+    def item(self, text: str) -> None:
+        """Text of an HTML list item: numbered in ordered lists, indented in nested ones; what follows inside
+        the same item goes on with it."""
+        if not text:
+            return
+        at = self.list_place()
+        depth = max(0, sum(x in _LISTS for x in self.stack) - 1)
+        if not self.fresh and self.leaves and self.leaves[-1].kind in ("li", "oli"):
+            last = self.leaves[-1]
+            self.leaves[-1] = last._replace(text=f"{last.text} {text}", steps=last.steps + tuple(self.pending))
+            self.pending.clear()
+            return
+        numbered = self.fresh and at and self.stack[at - 1] == "ol"
+        self.fresh = False
+        self.add("", "oli" if numbered else "li", f"{self.counts[at]}. {text}" if numbered else text, depth)
+
     def html_text(self, text: str) -> None:
         names = [x for x in self.stack]
         if any(x in _GONE for x in names):
@@ -327,18 +412,18 @@ class Parser:
             self.add("", "h1" if inner == "title" else inner, self.inline(" ".join(text.split())))
         elif "ref" in names:
             return
-        elif "li" in names:
-            self.add("", "li", self.inline(" ".join(text.split())))
-        elif inner in ("td", "th"):
-            row = self.leaves[-1] if self.leaves and self.leaves[-1].kind == "row" and names.count("tr") else None
+        elif self.row is not None and ("td" in names or "th" in names):
             cell = self.inline(" ".join(text.split()))
-            if cell:
-                self.leaves.append(Leaf("/".join(names), "cell", cell))
+            self.row[-1] = f"{self.row[-1]} {cell}".strip()
+        elif "li" in names:
+            self.item(self.inline(" ".join(text.split())))
+        elif "blockquote" in names:
+            self.add("", "quote", self.inline(" ".join(text.split())))
         else:
             self.lines(text)
 
 
-STRUCTURE = frozenset(["code", "formula", "row", "cell", "li", "oli", "h1", "h2", "h3", "h4", "h5", "h6", "quote"])
+STRUCTURE = frozenset(["code", "formula", "row", "li", "oli", "h1", "h2", "h3", "h4", "h5", "h6", "quote"])
 
 
 def path_scores(leaves: list[Leaf]) -> dict[str, float]:
@@ -361,40 +446,49 @@ def path_scores(leaves: list[Leaf]) -> dict[str, float]:
 
 
 def content(leaves: list[Leaf]) -> list[Leaf]:
-    """Content leaves by thresholded path scores, and all structure."""
+    """Content leaves by thresholded path scores, all structure, and of the rest what says a sentence or lies
+    between content leaves."""
+    leaves = [x for x in leaves if x.kind != "mark"]
     if not leaves:
         return []
     score = path_scores(leaves)
     bar = THRESHOLD * sum(score[x.path] for x in leaves) / len(leaves)
-    return [x for x in leaves if score[x.path] >= bar or x.kind in STRUCTURE]
+    good = [score[x.path] >= bar for x in leaves]
+    first, last = (good.index(True), len(good) - 1 - good[::-1].index(True)) if any(good) else (len(good), -1)
+    return [x for i, x in enumerate(leaves) if good[i] or x.kind in STRUCTURE or first < i < last or _SENTENCE_END.search(x.text)]
+
+
+_SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*(?:\s|$)")
+
+
+def families(leaves: list[Leaf]) -> list[str]:
+    """Construct families of the steps in the leaves' paths."""
+    return sorted({step.partition(":")[0] for x in leaves for step in x.steps})
 
 
 def rendered(leaves: list[Leaf]) -> str:
-    """Clean text: headings with #, list items with -, code between fences, formulas between $$,
-    table rows with |; blocks are parted by blank lines, items and rows by line feeds."""
-    parts: list[tuple[str, str]] = []
+    """Clean text: headings with #, list items with - or their number and indented by their depth, code
+    between fences, formulas between $$, table rows with |; blocks are parted by blank lines, items and
+    rows by line feeds."""
+    out, before, above = "", "", 0
     for x in leaves:
-        if x.kind == "cell" and parts and parts[-1][0] == "cell":
-            parts[-1] = ("cell", parts[-1][1] + " | " + x.text)
-            continue
         text = (
             "#" * int(x.kind[1]) + " " + x.text
             if x.kind[0] == "h"
             else {"li": f"- {x.text}", "code": f"```\n{x.text}\n```", "formula": f"$$ {x.text} $$", "quote": f"> {x.text}"}.get(x.kind, x.text)
         )
-        parts.append((x.kind, text))
-    out = ""
-    for i, (kind, text) in enumerate(parts):
-        out += ("" if not i else "\n" if kind in ("li", "oli", "row", "cell") and parts[i - 1][0] == kind else "\n\n") + text
+        items = x.kind in ("li", "oli") and before in ("li", "oli") and (x.kind == before or x.depth > 0 or above > 0)
+        together = items or x.kind == "row" and before == "row"
+        out += ("" if not out else "\n" if together else "\n\n") + "  " * x.depth + text
+        before, above = x.kind, x.depth
     return out
 
 
 def clean(text: str) -> tuple[str, list[str]]:
     """(clean text, construct families) of a text. A text without markup stays as it is."""
-    parser = Parser().parse(text)
-    if not parser.families:
-        return text, []
-    return rendered(content(parser.leaves)), sorted(parser.families)
+    leaves = Parser().parse(text).leaves
+    found = families(leaves)
+    return (rendered(content(leaves)), found) if found else (text, [])
 
 
 SOURCES = ["browser_markdown_dumps", "response_models"]
@@ -424,7 +518,7 @@ def cleaned(rows: DataFrame) -> DataFrame:
                 texts.append("\n\n".join(t for t, _ in own if t.strip()).encode("utf-8", "replace").decode() if own else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(families, pa.list_(pa.string())), pa.array(texts, pa.string())], names=["tbl", "record_id", "families", "text"])
 
-    return rows.mapInArrow(run, "tbl string, record_id long, families array<string>, text string")
+    return spread(rows).mapInArrow(run, "tbl string, record_id long, families array<string>, text string")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

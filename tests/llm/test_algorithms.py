@@ -190,3 +190,33 @@ def test_long_tables_and_lists_stay_whole():
         markdown = "# Title\n\n" + f"{words * 12}\n\n" * 20 + "".join(f"- {x}\n" for x in items) + "\n| a | b |\n|---|---|\n" + "".join(f"| {x} | 1 |\n" for x in rows)
         got = markup.clean(markdown)[0]
         assert all(f"- {x}\n" in got for x in items) and all(f"{x} | 1" in got for x in rows)
+
+
+def test_short_prose_and_quotations_stay():
+    long = "<p>" + "Many words, and more of them; a long paragraph. " * 20 + "</p>"
+    page = f"<div>Menu</div>{long * 5}<blockquote>Short quoted words here.</blockquote>{long}<p>So it goes.</p><div>A short remark</div>{long}<div>Imprint</div>"
+    got = markup.clean(page)[0]
+    assert "> Short quoted words here." in got and "So it goes." in got and "A short remark" in got
+
+
+def test_lists_keep_numbers_and_nesting():
+    page = "<ol><li>one<ul><li>a</li><li>b <b>c</b><p>d</p></li></ul></li><li>two</li></ol>"
+    assert markup.clean(page)[0] == "1. one\n  - a\n  - b c d\n2. two"
+    assert markup.clean("- a\n  - b\n    - c\n- d\n\n1. x\n2. y")[0] == "- a\n  - b\n    - c\n- d\n\n1. x\n2. y"
+    latex = "\\begin{enumerate}\n\\item one\n\\begin{itemize}\n\\item in\n\\end{itemize}\n\\item two\n\\end{enumerate}"
+    assert markup.clean(latex)[0] == "1. one\n  - in\n2. two"
+
+
+def test_table_rows_stay_apart():
+    page = "<table><tr><th>h</th><th>i</th></tr><tr><td>1</td><td></td></tr><tr><td>a <b>b</b></td><td><ul><li>2</li></ul></td></tr></table><p>After.</p>"
+    assert markup.clean(page)[0] == "h | i\n1 | \na b | 2\n\nAfter." or markup.clean(page)[0] == "h | i\n1 |\na b | 2\n\nAfter."
+
+
+def test_markup_nests_without_bound():
+    text = "x " + "".join(f"\\textbf{{\\emph{{" for _ in range(6)) + "deep" + "}}" * 6 + " y"
+    assert markup.clean(text) == ("x deep y", ["latex"])
+    assert markup.clean("see [text][" + "l" * 80 + "] there")[1] == ["md"]
+
+
+def test_steps_without_text_count():
+    assert markup.clean("<br>")[1] == ["html"] and markup.clean("<!-- c -->")[1] == ["html"] and markup.clean("<script>x</script>")[1] == ["html"]
