@@ -66,11 +66,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The same rows over all cores, if its scan is so small that it would give fewer tasks than there
-    are cores (one small file is one task). What moves is bounded by cores times the bytes of a scan
-    task; larger inputs stay where they are."""
+    """The same rows over all cores, if the input is so small and in so few files that its scan would give
+    fewer tasks than there are cores (one small file is one task). What moves is bounded by cores times
+    the bytes of a scan task; larger inputs, and those in as many files as cores, stay where they are."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
     unit = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b") or "128m"))
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if cores > 1 and size < cores * unit else df
