@@ -5,12 +5,20 @@ Two layers, both of constant memory:
 * Text is cut into pieces by the vocabulary's split pattern. The pattern looks at most three code
   points ahead of a cut except inside a run of white space, so cuts of a whole batch are found with a
   few numpy passes over code points; a text longer than a block is fed in parts that end where a
-  piece is certain to end.
+  piece is certain to end, and a piece that is longer than a block by itself.
 * A piece is turned into tokens from left to right. A sequence of tokens is the merge list's result
   exactly if no neighbouring pair would have been merged across its border (``MergeList.fits``), so
-  each prefix has one last token, found among the tokens that end there. Tokens are emitted as soon
-  as every continuation shares them, which is known once the chains of all places where a later
-  token may still begin have met; those places lie within ``lookahead`` bytes.
+  each prefix has one last token, found among the tokens that end there. How many bytes must follow a
+  token until no continuation can change it is computed once from the merge list
+  (``MergeList.lookahead``, 320 bytes for the vocabulary used here); tokens are emitted as soon as that
+  many bytes have come.
+
+Why the lookahead suffices: merges run by rank. Take two continuations of the same bytes. At each rank
+both have the same symbols up to a common border, at first the end of those bytes. The border only moves
+where a merge (l, r) crosses it in one of the two, and then to the beginning of l. The next merge that
+crosses it, (l', r'), has a higher rank, since l appeared or stayed behind by then, and its right part
+begins with l. So the border never moves farther than the heaviest chain of merges of rising ranks, each
+right part of which begins with the left part before, weighed by the bytes of the left parts.
 
 Short pieces recur, so their tokens are kept in a table of bounded size.
 """
@@ -25,10 +33,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm import kernel
-from pagewright.session import table
+from pagewright.session import spread, table
 
 #: Where the public vocabularies lie, and the one that ``p8_ids`` uses.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -36,8 +45,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 KEPT = 200_000
 #: Longer pieces, in characters, are not kept.
 KEPT_LENGTH = 64
-#: Bytes between two looks for tokens that have become certain.
-STRIDE = 512
+#: Bytes that a transducer takes at a time.
+STRIDE = 1024
 
 
 def byte_letters() -> dict[str, int]:
@@ -49,7 +58,8 @@ def byte_letters() -> dict[str, int]:
 
 
 class MergeList:
-    """The merges of a vocabulary file, and what follows from them about neighbouring tokens."""
+    """The merges of a vocabulary file, and what follows from them about neighbouring tokens. As in every
+    trained list, a merge needs only earlier ones, and each token's own bytes merge to the token."""
 
     def __init__(self, path: str) -> None:
         import ahocorasick
@@ -87,11 +97,30 @@ class MergeList:
         self.left_spine = {t: spine(t, 0) for t in self.bytes}
         self.longest = max(map(len, self.bytes.values()))
         self.known: dict[tuple[int, int], bool] = {}
+        self.lookahead = self._sufficient_lookahead([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
         self.automaton = ahocorasick.Automaton()
         for t, b in self.bytes.items():
             self.automaton.add_word(b.decode("latin-1"), (t, len(b)))
         self.automaton.make_automaton()
 
+    def _sufficient_lookahead(self, rules: list[tuple[int, int, int]]) -> int:
+        """The heaviest chain of merges of rising ranks in which each right part begins with the left part
+        before, in bytes of the left parts. Rules are taken from the last to the first, so the heaviest
+        chain that goes on from a token is known when a rule needs it."""
+        made = {both: r for r, (_, _, both) in enumerate(rules)}
+        onward: dict[int, int] = {}  # token -> weight of the heaviest chain whose first right part begins with it
+        most = 0
+        for r in range(len(rules) - 1, -1, -1):
+            left, right, _ = rules[r]
+            if made.get(left, -1) >= r or made.get(right, -1) >= r:
+                raise ValueError("a merge comes before one that it needs")
+            weight = len(self.bytes[left]) + onward.get(left, 0)
+            most = max(most, weight)
+            for part, _ in self.left_spine[right]:
+                if onward.get(part, 0) < weight:
+                    onward[part] = weight
+        return most
+
     def fits(self, left: int, right: int) -> bool:
         """Whether the two tokens stay apart when they stand side by side.
 
@@ -119,69 +148,52 @@ class MergeList:
 
 
 class Transducer:
-    """Bytes in, tokens out. ``feed`` returns tokens that no later byte can change, ``finish`` the
-    rest. ``lookahead`` is the farthest that an emitted token had to wait."""
+    """Bytes in, tokens out. ``stream`` gives tokens that no later byte can change; ``held`` is the most
+    bytes that it kept."""
 
     def __init__(self, merges: MergeList) -> None:
-        self.merges, self.lookahead = merges, 0
+        self.merges, self.held = merges, 0
+        self.lookahead = merges.lookahead
 
     def encode(self, data: bytes) -> list[int]:
         """Tokens of a whole piece."""
-        if len(data) > 4 * STRIDE:
-            return [t for part in self.stream(data[i : i + STRIDE] for i in range(0, len(data), STRIDE)) for t in part]
-        last, fits = [-1], self.merges.fits
-        done = 0
-        for end, (token, size) in self.merges.automaton.iter(data.decode("latin-1")):
-            if end < done:
-                continue
-            before = last[end + 1 - size]
-            if before < 0 or fits(before, token):
-                last.append(token)
-                done = end + 1
-        return self._back(last, len(last) - 1)
-
-    def _back(self, last: list[int | None], place: int) -> list[int]:
-        out, size = [], self.merges.bytes
-        while last[place] >= 0:
-            out.append(last[place])
-            place -= len(size[last[place]])
-        return out[::-1]
+        return [t for part in self.stream(data[i : i + STRIDE] for i in range(0, len(data), STRIDE)) for t in part]
 
     def stream(self, parts: Iterable[bytes]) -> Iterator[list[int]]:
-        """Tokens of a piece that arrives in parts, in as many lists; memory doesn't grow with it."""
-        longest, fits = self.merges.longest, self.merges.fits
-        before, tail = -1, b""  # the token before the certain place; the bytes behind that place
-        last: list[int | None] = []  # of the prefixes of tail; none where no chain from the place ends
+        """Tokens of a piece that arrives in parts, in as many lists. What is kept are the lookahead, a token
+        and a part, however long the piece is."""
+        fits, size, wait, iter_ = self.merges.fits, self.merges.bytes, self.merges.lookahead, self.merges.automaton.iter
+        before, tail = -1, b""  # the last token given away; the bytes behind it
+        last: list[int | None] = [-1]  # of the prefixes of tail; none where no chain ends
         for part in parts:
             tail += part
             n = len(tail)
+            self.held = max(self.held, n)
             last = [before] + [None] * n
-            for end, (token, size) in self.merges.automaton.iter(tail.decode("latin-1")):
-                left = last[end + 1 - size]
+            for end, (token, length) in iter_(tail.decode("latin-1")):
+                left = last[end + 1 - length]
                 if last[end + 1] is None and left is not None and (left < 0 or fits(left, token)):
                     last[end + 1] = token
-            place = self._meeting(last, range(max(0, n - longest + 1), n + 1))
-            if place:
-                self.lookahead = max(self.lookahead, n - place)
-                last[0] = -1
-                out = self._back(last, place)
-                before, tail = out[-1], tail[place:]
+            if n <= wait:
+                continue
+            out, place = [], n
+            while place > 0:
+                token = last[place]
+                if place <= n - wait:
+                    out.append(token)
+                place -= len(size[token])
+            if out:
+                out.reverse()
+                done = sum(len(size[t]) for t in out)
+                before, tail = out[-1], tail[done:]
+                last = last[done:]
                 yield out
         if tail:
-            place = len(tail)
-            last = last[-place - 1 :]
-            last[0] = -1
-            yield self._back(last, place)
-
-    def _meeting(self, last: list[int | None], live: range) -> int:
-        """The last place that the chains of all live places go through."""
-        size = self.merges.bytes
-        reached = set(live)
-        while len(reached) > 1:
-            p = max(reached)
-            reached.discard(p)
-            reached.add(p - len(size[last[p]]) if p else 0)
-        return reached.pop()
+            out, place = [], len(tail)
+            while place > 0:
+                out.append(last[place])
+                place -= len(size[last[place]])
+            yield out[::-1]
 
 
 @lru_cache(maxsize=4)
@@ -190,6 +202,7 @@ def merge_list(path: str) -> MergeList:
 
 
 # Split pattern of the vocabulary (fixed by it): 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 OTHER, LETTER, NUMBER, SPACE = range(4)
 _kinds: list[np.ndarray] = []
 
@@ -287,32 +300,69 @@ class Encoder:
         """Ids of each text; a null text has none, as an empty one has."""
         flats, counts = [], []
         for _, block in kernel.blocks(texts):
-            parts, owner = [], []
+            count = np.zeros(len(block), np.int64)
+            parts: list[str] = []
+            owner: list[int] = []
+
+            def flush() -> None:
+                if parts:
+                    flat, sizes = self._block(parts)
+                    flats.append(flat)
+                    count[:] += np.bincount(owner, sizes, len(block)).astype(np.int64)  # noqa: B023
+                    parts.clear()
+                    owner.clear()
+
             for i, t in enumerate(block):
-                for part in stable_parts(t or ""):
-                    parts.append(part)
-                    owner.append(i)
-            flat, sizes = self._block(parts)
-            flats.append(flat)
-            counts.append(np.bincount(owner, sizes, len(block)).astype(np.int64))
+                for part, whole in stable_parts(t or ""):
+                    if whole:  # one piece, longer than a block
+                        flush()
+                        coded = (part[k : k + STRIDE].encode("utf-8", "surrogatepass") for k in range(0, len(part), STRIDE))
+                        for out in self.transducer.stream(coded):
+                            flats.append(np.array(out, np.int32))
+                            count[i] += len(out)
+                    else:
+                        parts.append(part)
+                        owner.append(i)
+            flush()
+            counts.append(count)
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1)
         values = np.concatenate(flats) if flats else np.empty(0, np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
 
 
-def stable_parts(text: str, size: int = kernel.BLOCK) -> Iterator[str]:
-    """A text in parts that end where a piece ends whatever follows: before a white space that
-    follows something else. A part grows beyond ``size`` only where there is no such place."""
-    start = 0
-    while len(text) - start > size:
-        cut = start + size
-        while cut < len(text) and not (text[cut] in " \n\t" and not text[cut - 1].isspace()):
-            cut += 1
-        if cut >= len(text):
-            break
-        yield text[start:cut]
-        start = cut
-    yield text[start:]
+def stable_parts(text: str, size: int = kernel.BLOCK) -> Iterator[tuple[str, bool]]:
+    """A text in parts of at most about ``size`` that end where a piece ends whatever follows, and pieces
+    that are longer than that by themselves (marked true).
+
+    A piece certainly ends between a letter and a number and before a white space behind something else.
+    """
+    start, n = 0, len(text)
+    while n - start > size:
+        kind = kinds()[np.frombuffer(text[start : start + size].encode("utf-32-le", "surrogatepass"), "<u4")]
+        a, b = kind[:-1], kind[1:]
+        sure = (a != b) & ((b == SPACE) | (a == LETTER) & (b == NUMBER) | (a == NUMBER) & (b == LETTER))
+        places = np.flatnonzero(sure)
+        if len(places):
+            cut = start + int(places[-1]) + 1
+            yield text[start:cut], False
+            start = cut
+            continue
+        # no such place in the block: the pieces one by one
+        end = start
+        for m in _PIECE.finditer(text, start):
+            if m.end() - m.start() > size // 2:
+                if end > start:
+                    yield text[start:end], False
+                yield m[0], True
+                end = m.end()
+                break
+            end = m.end()
+            if end - start > size // 2:
+                yield text[start:end], False
+                break
+        start = end
+    if start < n:
+        yield text[start:], False
 
 
 _encoders: dict[str, Encoder] = {}
@@ -332,7 +382,7 @@ def encode_texts(df: DataFrame, id_column: str, text_column: str, vocabulary: st
             yield pa.RecordBatch.from_arrays([b.column(0), ids], names=[id_column, "ids"])
 
     kind = df.schema[id_column].dataType.simpleString()
-    return df.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, ids array<int>")
+    return spread(df.select(id_column, text_column)).mapInArrow(run, f"`{id_column}` {kind}, ids array<int>")
 
 
 class Decoder:

@@ -220,3 +220,105 @@ def test_markup_nests_without_bound():
 
 def test_steps_without_text_count():
     assert markup.clean("<br>")[1] == ["html"] and markup.clean("<!-- c -->")[1] == ["html"] and markup.clean("<script>x</script>")[1] == ["html"]
+
+
+class TinyMerges(tokens.MergeList):
+    """A merge list over a few letters."""
+
+    def __init__(self, pairs):
+        import ahocorasick
+
+        letters = sorted({c for a, b in pairs for c in a + b} | set("abc"))
+        vocab = {x: i for i, x in enumerate(dict.fromkeys([*letters, *(a + b for a, b in pairs)]))}
+        self.bytes = {i: x.encode() for x, i in vocab.items()}
+        self.merge = {(vocab[a], vocab[b]): r for r, (a, b) in enumerate(pairs)}
+        rank, half = {}, {}
+        for r, (a, b) in enumerate(pairs):
+            rank.setdefault(vocab[a + b], r)
+            half.setdefault(vocab[a + b], (vocab[a], vocab[b]))
+
+        def spine(t, side):
+            out, until = [(t, len(pairs))], t
+            while until in half:
+                out.append((half[until][side], rank[until]))
+                until = half[until][side]
+            return out
+
+        self.right_spine = {t: spine(t, 1) for t in self.bytes}
+        self.left_spine = {t: spine(t, 0) for t in self.bytes}
+        self.longest = max(map(len, self.bytes.values()))
+        self.known = {}
+        self.lookahead = self._sufficient_lookahead([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
+        self.automaton = ahocorasick.Automaton()
+        for t, b in self.bytes.items():
+            self.automaton.add_word(b.decode("latin-1"), (t, len(b)))
+        self.automaton.make_automaton()
+
+
+def merged(pairs, text):
+    """The definition: the best-ranked pair is merged, the leftmost first, again and again."""
+    rank = {p: r for r, p in reversed(list(enumerate(pairs)))}
+    parts = list(text)
+    while True:
+        best = min(((rank[p], i) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in rank), default=None)
+        if best is None:
+            return parts
+        i = best[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def random_merges(rng, n):
+    pairs, known = [], list("abc")
+    for _ in range(20 * n):
+        if len(pairs) == n:
+            break
+        a, b = rng.choice(known), rng.choice(known)
+        # a trained list merges each token's own bytes to the token
+        if len(a + b) <= 12 and a + b not in known and merged([*pairs, (a, b)], a + b) == [a + b]:
+            pairs.append((a, b))
+            known.append(a + b)
+    return pairs
+
+
+def test_lookahead_is_sufficient(monkeypatch):
+    """For small merge lists: tokens that end a lookahead before the end of a text stay whatever follows,
+    and the transducer gives the definition's tokens from parts of any size."""
+    rng = random.Random(14)
+    needed = 0
+    for _ in range(40):
+        pairs = random_merges(rng, rng.randrange(2, 14))
+        m = TinyMerges(pairs)
+        for _ in range(40):
+            text = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 40)))
+            ends = [np.cumsum([len(t) for t in merged(pairs, text + more)]).tolist() for more in ["", *("".join(rng.choice("abc") for _ in range(12)) for _ in range(6))]]
+            for other in ends[1:]:
+                same = [x for x in ends[0] if x <= len(text) - m.lookahead]
+                assert other[: len(same)] == same
+                k = next((i for i, (x, y) in enumerate(zip(ends[0], other, strict=False)) if x != y), None)
+                if k is not None and ends[0][k] <= len(text):
+                    needed = max(needed, len(text) - ends[0][k])
+            t = tokens.Transducer(m)
+            cuts = sorted(rng.sample(range(len(text) + 1), min(3, len(text))))
+            parts = [text[a:b].encode() for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+            got = [m.bytes[x].decode() for out in t.stream(parts) for x in out]
+            assert got == merged(pairs, text)
+    assert needed > 0
+
+
+def test_memory_of_a_piece_is_constant(oracle):
+    m = tokens.merge_list(tokens.VOCABULARY)
+    assert 100 < m.lookahead < 1000
+    rng = random.Random(15)
+    data = "".join(rng.choice(["er", "a", "in", "th", "e", "zzz", "ing"]) for _ in range(30_000))
+    t = tokens.Transducer(m)
+    assert t.encode(data.encode()) == oracle.encode_ordinary(data)
+    assert t.held <= m.lookahead + m.longest + tokens.STRIDE
+
+
+def test_long_pieces_are_streamed(oracle, monkeypatch):
+    monkeypatch.setattr(kernel, "BLOCK", 60)
+    monkeypatch.setattr(tokens.stable_parts, "__defaults__", (60,))
+    texts = ["a" * 500, "x " + "ab" * 300 + "1" * 200 + " y", "a'b'c!d" * 60, " " * 300 + "z", "é日" * 100 + "\n", "!?" * 200 + "it's", None]
+    assert tokens.Encoder(tokens.VOCABULARY).encode(texts).to_pylist() == [oracle.encode_ordinary(t or "") for t in texts]
+    for t in texts[:-1]:
+        assert "".join(p for p, _ in tokens.stable_parts(t)) == t
