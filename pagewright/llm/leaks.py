@@ -1,17 +1,24 @@
 """Evaluation passages inside a corpus.
 
-Words of passages and documents are symbols. For whole leaks every window of ``WIDTH`` consecutive
-words of an item is embedded by CGK's random walk: a walker goes along the window, writes the symbol
-it stands on, and steps on or stays by a random bit that depends on the step and the symbol. Equal
-windows get equal embeddings; a sample of ``SAMPLE`` places is the key, and candidates are verified.
-
-For near leaks samples of the walk would miss edits at early places, so the keys are exact: an item's
-window is cut into one block more than there may be edits. So many edits leave a block unbroken, and
-move it by so many places at most; a document's window has a key for each block at each such place.
-Nothing within the edits is missed; candidates are verified by their edit distance.
-
-Only two filters of fixed size, whatever the number of items, travel to the tasks: the set of item
-words and the set of item keys, both as bitmaps without false negatives. The lookup itself is a join.
+Words of passages and documents are symbols. Every window of ``WIDTH`` consecutive words is embedded by
+CGK's random walk: a walker goes along the window, writes the symbol it stands on, and steps on or stays by
+a random bit that depends on the step and the symbol. Windows within a few edits fall into step again, so
+their embeddings differ in few places, and a sample of ``SAMPLE`` places is a key that they may share.
+
+The embedding and the sampling are repeated with independent bits, one table each. Equal windows share
+every key, so whole leaks need one table and miss nothing.
+
+Near leaks come in two ways. By walks: of ``TABLES`` tables, a pair of windows shares a key with a measured
+probability of 1.0 after one edit and of 0.95 to 0.99 after two, whatever their places (``recall``). By
+blocks, the default, since it misses nothing and brings fewer candidates: an item's window is cut into one
+block more than there may be edits, so many edits leave a block unbroken and move it by so many places at
+most, and a document's window has a key for each block at each such place. Candidates are verified, whole
+leaks by equality, near ones by their edit distance.
+
+Only two bitmaps of fixed size, whatever the number of items, travel to the tasks that read the corpus:
+those of the item words and of the item keys, without false negatives. The lookup itself is a join. Item
+windows are broadcast where their measured size is at most ``BROADCAST_BYTES``; more of them are joined by
+shuffle, salted by document, so a passage that many documents share is spread over tasks.
 """
 
 from __future__ import annotations
@@ -24,36 +31,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import kernel
-from pagewright.session import table
+from pagewright.session import materialize, spread, table
 
 WIDTH = 12
 #: Edits (words inserted, deleted or replaced in a window) that ``near`` still reports.
 EDITS = 2
-TABLES, SAMPLE = 6, 5
-#: Places of the walk that are sampled; the walk stops behind the last one.
-STEPS = 3 * WIDTH
+TABLES, SAMPLE = 40, 5
+#: Words that a sample must have, else it says too little and is left out; places of the walk.
+DISTINCT, STEPS = 4, 22
 WORD_BITS, KEY_BITS = 20, 24
+#: Bytes of item windows that are broadcast at most, and salts beyond that.
+BROADCAST_BYTES, SALTS = 64 << 20, 16
 U64 = np.uint64
 _rng = np.random.default_rng(20240209)
-_SEEDS = _rng.integers(1, 2**63, STEPS, dtype=np.uint64) | U64(1)
-#: Of the tables, whole leaks need the first alone.
-_PLACES = [np.sort(_rng.choice(STEPS if t % 2 else STEPS // 2, SAMPLE, replace=False)) for t in range(TABLES)]
+_SEEDS = _rng.integers(1, 2**63, (TABLES, STEPS), dtype=np.uint64)
+_PLACES = [np.sort(_rng.choice(STEPS, SAMPLE, replace=False)) for _ in range(TABLES)]
 
 
-def embed_keys(symbols: np.ndarray, starts: np.ndarray, tables: int, width: int = WIDTH) -> np.ndarray:
-    """Keys of the windows that begin at ``starts``: one row for each table, equal windows alike."""
-    keys = np.zeros((tables, len(starts)), U64)
+def table_keys(symbols: np.ndarray, starts: np.ndarray, table: int, width: int = WIDTH) -> np.ndarray:
+    """A table's keys of the windows that begin at ``starts``; equal windows have equal ones."""
+    key = np.zeros(len(starts), U64)
     walk = np.zeros(len(starts), np.int64)
-    stop = max(int(p[-1]) for p in _PLACES[:tables]) + 1
-    for j in range(stop):
+    words, at = np.zeros(len(starts), np.int64), np.full(len(starts), -1)
+    places = set(_PLACES[table].tolist())
+    for j in range(max(places) + 1):
         here = np.where(walk < width, symbols[np.minimum(starts + walk, len(symbols) - 1)], U64(0))
-        for t in range(tables):
-            if j in _PLACES[t]:
-                keys[t] = kernel.mix(keys[t] ^ (here + U64(j + 1)))
-        walk += ((here * _SEEDS[j]) >> U64(63)).astype(np.int64)
-    for t in range(tables):
-        keys[t] = kernel.mix(keys[t] + U64(t + 1))
-    return keys
+        if j in places:
+            key = kernel.mix(key ^ (here + U64(j + 1)))
+            words += (walk != at) & (walk < width)
+            at = walk.copy()
+        walk += (kernel.mix(here ^ _SEEDS[table, j]) >> U64(63)).astype(np.int64)
+    return kernel.mix(key + U64(table + 1)), words >= DISTINCT
+
+
+def embed_keys(symbols: np.ndarray, starts: np.ndarray, tables: int, width: int = WIDTH) -> np.ndarray:
+    """Keys of the windows that begin at ``starts``: one row for each table, 0 for samples of too few words."""
+    pairs = (table_keys(symbols, starts, t, width) for t in range(tables))
+    return np.array([np.where(ok, key, U64(0)) for key, ok in pairs]).reshape(tables, len(starts))
+
+
+def recall(a: np.ndarray, b: np.ndarray, tables: int = TABLES) -> float:
+    """Part of the pairs of rows of two arrays of symbols that share a key of any table."""
+    n, width = a.shape
+    both = np.concatenate([a.ravel(), b.ravel()])
+    starts = np.arange(2 * n) * width
+    keys = embed_keys(both, starts, tables, width)
+    return float(((keys[:, :n] == keys[:, n:]) & (keys[:, :n] != 0)).any(axis=0).mean())
 
 
 def block_keys(symbols: np.ndarray, starts: np.ndarray, width: int, edits: int, moved: bool) -> Iterator[tuple[int, np.ndarray]]:
@@ -70,16 +93,6 @@ def block_keys(symbols: np.ndarray, starts: np.ndarray, width: int, edits: int,
             yield k, kernel.mix(grams[starts + at] + U64(k + 1))
 
 
-def bitmap(values: np.ndarray, bits: int) -> np.ndarray:
-    out = np.zeros(1 << bits, bool)
-    out[(values >> U64(64 - bits)).astype(np.int64)] = True
-    return out
-
-
-def has(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    return bits[(values >> U64(64 - int(len(bits)).bit_length() + 1)).astype(np.int64)]
-
-
 def window_starts(w: kernel.Words, known: np.ndarray, width: int = WIDTH, strange: int = 0) -> np.ndarray:
     """Beginnings of windows inside one text of which at most ``strange`` words aren't item words."""
     n = len(w.hashes)
@@ -96,28 +109,33 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
-def item_windows(items: DataFrame, id_column: str, text_column: str, width: int, edits: int) -> DataFrame:
+def item_windows(items: DataFrame, id_column: str, text_column: str, width: int, edits: int, walks: bool) -> DataFrame:
     """(item_id, at, tab, key, win): the keys of all windows, and the words' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = np.array(b.column(0).to_pylist(), object)
             for first, block in kernel.blocks(b.column(1).to_pylist()):
-                yield from _emit(kernel.words(block), ids[first : first + len(block)], None, None, width, edits, "item_id")
+                yield from _emit(kernel.words(block), ids[first : first + len(block)], None, None, width, edits, walks, "item_id")
 
     return items.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long"), text_column).mapInArrow(run, "item_id long, at int, tab int, key long, win binary")
 
 
-def _emit(w: kernel.Words, ids: np.ndarray, word_bits, key_bits, width: int, edits: int, name: str) -> Iterator[pa.RecordBatch]:
-    known = np.ones(len(w.hashes), bool) if word_bits is None else has(word_bits, w.hashes)
+def _emit(w: kernel.Words, ids: np.ndarray, word_bits, key_bits, width: int, edits: int, walks: bool, name: str) -> Iterator[pa.RecordBatch]:
+    known = np.ones(len(w.hashes), bool) if word_bits is None else kernel.has(word_bits, w.hashes, WORD_BITS)
     starts = window_starts(w, known, width, edits)
     if not len(starts):
         return
-    keys = block_keys(w.hashes, starts, width, edits, key_bits is not None) if edits else [(0, embed_keys(w.hashes, starts, 1, width)[0])]
     own = w.owner()[starts]
     data = w.hashes.view(np.int64)
-    for t, key in keys:
-        hit = np.arange(len(starts)) if key_bits is None else np.flatnonzero(has(key_bits, key))
+    if edits and not walks:
+        keys = ((t, key, np.ones(len(key), bool)) for t, key in block_keys(w.hashes, starts, width, edits, key_bits is not None))
+    elif edits:
+        keys = ((t, *table_keys(w.hashes, starts, t, width)) for t in range(TABLES))
+    else:  # equality is verified, and there is no other table
+        keys = [(0, table_keys(w.hashes, starts, 0, width)[0], np.ones(len(starts), bool))]
+    for t, key, ok in keys:
+        hit = np.flatnonzero(ok if key_bits is None else ok & kernel.has(key_bits, key, KEY_BITS))
         if not len(hit):
             continue
         s = starts[hit]
@@ -129,40 +147,31 @@ def _emit(w: kernel.Words, ids: np.ndarray, word_bits, key_bits, width: int, edi
         )
 
 
-def _filters(items: DataFrame, text_column: str, windows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The two bitmaps, gathered as sets of places: at most 2**WORD_BITS and 2**KEY_BITS of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, block in kernel.blocks(b.column(0).to_pylist()):
-                h = kernel.words(block).hashes
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(h >> U64(64 - WORD_BITS)).astype(np.int64))], names=["place"])
-
-    words = items.select(text_column).mapInArrow(run, "place long").distinct()
-    keys = windows.select(F.shiftrightunsigned("key", 64 - KEY_BITS).alias("place")).distinct()
-    out = []
-    for places, bits in ((words, WORD_BITS), (keys, KEY_BITS)):
-        got = np.zeros(1 << bits, bool)
-        got[places.toArrow().column(0).to_numpy()] = True
-        out.append(got)
-    return out[0], out[1]
+def _candidates(spark: SparkSession, items: DataFrame, docs: DataFrame, width: int, edits: int, walks: bool = False) -> DataFrame:
+    windows = materialize(item_windows(items, "item_id", "text", width, edits, walks), "p9-items")
 
+    def words(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, block in kernel.blocks(b.column(0).to_pylist()):
+            yield kernel.words(block).hashes
 
-def _candidates(spark: SparkSession, items: DataFrame, docs: DataFrame, width: int, edits: int) -> DataFrame:
-    windows = item_windows(items, "item_id", "text", width, edits)
-    word_bits, key_bits = _filters(items, "text", windows)
-    shared = spark.sparkContext.broadcast((np.packbits(word_bits), np.packbits(key_bits)))  # 128 kB and 2 MB, always
+    word_bits = kernel.gathered_bitmap(items.select("text"), words, WORD_BITS)
+    key_bits = kernel.gathered_bitmap(windows.select("key"), lambda b: [b.column(0).to_numpy().view(U64)], KEY_BITS)
+    shared = spark.sparkContext.broadcast((word_bits, key_bits))  # 128 kB and 2 MB, always
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = shared.value
-        wb, kb = (np.unpackbits(x).view(bool) for x in packed)
+        wb, kb = shared.value
         for b in batches:
             ids = np.array(b.column(0).to_pylist(), object)
             for first, block in kernel.blocks(b.column(1).to_pylist()):
-                yield from _emit(kernel.words(block), ids[first : first + len(block)], wb, kb, width, edits, "doc_id")
+                yield from _emit(kernel.words(block), ids[first : first + len(block)], wb, kb, width, edits, walks, "doc_id")
 
-    found = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, at int, tab int, key long, win binary")
-    return found.join(windows.withColumnsRenamed({"at": "item_at", "win": "item_win"}), ["tab", "key"])
+    rows = spread(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text"))
+    found = rows.mapInArrow(run, "doc_id long, at int, tab int, key long, win binary")
+    own = windows.withColumnsRenamed({"at": "item_at", "win": "item_win"})
+    if windows.count() * (8 * width + 48) <= BROADCAST_BYTES:
+        return found.join(F.broadcast(own), ["tab", "key"])
+    salted = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["tab", "key", "salt"]).drop("salt")
 
 
 def whole_leaks(spark: SparkSession, items: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -175,9 +184,10 @@ def whole_leaks(spark: SparkSession, items: DataFrame, docs: DataFrame, width: i
     return _candidates(spark, items, docs, width, 0).where("win = item_win").select("doc_id", "item_id").distinct()
 
 
-def near_leaks(spark: SparkSession, items: DataFrame, docs: DataFrame, width: int = WIDTH, edits: int = EDITS) -> DataFrame:
+def near_leaks(spark: SparkSession, items: DataFrame, docs: DataFrame, width: int = WIDTH, edits: int = EDITS, walks: bool = False) -> DataFrame:
     """(doc_id, item_id, edits): the least number of word edits between a window of the item and a
-    window of the document of the same width, where it is at most ``edits``."""
+    window of the document of the same width, where it is at most ``edits``. Items and documents shorter
+    than a window have none. With ``walks`` candidates come from the walks' tables instead of the blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -186,7 +196,8 @@ def near_leaks(spark: SparkSession, items: DataFrame, docs: DataFrame, width: in
             ok = np.flatnonzero(got <= edits)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok)), b.column(1).take(pa.array(ok)), pa.array(got[ok], pa.int32())], names=["doc_id", "item_id", "edits"])
 
-    rows = _candidates(spark, items, docs, width, edits).select("doc_id", "item_id", "win", "item_win")
+    # a pair of windows that shares several keys is verified once
+    rows = _candidates(spark, items, docs, width, edits, walks).select("doc_id", "item_id", "win", "item_win", "at", "item_at").dropDuplicates(["doc_id", "at", "item_id", "item_at"])
     return rows.mapInArrow(run, "doc_id long, item_id long, edits int").groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
 
 
@@ -217,6 +228,11 @@ def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_leaks(spark, *_tables(spark, sf_dir))
 
 
+def p9_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near leaks as in p9_near, with the candidates of the walks' tables."""
+    return near_leaks(spark, *_tables(spark, sf_dir), walks=True)
+
+
 def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, n_docs): in how many documents each item leaked, 0 included."""
     items = table(spark, sf_dir, "benchmark").select("item_id")

@@ -322,3 +322,25 @@ def test_long_pieces_are_streamed(oracle, monkeypatch):
     assert tokens.Encoder(tokens.VOCABULARY).encode(texts).to_pylist() == [oracle.encode_ordinary(t or "") for t in texts]
     for t in texts[:-1]:
         assert "".join(p for p, _ in tokens.stable_parts(t)) == t
+
+
+@pytest.mark.parametrize(("kinds", "least"), [("r", 0.99), ("i", 0.99), ("d", 0.99), ("rr", 0.95), ("rid", 0.95), ("ii", 0.9), ("dd", 0.9), ("id", 0.9)])
+def test_recall_of_near_windows(kinds, least):
+    """Edits (replace, insert, delete) at random places, against what brute force finds (all pairs)."""
+    rng = np.random.default_rng(5)
+    a = rng.integers(1, 2**62, (2000, leaks.WIDTH), dtype=np.uint64)
+    b = []
+    for row in a:
+        w = row.tolist()
+        for k in kinds[:2] if kinds != "rid" else rng.permutation(list("rid"))[:2]:
+            at = int(rng.integers(len(w)))
+            new = int(rng.integers(1, 2**62))
+            if k == "r":
+                w[at] = new
+            elif k == "i":
+                w.insert(at, new)
+            else:
+                del w[at]
+        w = (w + rng.integers(1, 2**62, 2).tolist())[: leaks.WIDTH]
+        b.append(w)
+    assert leaks.recall(a, np.array(b, np.uint64)) >= least

@@ -93,6 +93,29 @@ def test_near_leaks_against_brute_force(spark):
     assert sum(n <= leaks.EDITS for n in want.values()) > 200
 
 
+def test_walks_find_nearly_what_blocks_find(spark):
+    rng = random.Random(16)
+    items, docs = [(i, sentence(rng, 20)) for i in range(150)], []
+    for i, t in items:
+        w = t.split()
+        for _ in range(1 + i % 2):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(2)] = [sentence(rng, 1)] * rng.randrange(2)
+        docs.append((i, " ".join([sentence(rng, 5), *w, sentence(rng, 5)])))
+    i, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    exact = {tuple(r) for r in leaks.near_leaks(spark, i, d).collect()}
+    got = {tuple(r) for r in leaks.near_leaks(spark, i, d, walks=True).collect()}
+    assert len({x[:2] for x in got & exact}) >= 0.9 * len(exact) and {x[:2] for x in got} <= {x[:2] for x in exact}
+
+
+def test_leaks_beyond_the_broadcast(spark, monkeypatch):
+    rng = random.Random(17)
+    items = spark.createDataFrame([(i, sentence(rng, 12)) for i in range(20)], "item_id long, text string")
+    docs = items.select((F.col("item_id") + 100).alias("doc_id"), "text")
+    monkeypatch.setattr(leaks, "BROADCAST_BYTES", 0)
+    assert {tuple(r) for r in leaks.whole_leaks(spark, items, docs).collect()} == {(100 + i, i) for i in range(20)}
+
+
 def test_seen_over_batches(spark, tmp_path):
     requests = [(1, "A", False), (2, " a ", False), (3, None, False), (4, " ", None), (5, "b", True), (6, "b", False), (7, "s", False), (8, "b", False), (9, "hot", False)] + [(10 + i, "hot", False) for i in range(50)]
     r = spark.createDataFrame([(*x, "e") for x in requests], "request_id long, fingerprint string, dont_filter boolean, key string")
