@@ -36,6 +36,8 @@ PARTS, SLOTS = 36, 3
 MISS = 5e-4
 #: Ratio of the size classes that a class key carries in its last byte.
 SIZE_STEP = 1.05
+#: Classes of a probe key that one join key takes.
+CELL = 512
 #: Numbers of a tug-of-war sketch; its relative error is about sqrt(2 / COPIES).
 COPIES = 32
 U64, U32 = np.uint64, np.uint32
@@ -105,8 +107,8 @@ def allocate(cost: dict[tuple[int, int], float], limit: float = LIMIT, miss: flo
                         new[to], pick[to] = best[g] + cost[i, t], t * (need + 1) + g
         choice.append(pick)
         best = new
-    if best[need] == np.inf:  # not even all partitions at their widest would do
-        return [1] * parts
+    if best[need] == np.inf:
+        raise ValueError(f"{parts} partitions of {slots} values can't reach a miss rate of {miss} at a similarity of {limit}")
     out, g = [], need
     for pick in reversed(choice):
         if pick[g] < 0:
@@ -174,8 +176,9 @@ def size_code(n: np.ndarray) -> np.ndarray:
 def candidate_classes(sets: DataFrame, thresholds: list[int], limit: float = LIMIT) -> DataFrame:
     """(a, b): class keys that share a probe key and whose sizes allow the similarity, each once.
 
-    Probes of one class are merged within a batch before they are shuffled and over all batches
-    behind the shuffle, which is the only one: the self-join uses the same partitioning.
+    Probes of one class are merged within a batch before they are shuffled and over all batches behind the
+    shuffle. The classes of a probe key are joined in cells of at most about ``CELL`` by all of the key: a
+    key that many classes share is as many cells, each a join key of its own, so no task gets all its pairs.
     """
     used = [(i, t) for i, t in enumerate(thresholds) if t >= 0]
 
@@ -190,10 +193,14 @@ def candidate_classes(sets: DataFrame, thresholds: list[int], limit: float = LIM
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(keys)], names=["probe", "class"])
 
     probes = sets.select("ka", "shingles").mapInArrow(run, "probe long, class long").repartition("probe").dropDuplicates()
-    left, right = (probes.select("probe", F.col("class").alias(x)) for x in "ab")
+    # both columns stay, so the exchange is the one that the joins use
+    sizes_ = probes.groupBy("probe").agg(F.count("class").alias("n")).where(F.col("n") > 1).select("probe", F.ceil(F.col("n") / CELL).cast("int").alias("cells"))
+    shared = probes.join(sizes_, "probe")
+    left = shared.select("probe", F.col("class").alias("a"), F.pmod(F.xxhash64("class"), F.col("cells")).cast("int").alias("cell"))
+    right = shared.select("probe", F.col("class").alias("b"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
     apart = int(np.ceil(-np.log(limit) / np.log(SIZE_STEP))) + 1
     sizes = F.abs(F.col("a").bitwiseAND(F.lit(255)) - F.col("b").bitwiseAND(F.lit(255)))
-    return left.join(right, "probe").where((F.col("a") < F.col("b")) & (sizes <= apart)).select("a", "b").distinct()
+    return left.join(right, ["probe", "cell"]).where((F.col("a") < F.col("b")) & (sizes <= apart)).select("a", "b").distinct()
 
 
 def _verified(pairs: DataFrame, limit: float) -> DataFrame:

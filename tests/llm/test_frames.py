@@ -40,6 +40,22 @@ def test_near_duplicates(spark):
     assert near_duplicates.expand(*near_duplicates.similar_classes(empty)).count() == 0
 
 
+def test_a_hot_probe_key_is_cut_into_cells(spark, monkeypatch):
+    """Many different records that are all alike: every pair is a link, whatever the size of a cell."""
+    rng = random.Random(18)
+    base = sentence(rng, 80)
+    rows = [(2 * i, f"{base} {sentence(rng, 2)}") for i in range(40)] + [(100 + 2 * i, sentence(rng, 80)) for i in range(10)]
+    df = spark.createDataFrame(rows, "code long, text string")
+    monkeypatch.setattr(near_duplicates, "CELL", 7)
+    got = near_duplicates.expand(*near_duplicates.similar_classes(df)).collect()
+    assert {(2 * r["id_a"], 2 * r["id_b"]) for r in got} == brute_pairs(rows) and len(got) == 40 * 39 // 2
+
+
+def test_thresholds_that_cannot_reach_the_miss_rate():
+    with pytest.raises(ValueError):
+        near_duplicates.allocate({(i, t): 1.0 for i in range(2) for t in (0, 1)}, parts=2)
+
+
 def test_leaks(spark):
     rng = random.Random(4)
     items = [(i, sentence(rng, 30), "k") for i in range(10)] + [(None, "x", "k"), (11, None, "k"), (12, "too short", "k")]
