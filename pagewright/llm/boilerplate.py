@@ -2,28 +2,36 @@
 
 Tokens are the lines of a page, without list, heading and link markup; for lines of several parts
 (menus, breadcrumbs) and lines of several sentences (notices with buttons) the parts are tokens as
-well. The occurrence vector of a token on a host is the set of the host's pages it stands on; it is
-kept as the number of pages and a commutative hash of their keys. Tokens of a host with equal vectors
-form an equivalence class. Document frequency decides: a token is template if it stands on ``PAGES``
-pages, more the longer it is, and on the part ``SHARE`` of the host's pages; a class of three tokens or
-more lowers what long tokens need. Order and nesting of classes aren't looked at. Tokens as frequent
-over ``HOSTS`` hosts and their pages belong to the template that all hosts share.
+well, however many. The occurrence vector of a token on a host is the set of the host's pages it stands
+on; it is kept as the number of pages and a commutative hash of their keys. Tokens of a host with equal
+vectors form an equivalence class. A class of ``CLASS`` tokens or more is valid if it is ordered, i.e. its
+tokens follow each other in one order on the part ``VALID`` of its records, and nested, i.e. on the same
+part its span crosses that of no other class: spans lie apart or inside each other. The valid classes nest
+into the host's template.
+
+A token is template if it is in a valid class on ``PAGES`` pages, or if it alone stands on as many pages,
+more the longer it is, in either case on the part ``SHARE`` of the host's pages. Tokens as frequent over
+``HOSTS`` hosts and their pages belong to the template that all hosts share; there they may bear the name
+of any site, since a copied page keeps the template of the host that it was copied from.
 
 Pages are told apart by what they say, not by where they lie: the key of a page is its title, or else
-a minhash of the word sequences of its paragraphs, so copies and edited copies of one article count as few pages and their paragraphs
-don't become template.
+a minhash of the word sequences of its paragraphs, so copies and edited copies of one article count as few
+pages and their paragraphs don't become template.
 
 What the template leaves are slots. A slot behind a template line that opens lists of titles (learnt:
 at least ``OPENS`` of its occurrences are followed by two entries) holds a sidebar's entries and goes
 with it; all other slots are main text. Code, tables, formulas and the page's title are main text
 whatever their counts; a record of which nothing but its title would be left keeps all its lines.
+
+Lines are analysed once, into a table of tokens with their places. Tokens that stand once in the whole
+collection, told by a bitmap of fixed size, needn't be counted, and only template tokens are joined back.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,9 +41,13 @@ from pyspark.sql import functions as F
 
 from pagewright.llm import kernel
 from pagewright.llm.residue import host_of, site_name
-from pagewright.session import materialize, table
+from pagewright.session import materialize, spread, table
 
 PAGES, HOSTS, OPENS = 4, 3, 0.5
+#: Tokens of a class that is looked at, and part of its records on which it must be ordered and nested.
+CLASS, VALID = 3, 0.8
+#: Bits of the bitmaps of tokens (8 MB) and of site names (128 kB).
+TOKEN_BITS, SITE_BITS = 26, 20
 #: Words of a token for each further page that its class must have.
 WORDS_A_PAGE = 4
 #: Part of a token's records that must be different pages; what stands in copies of one article has less.
@@ -126,19 +138,19 @@ def parts_of(line: str) -> list[str]:
 
 
 def tokens_of(line: str, site: str) -> list[tuple[int, str, int]]:
-    """(role, token, words) of a line: 0 for the line, 100 on for parts, 200 on for sentences."""
+    """(role, token, words) of a line: 0 for the line, odd roles for parts, even ones for sentences."""
     core = stripped(line)
     words = len(_WORD.findall(core))
     if not words:
         return []
     out = [(0, normal(core, site), words)]
     parts = parts_of(line)
-    if parts and len(parts) <= 60:
-        out += [(100 + i, normal(p, site), len(_WORD.findall(p))) for i, p in enumerate(parts)]
-    elif words <= 60:
+    if parts:
+        out += [(2 * i + 1, normal(p, site), len(_WORD.findall(p))) for i, p in enumerate(parts)]
+    else:
         sentences = _SENTENCES.split(core)
         if len(sentences) > 1:
-            out += [(200 + i, normal(s, site), len(_WORD.findall(s))) for i, s in enumerate(sentences[:60])]
+            out += [(2 * i + 2, normal(s, site), len(_WORD.findall(s))) for i, s in enumerate(sentences)]
     return [t for t in out if t[1] and t[2]]
 
 
@@ -148,15 +160,14 @@ _WORD = re.compile(r"[^\W_]+")
 _NAME = re.compile(r"\b[A-ZÀ-Þ][a-zß-ÿ]{3,}\b")
 
 
-def renamed_tokens(line: str, site: str) -> list[tuple[int, str, int]]:
-    """The tokens of a line and of its sentences that would arise if a name in it were the site's:
-    a copied page keeps the template of the host that it was copied from."""
+def renamed_tokens(line: str, site: str, known: Callable[[str], bool]) -> list[tuple[int, str, int]]:
+    """The tokens of a line and of its sentences that would arise if a name in it, one of those that may be
+    a site's, were the site's own."""
     core = stripped(line)
-    if len(_WORD.findall(core)) > 40:
-        return []
     out = []
     for name in sorted({x.lower() for x in _NAME.findall(core)} - {site}):
-        out += [t for t in tokens_of(line, name) if "\x01" in t[1] and not 100 <= t[0] < 200]
+        if known(name):
+            out += [t for t in tokens_of(line, name) if "\x01" in t[1] and t[0] % 2 == 0]
     return out
 
 
@@ -219,48 +230,95 @@ def _page_lines(text: str, title: str | None) -> tuple[list[str], list[bool], se
     return lines, guard, titles
 
 
-COLUMNS = "code long, url string, title string, text string"
+TOKENS = "code long, place int, role int, kind int, words int, opens boolean, host long, token long, page long"
+FIRST, AGAIN, RENAMED = range(3)
+
+
+def _name_hash(name: str) -> int:
+    return _digest("site " + name) & (1 << 64) - 1
+
 
+def page_tokens(rows: DataFrame) -> DataFrame:
+    """The tokens of all lines of (code, url, title, text) that aren't guarded or titles, with their places;
+    kind tells the first occurrence in a record from later ones and from renamed forms."""
+    spark = rows.sparkSession
 
-def occurrences(rows: DataFrame) -> DataFrame:
-    """(host, token, page, words, opens, records): the tokens of each page, with the records it has."""
+    def names(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield np.array([_name_hash(n) for n in {site_name(host_of(u)) for u in set(b.column(0).to_pylist())}], np.uint64)
+
+    sites = spark.sparkContext.broadcast(kernel.gathered_bitmap(rows.select("url"), names, SITE_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, mask = sites.value, 64 - SITE_BITS
+
+        @lru_cache(maxsize=1 << 16)
+        def known(name: str) -> bool:
+            at = _name_hash(name) >> mask
+            return bool(bits[at >> 3] >> (at & 7) & 1)
+
         for b in batches:
-            _, urls, titles, texts = (c.to_pylist() for c in b.columns)
+            codes, addresses, titles, texts = (c.to_pylist() for c in b.columns)
             texts = [t or "" for t in texts]
             pages = page_keys(titles, texts)
-            found: dict[tuple[int, int, int], tuple[int, bool, int]] = {}
-            for url, title, text, page in zip(urls, titles, texts, pages.tolist(), strict=True):
+            out: list[tuple] = []
+            for code, url, title, text, page in zip(codes, addresses, titles, texts, pages.tolist(), strict=True):
                 if not text.strip():
                     continue
                 host = host_of(url)
                 site, h = site_name(host), _digest(host)
                 lines, guard, skip = _page_lines(text, title)
-                own: dict[int, tuple[int, bool]] = {}
+                seen: set[int] = set()
                 for i, line in enumerate(lines):
                     if guard[i] or i in skip or not line.strip():
                         continue
-                    opens = None
                     for role, token, words in tokens_of(line, site):
-                        if role == 0 and words <= 6:
-                            opens = len(next_entries(lines, i, guard, skip)) > 1
-                        own[_digest(token)] = (words, bool(opens) and role == 0)
-                for token, (words, opened) in own.items():
-                    key = (h, token, page)
-                    found[key] = (words, opened, found[key][2] + 1 if key in found else 1)
-            columns = [*zip(*((*k, *v) for k, v in found.items()), strict=True)] or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "token", "page", "words", "opens", "records"])
+                        opens = role == 0 and words <= 6 and len(next_entries(lines, i, guard, skip)) > 1
+                        t = _digest(token)
+                        out.append((code, i, role, AGAIN if t in seen else FIRST, words, opens, h, t, page))
+                        seen.add(t)
+                    out += [(code, i, role, RENAMED, words, False, h, _digest(token), page) for role, token, words in renamed_tokens(line, site, known)]
+                if len(out) > 50_000:
+                    yield _token_batch(out)
+                    out = []
+            yield _token_batch(out)
+
+    return spread(rows.select("code", "url", "title", "text")).mapInArrow(run, TOKENS)
+
+
+def _token_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+    columns = [*zip(*rows, strict=True)] or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in TOKENS.split(", ")])
+
+
+def _only(tokens: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """The rows whose tokens a bitmap may hold."""
+    shared = tokens.sparkSession.sparkContext.broadcast(bitmap)  # 8 MB, always
+    place = tokens.columns.index("token")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(kernel.has(shared.value, b.column(place).to_numpy().view(np.uint64), TOKEN_BITS)))
+
+    return tokens.mapInArrow(run, tokens.schema)
+
 
-    return rows.mapInArrow(run, "host long, token long, page long, words int, opens boolean, records long")
+def _hashes(b: pa.RecordBatch) -> list[np.ndarray]:
+    return [b.column(0).to_numpy().view(np.uint64)]
+
+
+def occurrences(tokens: DataFrame) -> DataFrame:
+    """(host, token, page, words, opens, records): the tokens of each page, with the records it has; those
+    that stand in one record only needn't be there."""
+    first = tokens.where(F.col("kind") == FIRST)
+    often = _only(first.select("host", "token", "page", "words", "opens"), kernel.gathered_bitmap(first.select("token"), _hashes, TOKEN_BITS, twice=True))
+    return often.groupBy("host", "token", "page").agg(F.max("words").alias("words"), F.max("opens").alias("opens"), F.count("*").alias("records"))
 
 
 def classes(seen: DataFrame) -> DataFrame:
     """(host, token, words, pages, records, vector, opened, size): occurrence vectors, and the number of
     tokens of the host that share each."""
-    once = seen.groupBy("host", "token", "page").agg(F.max("words").alias("words"), F.max("opens").alias("opens"), F.sum("records").alias("records"))
-    vectors = once.groupBy("host", "token").agg(
+    vectors = seen.groupBy("host", "token").agg(
         F.max("words").alias("words"),
         F.count("*").alias("pages"),
         F.sum("records").alias("records"),
@@ -271,19 +329,70 @@ def classes(seen: DataFrame) -> DataFrame:
     return vectors.join(sizes, ["host", "vector", "pages"])
 
 
-def template(seen: DataFrame) -> DataFrame:
+def valid_classes(tokens: DataFrame, found: DataFrame) -> DataFrame:
+    """(host, vector, pages, ordered, nested): of each class of enough tokens and pages, the part of its
+    records on which its tokens stand in their commonest order, and on which its span crosses no other's."""
+    large = found.where((F.col("size") >= CLASS) & (F.col("pages") >= PAGES)).select("host", "token", "vector", "pages")
+    bitmap = kernel.gathered_bitmap(large.select("token"), _hashes, TOKEN_BITS)
+    # a line stands for its parts: what counts is where each token is first met
+    places = _only(tokens.where(F.col("kind") == FIRST).select("code", "host", "token", "place", "role"), bitmap)
+    own = places.join(large, ["host", "token"])
+    # bounded by the tokens of one record
+    runs = own.groupBy("code", "host", "vector", "pages").agg(
+        F.xxhash64(F.transform(F.array_sort(F.collect_list(F.struct("place", "role", "token"))), lambda x: x["token"])).alias("sequence"), F.min("place").alias("a"), F.max("place").alias("z")
+    )
+    runs = materialize(runs, "p4-runs")
+
+    def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hosts, vectors, pages, crossed = [], [], [], []
+            for spans in b.column(0).to_pylist():
+                spans.sort(key=lambda x: (x["a"], -x["z"]))
+                open_: list[dict] = []
+                bad: set[int] = set()
+                for k, x in enumerate(spans):
+                    x["k"] = k
+                    while open_ and open_[-1]["z"] < x["a"]:
+                        open_.pop()
+                    for y in reversed(open_):  # those that x isn't inside of
+                        if y["z"] >= x["z"]:
+                            break
+                        if y["z"] >= x["a"] > y["a"]:
+                            bad |= {x["k"], y["k"]}
+                    open_.append(x)
+                    open_.sort(key=lambda y: -y["z"])
+                for k, x in enumerate(spans):
+                    hosts.append(x["host"])
+                    vectors.append(x["vector"])
+                    pages.append(x["pages"])
+                    crossed.append(k in bad)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(vectors, pa.int64()), pa.array(pages, pa.int64()), pa.array(crossed, pa.bool_())], names=["host", "vector", "pages", "crossed"])
+
+    key = ["host", "vector", "pages"]
+    # bounded by the classes of one record
+    spans = runs.groupBy("code").agg(F.collect_list(F.struct(*key, "a", "z")).alias("spans")).select("spans")
+    nested = spans.mapInArrow(crossing, "host long, vector long, pages long, crossed boolean").groupBy(*key).agg(F.avg((~F.col("crossed")).cast("double")).alias("nested"))
+    orders = runs.groupBy(*key, "sequence").agg(F.count("*").alias("n")).groupBy(*key).agg((F.max("n") / F.sum("n")).alias("ordered"))
+    return orders.join(nested, key)
+
+
+def template(tokens: DataFrame) -> DataFrame:
     """(host, token, opens): tokens of the hosts' templates; host 0 is the template of all hosts.
 
-    ``seen`` are the occurrences. A page that lies under several hosts counts once for all hosts.
+    ``tokens`` are those of all pages. A page that lies under several hosts counts once for all hosts.
     """
-    found = classes(seen)
-    sizes = seen.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
-    found = found.join(sizes, "host")
+    seen = materialize(occurrences(tokens), "p4-seen")
+    found = materialize(classes(seen), "p4-classes")
+    valid = valid_classes(tokens, found).where((F.col("ordered") >= VALID) & (F.col("nested") >= VALID)).select("host", "vector", "pages", F.lit(True).alias("valid"))
+    sizes = tokens.where(F.col("kind") == FIRST).select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
+    found = found.join(valid, ["host", "vector", "pages"], "left").join(sizes, "host")
     need = PAGES + F.floor(F.col("words") / WORDS_A_PAGE)
     common = F.col("pages") >= SHARE * F.col("host_pages")
     rate = F.col("opened") >= OPENS * F.col("pages")
     diverse = F.col("pages") >= DIVERSE * F.col("records")
-    own = found.where(diverse & common & ((F.col("pages") >= need) | (F.col("size") >= 3) & (F.col("pages") >= PAGES) & (F.col("words") <= 2 * WORDS_A_PAGE))).select("host", "token", rate.alias("opens"))
+    # long tokens of a small class are as likely the paragraphs of an article that was edited several times
+    classed = F.col("valid") & (F.col("pages") >= PAGES) & (F.col("words") <= 2 * WORDS_A_PAGE)
+    own = found.where(diverse & common & ((F.col("pages") >= need) | F.coalesce(classed, F.lit(False)))).select("host", "token", rate.alias("opens"))
     pages = seen.groupBy("token", "page").agg(F.max("words").alias("words"), F.max("opens").alias("opens"), F.sum("records").alias("records"))
     every = pages.groupBy("token").agg(
         F.max("words").alias("words"), F.count("*").alias("pages"), F.sum("records").alias("records"), F.sum(F.col("opens").cast("long")).alias("opened")
@@ -306,7 +415,7 @@ def decide(lines: list[str], guard: list[bool], titles: set[int], marks: dict[in
         if not hit:
             parts = parts_of(line)
             if parts:
-                hits = [100 + k in own for k in range(len(parts))]
+                hits = [2 * k + 1 in own for k in range(len(parts))]
                 sizes = [len(_WORD.findall(p)) for p in parts]
                 some = 2 * sum(n for n, h in zip(sizes, hits, strict=True) if h) >= sum(sizes)
                 # a breadcrumb ends with a title, so its words say nothing
@@ -314,7 +423,7 @@ def decide(lines: list[str], guard: list[bool], titles: set[int], marks: dict[in
             else:
                 sentences = _SENTENCES.split(stripped(line))
                 sizes = [len(_WORD.findall(s)) for s in sentences]
-                got = sum(n for k, n in enumerate(sizes) if 200 + k in own)
+                got = sum(n for k, n in enumerate(sizes) if 2 * k + 2 in own)
                 hit = 2 * got >= sum(sizes)
         if hit:
             chosen.append(i)
@@ -333,38 +442,13 @@ def decide(lines: list[str], guard: list[bool], titles: set[int], marks: dict[in
     return sorted(chosen) if left else []
 
 
-def _marked(rows: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(code, marks) of the records with template tokens."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for code, url, title, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if not text or text.isspace():
-                    continue
-                host = host_of(url)
-                site, h = site_name(host), _digest(host)
-                lines, guard, titles = _page_lines(text, title)
-                for i, line in enumerate(lines):
-                    if line.strip() and not guard[i] and i not in titles:
-                        out += [(code, i, role, h, _digest(token)) for role, token, _ in tokens_of(line, site)]
-                        out += [(code, i, role, h, _digest(token)) for role, token, _ in renamed_tokens(line, site)]
-            columns = [*zip(*out, strict=True)] or [()] * 5
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["code", "place", "role", "host", "token"])
-
-    found = rows.mapInArrow(run, "code long, place int, role int, host long, token long")
-    both = found.withColumn("host", F.explode(F.array("host", F.lit(0).cast("long"))))  # its host's template, and the shared one
-    # bounded by the tokens of one record
-    return both.join(tokens, ["host", "token"]).groupBy("code").agg(F.collect_list(F.struct("place", "role", "opens")).alias("marks"))
-
-
 def boilerplate_lines(rows: DataFrame) -> DataFrame:
     """(code, line_no) of lines that belong to the site; lines count from 1, at each line feed.
 
     ``rows`` has code (unique), url, title and text. Null and blank texts have none.
     """
-    tokens = template(materialize(occurrences(rows), "p4"))
+    tokens = materialize(page_tokens(rows), "p4-tokens")
+    chosen = materialize(template(tokens), "p4-template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -380,8 +464,11 @@ def boilerplate_lines(rows: DataFrame) -> DataFrame:
                 places += [i + 1 for i in got]
             yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(places, pa.int64())], names=["code", "line_no"])
 
-    marked = rows.select("code", "title", "text").join(_marked(rows, tokens), "code").select("code", "title", "text", "marks")
-    return marked.mapInArrow(run, "code long, line_no long")
+    hits = _only(tokens.select("code", "place", "role", "host", "token"), kernel.gathered_bitmap(chosen.select("token"), _hashes, TOKEN_BITS))
+    both = hits.withColumn("host", F.explode(F.array("host", F.lit(0).cast("long"))))  # its host's template, and the shared one
+    # bounded by the tokens of one record
+    marked = both.join(chosen, ["host", "token"]).groupBy("code").agg(F.collect_list(F.struct("place", "role", "opens")).alias("marks"))
+    return rows.select("code", "title", "text").join(marked, "code").select("code", "title", "text", "marks").mapInArrow(run, "code long, line_no long")
 
 
 SOURCES = ["web_extract_results", "browser_markdown_dumps"]
@@ -416,6 +503,10 @@ def p4_main(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tokens, pages, classes): how many equivalence classes of each size and frequency there are."""
-    found = classes(occurrences(_rows(spark, sf_dir))).where(F.col("pages") >= PAGES)
-    return found.select("host", "vector", "pages", "size").distinct().groupBy(F.col("size").alias("tokens"), "pages").agg(F.count("*").alias("classes"))
+    """(tokens, pages, n_classes, n_valid): the equivalence classes of enough tokens and pages by size and
+    frequency, and how many of them are ordered and nested."""
+    tokens = materialize(page_tokens(_rows(spark, sf_dir)), "p4-tokens")
+    found = classes(occurrences(tokens))
+    valid = valid_classes(tokens, found).select("host", "vector", "pages", ((F.col("ordered") >= VALID) & (F.col("nested") >= VALID)).alias("valid"))
+    each = found.select("host", "vector", "pages", "size").distinct().join(valid, ["host", "vector", "pages"])
+    return each.groupBy(F.col("size").alias("tokens"), "pages").agg(F.count("*").alias("n_classes"), F.count(F.when(F.col("valid"), 1)).alias("n_valid"))

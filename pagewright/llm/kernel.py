@@ -137,8 +137,9 @@ def has(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def gathered_bitmap(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:
-    """The packed bitmap of all hashes that a function gives for the batches of ``rows``.
+def gathered_bitmap(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, twice: bool = False) -> np.ndarray:
+    """The packed bitmap of all hashes that a function gives for the batches of ``rows``, or of those that it
+    gives at least twice.
 
     Each task makes its own bitmap and emits its chunks that aren't empty; the chunks of one place are
     OR-ed in tasks of their own, so exactly 2**bits / 8 bytes reach the driver, whatever the rows.
@@ -146,21 +147,31 @@ def gathered_bitmap(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator
     size, width = 1 << bits, 1 << min(CHUNK, bits)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.zeros(size, bool)
+        marks, again = np.zeros(size, bool), np.zeros(size if twice else 1, bool)
         for b in batches:
             for h in hashes(b):
-                marks[places_of(h, bits)] = True
-        packed = np.packbits(marks, bitorder="little").reshape(-1, width // 8)
-        full = np.flatnonzero(packed.any(axis=1))
-        yield _chunks(full, packed[full])
+                at = places_of(h, bits)
+                if twice:
+                    at, n = np.unique(at, return_counts=True)
+                    again[at] |= marks[at] | (n > 1)
+                marks[at] = True
+        packed = [np.packbits(x, bitorder="little").reshape(-1, width // 8) for x in ((marks, again) if twice else (marks,))]
+        full = np.flatnonzero(packed[0].any(axis=1))
+        yield _chunks(full, np.concatenate([x[full] for x in packed], axis=1))
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
         for b in batches:
             for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 part = np.frombuffer(data, np.uint8)
-                found[k] = found[k] | part if k in found else part
-        yield _chunks(np.array(list(found), np.int64), list(found.values()))
+                old = found.get(k)
+                if old is not None and twice:
+                    half = width // 8
+                    part = np.concatenate([old[:half] | part[:half], old[half:] | part[half:] | old[:half] & part[:half]])
+                elif old is not None:
+                    part = old | part
+                found[k] = part
+        yield _chunks(np.array(list(found), np.int64), [x[-(width // 8) :] for x in found.values()])
 
     parts = rows.mapInArrow(own, "chunk int, data binary").repartition(min(8, size // width), "chunk").mapInArrow(together, "chunk int, data binary").toArrow()
     out = np.zeros((size // width, width // 8), np.uint8)
