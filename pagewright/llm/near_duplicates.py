@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm import kernel
@@ -177,8 +177,8 @@ def candidate_classes(sets: DataFrame, thresholds: list[int], limit: float = LIM
     """(a, b): class keys that share a probe key and whose sizes allow the similarity, each once.
 
     Probes of one class are merged within a batch before they are shuffled and over all batches behind the
-    shuffle. The classes of a probe key are joined in cells of at most about ``CELL`` by all of the key: a
-    key that many classes share is as many cells, each a join key of its own, so no task gets all its pairs.
+    shuffle; most keys are joined there. A key that more than ``CELL`` classes share is cut into cells of about
+    as many, each joined with all of the key in a task of its own, so no task gets all its pairs.
     """
     used = [(i, t) for i, t in enumerate(thresholds) if t >= 0]
 
@@ -193,14 +193,17 @@ def candidate_classes(sets: DataFrame, thresholds: list[int], limit: float = LIM
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(keys)], names=["probe", "class"])
 
     probes = sets.select("ka", "shingles").mapInArrow(run, "probe long, class long").repartition("probe").dropDuplicates()
-    # both columns stay, so the exchange is the one that the joins use
-    sizes_ = probes.groupBy("probe").agg(F.count("class").alias("n")).where(F.col("n") > 1).select("probe", F.ceil(F.col("n") / CELL).cast("int").alias("cells"))
-    shared = probes.join(sizes_, "probe")
-    left = shared.select("probe", F.col("class").alias("a"), F.pmod(F.xxhash64("class"), F.col("cells")).cast("int").alias("cell"))
-    right = shared.select("probe", F.col("class").alias("b"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
+    counted = probes.withColumn("n", F.count("class").over(Window.partitionBy("probe"))).where("n > 1")
+    # most keys are joined where they lie; only those of more than a cell are shuffled again, by cell
+    cold, hot = counted.where(F.col("n") <= CELL), counted.where(F.col("n") > CELL)
+    cells = F.ceil(F.col("n") / CELL).cast("int")
+    near = cold.select("probe", F.col("class").alias("a")).join(cold.select("probe", F.col("class").alias("b")), "probe").select("a", "b")
+    own = hot.select("probe", F.col("class").alias("a"), F.pmod(F.xxhash64("class"), cells).cast("int").alias("cell"))
+    every = hot.select("probe", F.col("class").alias("b"), F.explode(F.sequence(F.lit(0), cells - 1)).alias("cell"))
+    pairs = near.unionByName(own.join(every, ["probe", "cell"]).select("a", "b"))
     apart = int(np.ceil(-np.log(limit) / np.log(SIZE_STEP))) + 1
     sizes = F.abs(F.col("a").bitwiseAND(F.lit(255)) - F.col("b").bitwiseAND(F.lit(255)))
-    return left.join(right, ["probe", "cell"]).where((F.col("a") < F.col("b")) & (sizes <= apart)).select("a", "b").distinct()
+    return pairs.where((F.col("a") < F.col("b")) & (sizes <= apart)).select("a", "b").distinct()
 
 
 def _verified(pairs: DataFrame, limit: float) -> DataFrame:
