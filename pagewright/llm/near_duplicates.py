@@ -291,3 +291,12 @@ select a.tbl, a.id id_a, b.id id_b from s a join s b on a.tbl = b.tbl and a.s =
 join n x on x.tbl = a.tbl and x.id = a.id join n y on y.tbl = b.tbl and y.id = b.id
 group by a.tbl, a.id, b.id, x.n, y.n having count(*) >= 0.6 * (x.n + y.n - count(*))""",
 }
+SQL["p1_classes"] = r"""
+with r as (select 'web_extract_results' tbl, result_id id, result_id * 2 code, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') w from web_extract_results
+ union all select 'merged_results', merged_id, merged_id * 2 + 1, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') from merged_results),
+g as (select tbl, id, code, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) s from r where len(w) >= 30),
+c as (select s, min(code) class_id, len(s) n from g group by s),
+t as (select class_id, n, unnest(s) s from c),
+l as (select a.class_id a, b.class_id b from t a join t b on a.s = b.s and a.class_id <> b.class_id group by a.class_id, b.class_id, a.n, b.n having count(*) >= 0.6 * (a.n + b.n - count(*))),
+k as (select a class_id, count(*) n_links from l group by a)
+select g.tbl, g.id record_id, c.class_id, coalesce(k.n_links, 0)::bigint n_links from g join c on c.s = g.s left join k on k.class_id = c.class_id"""

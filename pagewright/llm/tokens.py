@@ -421,7 +421,8 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, n_ids, same): whether decoding the ids gives the text back."""
+    """(doc_id, n_chars, same): the length of the text that decoding the ids gives, and whether it is the
+    document's (a null text is an empty one)."""
     from pyspark.sql import functions as F
 
     docs = table(spark, sf_dir, "documents")
@@ -431,8 +432,11 @@ def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         machine = Decoder(VOCABULARY)
         for b in batches:
             texts = b.column(1).to_pylist()
-            ids = encoder.encode(texts).to_pylist()
-            same = [machine.feed(i) + machine.finish() == (t or "") for i, t in zip(ids, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array(same)], names=["doc_id", "n_ids", "same"])
+            back = [machine.feed(i) + machine.finish() for i in encoder.encode(texts).to_pylist()]
+            same = [x == (t or "") for x, t in zip(back, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in back], pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_chars", "same"])
 
-    return docs.select("doc_id", F.col("text")).mapInArrow(run, "doc_id long, n_ids long, same boolean")
+    return spread(docs.select("doc_id", F.col("text"))).mapInArrow(run, "doc_id long, n_chars long, same boolean")
+
+
+SQL = {"p8_roundtrip": "select doc_id, coalesce(length(text), 0)::bigint n_chars, true same from documents"}
