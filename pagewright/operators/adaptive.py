@@ -123,7 +123,8 @@ def percentage(p: float) -> float:
 
 
 def diagnose(elements: DataFrame, stored: DataFrame, least: float = ACCEPT) -> DataFrame:
-    """(page_id, identifier, node_id, components, score, rank, accepted) of all candidates.
+    """(page_id, identifier, node_id, components, score, rank, accepted, reason) of all candidates; the reason
+    of a refusal is "below the least score" or "not the best".
 
     ``elements`` are fingerprints with a domain, ``stored`` (domain, identifier, fp). The join is on
     the domain; a page's candidates are ranked by score, ties in document order.
@@ -138,7 +139,8 @@ def diagnose(elements: DataFrame, stored: DataFrame, least: float = ACCEPT) -> D
     each = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(w).alias("weight"), F.col(f"s_{n}").alias("score"), (F.lit(w) * F.col(f"s_{n}")).alias("contribution")) for n, w, _ in parts])
     w = Window.partitionBy("page_id", "identifier").orderBy(F.desc("score"), "node_id")
     out = scored.select("page_id", "identifier", "node_id", each.alias("components"), F.round(total, 12).alias("score"))
-    return out.withColumn("rank", F.row_number().over(w)).withColumn("accepted", (F.col("rank") == 1) & (F.col("score") >= least))
+    out = out.withColumn("rank", F.row_number().over(w)).withColumn("accepted", (F.col("rank") == 1) & (F.col("score") >= least))
+    return out.withColumn("reason", F.when(F.col("accepted"), "").when(F.col("score") < least, "below the least score").otherwise("not the best"))
 
 
 def relocate(elements: DataFrame, stored: DataFrame, least: float = ACCEPT) -> DataFrame:
@@ -165,7 +167,7 @@ def similar(elements: DataFrame, asked: DataFrame | None = None, least: float =
     return both.select("page_id", "node_id", "other_id", F.round(s, 12).alias("score")).where(F.col("score") >= least)
 
 
-def select_adaptive(pages: DataFrame, selector: str, identifier: str, stored: DataFrame, least: float = ACCEPT) -> tuple[DataFrame, DataFrame]:
+def select_adaptive(pages: DataFrame, selector: str, identifier: str, stored: DataFrame | None, least: float = ACCEPT) -> tuple[DataFrame, DataFrame]:
     """(found, to_save): elements that a selector selects and, on pages where it selects none, the
     relocated element of the stored fingerprint.
 
@@ -175,6 +177,10 @@ def select_adaptive(pages: DataFrame, selector: str, identifier: str, stored: Da
     from pagewright.dom.nodes import select_all
     from pagewright.functions import urls
 
+    if stored is None:
+        raise ValueError("adaptive selection needs a store")
+    if not identifier.strip():
+        raise ValueError("an identifier is required")
     hits = select_all(pages, {identifier: selector}).select("page_id", "node_id").distinct()
     fps = element_fingerprints(pages).withColumn("domain", urls.adaptive_domain(F.col("url"))).drop("url")
     missed = fps.join(hits.select("page_id"), "page_id", "left_anti")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import urls
 from pagewright.session import materialize
+from pagewright.sources.responses import merged_meta
 
 #: Statuses that mean a block (fixed values).
 BLOCKED = (401, 403, 407, 429, 444, 500, 502, 503, 504)
@@ -81,22 +82,48 @@ def retries(responses: DataFrame, limit: int = 3) -> DataFrame:
     return again.withColumns({"retry_count": F.coalesce("retry_count", F.lit(0)) + 1, "priority": F.col("priority") - 1, "dont_filter": F.lit(True)})
 
 
-def crawl(seeds: DataFrame, pages: DataFrame, follow: Callable[[DataFrame], DataFrame], depth: int, domains: list[str] | None = None) -> DataFrame:
+def crawl(
+    seeds: DataFrame,
+    pages: DataFrame,
+    follow: Callable[[DataFrame], DataFrame],
+    depth: int,
+    domains: list[str] | None = None,
+    policies: DataFrame | None = None,
+    user_agent: str = "*",
+    host_limit: int = 0,
+    items: Callable[[DataFrame], DataFrame] | None = None,
+    target: str = "",
+) -> DataFrame:
     """Waves of a crawl over stored pages: (url, wave), each URL once, at its first wave.
 
-    ``seeds`` has url; ``pages`` (page_id, url, html) is the web; ``follow`` gives (page_id, url) of the
-    links of pages. Each wave joins the frontier with the pages, follows, drops offsite links and
-    anti-joins what was seen; it is written to the shared folder, which cuts the lineage.
+    ``seeds`` has url; ``pages`` (page_id, url, html, perhaps status) is the web; ``follow`` gives (page_id,
+    url) of the links of pages, and perhaps their priority. Each wave joins the frontier with the pages,
+    leaves blocked ones out, follows, drops offsite links and those that robots ``policies`` (origin, status,
+    body) forbid, anti-joins what was seen, and takes the first ``host_limit`` of each host by priority (0
+    takes all). ``items`` makes rows of the pages of a wave; they are appended to ``target``, a parquet
+    folder. A wave is written to the shared folder, which cuts the lineage.
     """
     from pagewright.operators.links import allowed
+    from pagewright.operators.robots import check
 
     found = [materialize(seeds.select(urls.canonical_request(F.col("url")).alias("url")).where("url is not null").distinct().withColumn("wave", F.lit(0)), "wave")]
     web = materialize(pages.withColumn("key", urls.canonical_request(F.trim("url"))).where("key is not null"), "web")  # keyed once, not in every wave
-    for wave in range(1, depth + 1):
+    if "status" in pages.columns:
+        web = web.where(~F.coalesce(is_blocked(F.col("status")), F.lit(False)))
+    for wave in range(depth + 1):
         here = web.join(found[-1].select(F.col("url").alias("key")), "key", "left_semi").drop("key")
-        new = follow(here).select("url").where(allowed(F.col("url"), domains or [])).distinct()
+        if items is not None and target:
+            items(here).withColumn("wave", F.lit(wave)).write.mode("append").parquet(target)
+        if wave == depth:
+            break
+        links = follow(here)
+        rank = F.max("priority") if "priority" in links.columns else F.lit(0)
+        new = links.where(allowed(F.col("url"), domains or [])).groupBy("url").agg(rank.alias("priority"))
         new = new.join(reduce(DataFrame.unionByName, found).select("url"), "url", "left_anti")
-        found.append(materialize(new.withColumn("wave", F.lit(wave)), "wave"))
+        if policies is not None:
+            new = check(new, policies, user_agent).where("allowed").select("url", "priority")
+        new = limit_per_host(new, host_limit, "url").select("url")
+        found.append(materialize(new.withColumn("wave", F.lit(wave + 1)), "wave"))
         if found[-1].isEmpty():
             break
     return reduce(DataFrame.unionByName, found)
@@ -190,9 +217,15 @@ def start_times(requests: DataFrame, order: str, delay: Column) -> DataFrame:
 def follow_ups(found: DataFrame, origin: DataFrame, referer: bool = True) -> DataFrame:
     """Requests for links (page_id, url) of the requests that led to them (page_id, and a request's
     columns with its url as request_url): method, body, headers, session and priority are inherited,
-    forcing isn't."""
+    forcing isn't. Where both sides have a ``meta`` map, they are merged and the link's values count."""
     keep = [c for c in origin.columns if c not in ("page_id", "url", "request_url", "dont_filter", "headers")]
+    own_meta = "meta" in found.columns and "meta" in origin.columns
+    if own_meta:
+        found = found.withColumnRenamed("meta", "__meta")
     out = found.join(origin, "page_id")
+    if own_meta:
+        empty = F.create_map().cast("map<string,string>")
+        out = out.withColumn("meta", merged_meta(F.coalesce("meta", empty), F.coalesce("__meta", empty)))
     headers = F.coalesce(F.col("headers"), F.create_map().cast("map<string,array<string>>"))
     if referer:
         headers = F.map_concat(F.map_filter(headers, lambda k, v: F.lower(k) != "referer"), F.create_map(F.lit("Referer"), F.array("request_url")))

@@ -26,6 +26,9 @@ def decoded(body: pd.Series, encoding: pd.Series) -> pd.Series:
     return pd.Series([None if b is None else bytes(b).decode(_codec(e), "replace") for b, e in zip(body, encoding, strict=True)], dtype=object)
 
 
+_HEADERS = "map<string,array<string>>"
+
+
 def header(headers: Column, name: str) -> Column:
     """The first value of a header, whatever the case of its name; null without one."""
     entries = F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == name.lower())
@@ -35,6 +38,9 @@ def header(headers: Column, name: str) -> Column:
 def responses(cache: DataFrame) -> DataFrame:
     """Cached records as responses: text, media type, encoding and the defaults of missing parts.
 
+    Cookies, headers and request headers are empty where they are missing; ``history`` is empty, since a
+    cached record is what came last, and ``xhr`` as well.
+
     The encoding is the record's own, else the charset of its content type, else UTF-8; the method is
     GET unless told otherwise.
     """
@@ -52,6 +58,10 @@ def responses(cache: DataFrame) -> DataFrame:
         encoding.alias("encoding"),
         body.alias("body"),
         decoded(body, encoding).alias("text"),
+        *[F.coalesce(F.col(c), F.create_map().cast(_HEADERS)).alias(c) for c in ("headers", "request_headers") if c in cache.columns],
+        *[F.coalesce(F.col(c), F.array().cast(cache.schema[c].dataType)).alias(c) for c in ("cookies",) if c in cache.columns],
+        F.array().cast("array<string>").alias("history"),
+        F.array().cast("array<struct<url:string,status:int,body:string>>").alias("xhr"),
         "stored_at",
     )
 

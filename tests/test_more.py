@@ -273,3 +273,63 @@ def test_scalars_in_lists(spark):
     items = {(r["node_path"], tuple(r["ordinals"]), r["kind"], r["value"]) for r in nested.list_items(nodes).collect()}
     assert items == {("$[0].a[0]", (0,), "string", "x"), ("$[0].a[1][0]", (1, 0), "boolean", "true"), ("$[0].a[1][1]", (1, 1), "null", None)}
     assert {(r["node_path"], tuple(r["ordinals"])) for r in nested.objects(nodes).collect()} == {("$[0]", (0,)), ("$[0].a[2]", (2,)), ("$[0].c[0][0]", (0, 0))}
+
+
+def test_tools_and_sessions(spark):
+    from pagewright import tools
+
+    assert len(tools.TOOLS) == 10
+    for tool, args in (("nope", {}), ("get", {}), ("get", {"url": " "}), ("get", {"url": "a", "x": 1}), ("bulk_get", {"urls": []}), ("get", {"url": "a", "extraction_type": "pdf"}), ("get", {"url": 3})):
+        with pytest.raises(ValueError):
+            tools.checked(tool, args)
+    s = tools.Sessions(Flaky)
+    a, b = s.open(), s.open(" mine ", "stealthy", 0)
+    assert (a.session_id, b.session_id, b.pool.size, b.options.stealth.enabled) == ("session-1", "mine", 5, True)
+    assert [x["session_id"] for x in s.listed()] == ["mine", "session-1"] and s.get("mine", "stealthy") is b
+    for bad in (lambda: s.open("mine"), lambda: s.open(kind="other"), lambda: s.get("mine", "dynamic"), lambda: s.get("none", "dynamic"), lambda: s.close("none"), lambda: s.open(options=browser.Options(wait_state="x"))):
+        with pytest.raises(ValueError):
+            bad()
+    s.close("mine")
+    assert [x["session_id"] for x in s.listed()] == ["session-1"] and not b.alive
+    pages = spark.createDataFrame([(1, "http://a.test/", "<main>m</main><p>p</p>", 200), (2, "http://b.test/", "<p>q</p>", 200)], "page_id long, url string, html string, status int")
+    got = tools.bulk_get(pages, {"urls": ["http://a.test/", "http://c.test/"], "main_content_only": True}).collect()
+    assert [(r["page_id"], r["content"]) for r in got] == [(1, ["m"])]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from pagewright.__main__ import main
+
+    page = tmp_path / "p.html"
+    page.write_text("<nav>n</nav><main><h1>T</h1><p>x</p></main>")
+    assert main(["extract", str(page), str(tmp_path / "o" / "p.md")]) == 0 and (tmp_path / "o" / "p.md").read_text() == "# T\n\nx"
+    assert main(["extract", str(page), str(tmp_path / "q.txt"), "--main", "--css", "h1"]) == 0 and (tmp_path / "q.txt").read_text() == "T"
+    assert main(["select", str(page), "--xpath", "//h1/text()"]) == 0 and capsys.readouterr().out.splitlines()[-1] == "T"
+    assert main(["extract", str(page), "x.pdf"]) == 1 and main(["extract"]) == 2 and main(["select", "missing", "--css", "a"]) == 1
+    assert main(["queries"]) == 0 and "q_merge" in capsys.readouterr().out
+    ledger_file = tmp_path / "l.json"
+    ledger_file.write_text('{"phases": {"2": {"subphases": {"a": {"items": [{"status": "complete"}, {"status": "planned"}]}}}}}')
+    assert main(["ledger", str(ledger_file), "rollup"]) == 0
+    assert [json.loads(x)["status"] for x in capsys.readouterr().out.splitlines()] == ["in_progress", "in_progress"]
+
+
+def test_crawl_with_robots_limits_and_items(spark, tmp_path):
+    html = "".join(f"<a href=/{i}>x</a>" for i in range(6)) + "<a href=/no/1>y</a><a href=http://off.test/>z</a>"
+    pages = spark.createDataFrame([(1, "http://h.test/", html, 200), (2, "http://h.test/0", "<a href=/deep>d</a>", 200), (3, "http://h.test/1", "<a href=/blocked>d</a>", 503)], "page_id long, url string, html string, status int")
+    policies = spark.createDataFrame([("http://h.test", 200, "User-agent: *\nDisallow: /no")], "origin string, status int, body string")
+    follow = lambda p: links.extract_links(p, links.LinkExtractor()).withColumn("priority", -F.col("ord"))
+    target = str(tmp_path / "items")
+    got = frontier.crawl(pages.where("page_id = 1").select("url"), pages, follow, 2, ["h.test"], policies, "bot", 3, lambda p: p.select("page_id"), target)
+    assert sorted((r["url"], r["wave"]) for r in got.collect()) == [("http://h.test/", 0), ("http://h.test/0", 1), ("http://h.test/1", 1), ("http://h.test/2", 1), ("http://h.test/deep", 2)]
+    assert sorted((r["page_id"], r["wave"]) for r in spark.read.parquet(target).collect()) == [(1, 0), (2, 1)]
+
+
+def test_follow_ups_merge_meta(spark):
+    found = spark.createDataFrame([(1, "http://a.test/x", {"a": "2", "c": "3"})], "page_id long, url string, meta map<string,string>")
+    origin = spark.createDataFrame([(1, "http://a.test/", "GET", None, {"a": "1", "b": "1"})], "page_id long, request_url string, method string, headers map<string,array<string>>, meta map<string,string>")
+    assert frontier.follow_ups(found, origin).first()["meta"] == {"a": "2", "b": "1", "c": "3"}
+
+
+def test_adaptive_selection_needs_a_store(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>")], "page_id long, url string, html string")
+    with pytest.raises(ValueError):
+        adaptive.select_adaptive(pages, "p", "k", None)
