@@ -36,6 +36,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +71,7 @@ _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _LATEX = re.compile(r"\\(?:(?:sub)*section|paragraph|textbf|textit|emph|href\{[^{}]*\})\*?\{([^{}]*)\}")
 _YEAR = re.compile(r"\b(?:19|20)\d\d\b")
 _PARTS = re.compile(r"\s*(?:\s[|>»·•/–-]\s|[|>»·•])\s*|\s{2,}|\t")
+_PARTED = re.compile(r"[|>»·•\t]|\s[/–-]\s|\s\s")
 _SIGN = re.compile(r"[|>»·•]|\s[/–-]\s|\]\(")
 _SENTENCES = re.compile(r"(?<=[.!?…])\s+")
 _FENCE = re.compile(r"^\s*(`{3,}|~{3,})")
@@ -83,17 +85,24 @@ _END = re.compile(r"[.!?:;,…]\s*$")
 @lru_cache(maxsize=CACHED)
 def stripped(line: str) -> str:
     """A line without markup around and inside its words."""
-    out = _TRAIL.sub("", _LEAD.sub("", line.strip()))
-    out = _LINK.sub(lambda m: next((x for x in m.groups() if x is not None), ""), out)
-    out = _LATEX.sub(r"\1", out)
-    if _TAG.search(out):  # the blanks that tags leave part nothing
+    out = _LEAD.sub("", line.strip(), count=1)
+    if out and out[-1] in "#=":
+        out = _TRAIL.sub("", out)
+    if "[" in out:
+        out = _LINK.sub(lambda m: next((x for x in m.groups() if x is not None), ""), out)
+    if "\\" in out:
+        out = _LATEX.sub(r"\1", out)
+    if "<" in out and _TAG.search(out):  # the blanks that tags leave part nothing
         out = " ".join(_TAG.sub(" ", out).split())
-    out = html.unescape(out)
+    if "&" in out:
+        out = html.unescape(out)
     return out.strip(" *_'`\t")
 
 
 def normal(text: str, site: str) -> str:
-    out = _YEAR.sub("\x02", " ".join(text.lower().split()))
+    out = " ".join(text.lower().split())
+    if "19" in out or "20" in out:
+        out = _YEAR.sub("\x02", out)
     return out.replace(site, "\x01") if site else out
 
 
@@ -101,6 +110,9 @@ def guarded(lines: list[str]) -> list[bool]:
     """Which lines are code, tables or formulas."""
     out, until = [], None
     for line in lines:
+        if until is None and not _SIGNS.search(line):  # most lines of prose
+            out.append(False)
+            continue
         if until is not None:
             out.append(True)
             if until(line):
@@ -121,19 +133,29 @@ def guarded(lines: list[str]) -> list[bool]:
                 until = lambda x, e=end: e in x or e in x.lower()
             continue
         out.append(False)
-    return [g or bool(_CODE.search(_TAG.sub("", _LINK.sub(r"\1", x.replace("=" * 2, "")))) and not _PARTS.search(x.strip())) or x.startswith(("    ", "\t")) and not _LEAD.match(x) or bool(_FORMULA.search(x)) for g, x in zip(out, lines, strict=True)]
+    return [g or x.startswith(("    ", "\t")) and not _LEAD.match(x) or bool(_SIGNS.search(x)) and _code(x) for g, x in zip(out, lines, strict=True)]
+
+
+def _code(line: str) -> bool:
+    bare = _TAG.sub("", _LINK.sub(r"\1", line.replace("=" * 2, "")))
+    return bool(_CODE.search(bare) and not _PARTS.search(line.strip())) or bool(_FORMULA.search(line))
 
 
+#: One of these stands in every line of code, of a table or of a formula.
+_SIGNS = re.compile(r"[{}\\$=;<>~^|\[\]()_!&`]|\s-|^\s*-")
 _FORMULA = re.compile(r"^\s*[a-z]+ --?[a-z]\b|\$[^$\s][^$]*\$|\\\(|\\\[|\{\{|\\[a-z]+\{|^\s*\|.*\|\s*$|^\s*[!|][^|]*(?:!!|\|\|)")
 
 
 @lru_cache(maxsize=CACHED)
 def parts_of(line: str) -> list[str]:
     """The parts of a menu line: link texts, or what separators part."""
-    links = _LINK.findall(line)
+    links = _LINK.findall(line) if "[" in line else []
     if len(links) > 1 and len(_LINK.sub("", line).strip(" -|>·•/,")) < 4:
         return [next((y for y in x if y), "") for x in links]
-    parts = [p.strip() for p in _PARTS.split(stripped(line)) if p.strip()]
+    core = stripped(line)
+    if not _PARTED.search(core):
+        return []
+    parts = [p.strip() for p in _PARTS.split(core) if p.strip()]
     return parts if len(parts) > 1 else []
 
 
@@ -192,9 +214,8 @@ def next_entries(lines: list[str], i: int, taken: list[bool], stop: set[int]) ->
 
 
 def _digest(text: str) -> int:
-    import xxhash
-
-    return int.from_bytes(xxhash.xxh3_64_digest(text.encode("utf-8", "replace")), "big", signed=True)
+    got = xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"))
+    return got - (1 << 64) if got >> 63 else got
 
 
 def page_keys(titles: list[str | None], texts: list[str]) -> np.ndarray:
@@ -260,35 +281,58 @@ def page_tokens(rows: DataFrame) -> DataFrame:
             codes, addresses, titles, texts = (c.to_pylist() for c in b.columns)
             texts = [t or "" for t in texts]
             pages = page_keys(titles, texts)
-            out: list[tuple] = []
+            out = _Columns()
             for code, url, title, text, page in zip(codes, addresses, titles, texts, pages.tolist(), strict=True):
                 if not text.strip():
                     continue
                 host = host_of(url)
-                site, h = site_name(host), _digest(host)
+                site = site_name(host)
                 lines, guard, skip = _page_lines(text, title)
                 seen: set[int] = set()
+                n = len(out.token)
                 for i, line in enumerate(lines):
                     if guard[i] or i in skip or not line.strip():
                         continue
                     for role, token, words in tokens_of(line, site):
-                        opens = role == 0 and words <= 6 and len(next_entries(lines, i, guard, skip)) > 1
                         t = _digest(token)
-                        out.append((code, i, role, AGAIN if t in seen else FIRST, words, opens, h, t, page))
+                        out.add(i, role, AGAIN if t in seen else FIRST, words, role == 0 and words <= 6 and len(next_entries(lines, i, guard, skip)) > 1, t)
                         seen.add(t)
-                    out += [(code, i, role, RENAMED, words, False, h, _digest(token), page) for role, token, words in renamed_tokens(line, site, known)]
-                if len(out) > 50_000:
-                    yield _token_batch(out)
-                    out = []
-            yield _token_batch(out)
+                    for role, token, words in renamed_tokens(line, site, known):
+                        out.add(i, role, RENAMED, words, False, _digest(token))
+                out.record(code, _digest(host), page, len(out.token) - n)
+                if len(out.token) > 100_000:
+                    yield out.batch()
+                    out = _Columns()
+            yield out.batch()
 
     return spread(rows.select("code", "url", "title", "text")).mapInArrow(run, TOKENS)
 
 
-def _token_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
-    columns = [*zip(*rows, strict=True)] or [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in TOKENS.split(", ")])
+class _Columns:
+    """Columns of token rows; what a record's rows have in common is kept once a record."""
+
+    def __init__(self) -> None:
+        self.place, self.role, self.kind, self.words, self.opens, self.token = [], [], [], [], [], []
+        self.records: list[tuple[int, int, int]] = []
+        self.sizes: list[int] = []
+
+    def add(self, place: int, role: int, kind: int, words: int, opens: bool, token: int) -> None:
+        self.place.append(place)
+        self.role.append(role)
+        self.kind.append(kind)
+        self.words.append(words)
+        self.opens.append(opens)
+        self.token.append(token)
+
+    def record(self, code: int, host: int, page: int, size: int) -> None:
+        self.records.append((code, host, page))
+        self.sizes.append(size)
+
+    def batch(self) -> pa.RecordBatch:
+        own = np.repeat(np.array(self.records, np.int64).reshape(-1, 3), self.sizes, axis=0)
+        four = [np.array(x, np.int32) for x in (self.place, self.role, self.kind, self.words)]
+        arrays = [own[:, 0], *four, np.array(self.opens, bool), own[:, 1], np.array(self.token, np.int64), own[:, 2]]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in arrays], names=[x.split()[0] for x in TOKENS.split(", ")])
 
 
 def _only(tokens: DataFrame, bitmap: np.ndarray) -> DataFrame:
