@@ -326,3 +326,73 @@ def test_against_sql(spark, name):
     cursor = c.execute(queries.oracle_sql()[name])
     names = [x[0] for x in cursor.description]
     assert sorted(tuple(r[n] for n in names) for r in got.collect()) == sorted(cursor.fetchall())
+
+
+def test_wide_menus_and_long_notices(spark):
+    """A menu of 80 entries that marks the current one, and a notice of 22 sentences of which one changes."""
+    rng = random.Random(19)
+    entries = [f"Topic{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(80)]
+    notice = [sentence(rng, 6).capitalize() + "." for _ in range(22)]
+    rows = []
+    for i in range(40):
+        menu = " | ".join(f"[{e}]" if k == i else e for k, e in enumerate(entries))
+        own = " ".join([*notice[:11], sentence(rng, 6).capitalize() + ".", *notice[12:]])
+        rows.append((i, f"http://s{i % 4}.site{i % 4}.test/{i}", f"Title {i}", f"{menu}\nTitle {i}\n{sentence(rng, 40)}.\n{own}\n{sentence(rng, 40)}."))
+    got = boilerplate.boilerplate_lines(spark.createDataFrame(rows, "code long, url string, title string, text string"))
+    assert {(r["code"], r["line_no"]) for r in got.collect()} == {(i, n) for i in range(40) for n in (1, 4)}
+
+
+def test_classes_must_be_ordered_and_nested(spark):
+    """Classes on one host: one in order, one shuffled, and two whose spans cross."""
+    rng = random.Random(20)
+    rows = []
+    for page in range(10):
+        mixed = rng.sample([10, 11, 12, 13], 4)
+        lines = [1, 2, 3, *mixed, 20, 30, 21, 31, 22, 32]
+        if page >= 8:  # the vectors differ by these pages
+            lines = [x for x in lines if x < 10 or page == 8 and x < 20 or page == 9 and 20 <= x < 30]
+        rows += [(page, p, 0, boilerplate.FIRST, 2, False, 1, token, 100 + page) for p, token in enumerate(lines)]
+    tokens = spark.createDataFrame(rows, boilerplate.TOKENS)
+    found = boilerplate.classes(boilerplate.occurrences(tokens))
+    by = {r["token"]: r["vector"] for r in found.collect()}
+    valid = {r["vector"]: (r["ordered"] >= boilerplate.VALID, r["nested"] >= boilerplate.VALID) for r in boilerplate.valid_classes(tokens, found).collect()}
+    assert len({by[1], by[10], by[20], by[30]}) == 4
+    assert valid[by[1]] == (True, True) and valid[by[10]] == (False, True)
+    assert valid[by[20]][1] is False and valid[by[30]][1] is False
+
+
+def test_a_copied_page_keeps_another_hosts_template(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(60):
+        k = i % 6
+        name = ["Aldermoor", "Brightwell", "Calverton", "Dunwich", "Eastleigh", "Farnham"][k]
+        other = "Brightwell" if i == 0 else name
+        rows.append((i, f"http://www.{name.lower()}.test/{i}", f"Title {i}", f"Title {i}\n{sentence(rng, 30)}.\nAll offers, prices and terms on these pages are subject to change by {other} and its partners without any notice, as told in the terms of use.\n{sentence(rng, 30)}."))
+    got = boilerplate.boilerplate_lines(spark.createDataFrame(rows, "code long, url string, title string, text string"))
+    assert {(r["code"], r["line_no"]) for r in got.collect()} == {(i, 3) for i in range(60)}
+
+
+def test_a_hot_host(spark):
+    """A host with a third of all rows keeps its paragraphs and loses its template."""
+    rng = random.Random(22)
+    rows = []
+    for i in range(240):
+        host = "hot.big.test" if i % 3 == 0 else f"h{i % 11}.small{i % 11}.test"
+        rows.append((i, f"http://{host}/{i}", f"Title {i}", f"Shop | Sale | Help\nTitle {i}\n{sentence(rng, 30)}.\n{sentence(rng, 30)}.\nBack to top"))
+    got = boilerplate.boilerplate_lines(spark.createDataFrame(rows, "code long, url string, title string, text string"))
+    assert {(r["code"], r["line_no"]) for r in got.collect()} == {(i, n) for i in range(240) for n in (1, 5)}
+
+
+def test_bitmaps_hold_what_they_are_given(spark):
+    import numpy as np
+
+    from pagewright.llm import kernel
+
+    values = [i * 0x9E3779B97F4A7C15 % 2**64 for i in range(1, 3000)]
+    df = spark.createDataFrame([(v - 2**64 if v >> 63 else v,) for v in [*values, *values[:500]]], "h long").repartition(5)
+    own = lambda b: [b.column(0).to_numpy().view(np.uint64)]
+    once, twice = kernel.gathered_bitmap(df, own, 24), kernel.gathered_bitmap(df, own, 24, twice=True)
+    h = np.array(values, np.uint64)
+    assert len(once) == 2**21 and kernel.has(once, h, 24).all() and kernel.has(twice, h[:500], 24).all() and kernel.has(twice, h[500:], 24).mean() < 0.01
+    assert not kernel.has(once, h ^ np.uint64(1 << 62), 24).all() and not kernel.gathered_bitmap(df.limit(0), own, 24).any()
