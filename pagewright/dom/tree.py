@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
@@ -93,10 +93,38 @@ class Node:
         return self.parent.elements() if self.parent is not None else [self]
 
 
+class _Open(list):
+    """Open elements, with how many there are of each tag, so that looking for one that isn't there costs
+    nothing however deep a page nests."""
+
+    def __init__(self, nodes: list[Node] = ()) -> None:
+        super().__init__(nodes)
+        self.tags: dict[str, int] = {}
+        for x in self:
+            self.tags[x.tag] = self.tags.get(x.tag, 0) + 1
+
+    def append(self, x: Node) -> None:
+        super().append(x)
+        self.tags[x.tag] = self.tags.get(x.tag, 0) + 1
+
+    def pop(self) -> Node:
+        x = super().pop()
+        self.tags[x.tag] -= 1
+        return x
+
+    def cut(self, i: int) -> None:
+        """Close all from place i on."""
+        while len(self) > i:
+            self.pop()
+
+    def any(self, tags: Iterable[str]) -> bool:
+        return any(self.tags.get(t) for t in tags)
+
+
 class _Builder:
     def __init__(self) -> None:
         self.root = Node("document")
-        self.open: list[Node] = []
+        self.open = _Open()
         self.formatting: list[tuple[str, list[tuple[str, str]]]] = []
         self.head: Node | None = None
         self.body: Node | None = None
@@ -107,7 +135,7 @@ class _Builder:
         if self.html is None:
             self.html = Node("element", "html", attrs)
             self.root.append(self.html)
-            self.open = [self.html]
+            self.open = _Open([self.html])
         elif attrs:
             self.html.attrs += [a for a in attrs if self.html.attr(a[0]) is None]
         return self.html
@@ -117,7 +145,7 @@ class _Builder:
         if self.head is None:
             self.head = Node("element", "head")
             top.append(self.head)
-            self.open = [top, self.head]
+            self.open = _Open([top, self.head])
         return self.head
 
     def ensure_body(self, attrs: list[tuple[str, str]] | None = None) -> Node:
@@ -125,7 +153,7 @@ class _Builder:
         if self.body is None:
             self.body = Node("element", "body", attrs)
             self.html.append(self.body)
-            self.open = [self.html, self.body]
+            self.open = _Open([self.html, self.body])
         elif attrs:
             self.body.attrs += [a for a in attrs if self.body.attr(a[0]) is None]
         return self.body
@@ -148,6 +176,8 @@ class _Builder:
 
     def reopen(self) -> None:
         """Open again the formatting elements that are active but no longer open."""
+        if not self.formatting:
+            return
         opened = [x.tag for x in self.open]
         for tag, attrs in list(self.formatting):
             if tag in opened:
@@ -158,9 +188,11 @@ class _Builder:
                 self.open.append(node)
 
     def close_to(self, tags: frozenset[str], stop: frozenset[str]) -> None:
+        if not self.open.any(tags):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in tags:
-                del self.open[i:]
+                self.open.cut(i)
                 return
             if self.open[i].tag in stop:
                 return
@@ -188,7 +220,7 @@ class _Builder:
                 self.open.pop()
             if tag in IMPLIED:
                 ends, stop = IMPLIED[tag]
-                while any(x.tag in ends for x in self.open[self.depth_of(stop) :]):
+                while self.open.any(ends) and any(x.tag in ends for x in self.open[self.depth_of(stop) :]):
                     self.close_to(ends, stop)
             if tag == "a" and any(t == "a" for t, _ in self.formatting):
                 self.end("a")
@@ -222,7 +254,7 @@ class _Builder:
         if tag == "br":
             self.start("br", [], False)
             return
-        if tag == "p" and not any(x.tag == "p" for x in self.open):
+        if tag == "p" and not self.open.tags.get("p"):
             self.ensure_body()
             self.place(Node("element", "p"))
             return
@@ -235,15 +267,18 @@ class _Builder:
                 if self.open[i].tag == tag:
                     # elements opened inside stay open only if they are formatting (they reopen) or blocks
                     inner = [x for x in self.open[i + 1 :] if x.tag not in FORMAT]
-                    del self.open[i:]
-                    self.open += inner
+                    self.open.cut(i)
+                    for x in inner:
+                        self.open.append(x)
                     return
             return
+        if not self.open.tags.get(tag) and tag not in HEADINGS:
+            return
         stop = _SCOPE - {tag} if tag != "table" else frozenset(["html", "body"])
         for i in range(len(self.open) - 1, 0, -1):
             own = self.open[i].tag
             if own == tag or tag in HEADINGS and own in HEADINGS:
-                del self.open[i:]
+                self.open.cut(i)
                 return
             if own in stop:
                 return
