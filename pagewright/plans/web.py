@@ -209,31 +209,13 @@ def q_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    """Fingerprints of the requests that bring one, computed anew."""
-    own = frontier.with_fingerprint(table(spark, d, "scheduler_requests").where("btrim(fingerprint, ' \t\n\r') <> ''"))
-    return own.select("request_id", "fp")
-
-
-def q_schedule(spark: SparkSession, d: str) -> DataFrame:
-    """Requests with a delivered fingerprint that a scheduler takes, in the order it gives them out, within each crawl."""
-    own = frontier.with_fingerprint(table(spark, d, "scheduler_requests").select("request_id", "crawl_id", "url", "method", "sid", "body", "priority", "dont_filter", "fingerprint"))
-    own = materialize(own.where("btrim(fingerprint, ' \t\n\r') <> ''"), "schedule")  # fingerprints are made once
-    return frontier.dequeue_order(frontier.accepted(own, "request_id"), "request_id", "crawl_id").select("crawl_id", "request_id", "place")
-
-
-def _requests(spark: SparkSession, d: str) -> DataFrame:
-    """All requests with their computed fingerprints, whether or not they bring one."""
-    return frontier.with_fingerprint(table(spark, d, "scheduler_requests"))
-
-
-def q_fingerprints_all(spark: SparkSession, d: str) -> DataFrame:
     """Computed fingerprints of all requests; null for a broken URL."""
-    return _requests(spark, d).select("request_id", "fp")
+    return frontier.with_fingerprint(table(spark, d, "scheduler_requests")).select("request_id", "fp")
 
 
-def q_schedule_all(spark: SparkSession, d: str) -> DataFrame:
-    """As q_schedule, over all requests."""
-    own = _requests(spark, d).select("request_id", "crawl_id", "priority", "dont_filter", "fp")
+def q_schedule(spark: SparkSession, d: str) -> DataFrame:
+    """All requests that a scheduler takes, in the order it gives them out, within each crawl."""
+    own = frontier.with_fingerprint(table(spark, d, "scheduler_requests")).select("request_id", "crawl_id", "priority", "dont_filter", "fp")
     own = materialize(own, "schedule")  # fingerprints are made once
     return frontier.dequeue_order(frontier.accepted(own, "request_id"), "request_id", "crawl_id").select("crawl_id", "request_id", "place")
 
@@ -244,19 +226,10 @@ def q_schedule_global(spark: SparkSession, d: str) -> DataFrame:
     return frontier.dequeue_order(rows, "id").select("id", "place")
 
 
-def _unseen(spark: SparkSession, d: str, own: DataFrame) -> DataFrame:
-    seen = table(spark, d, "scheduler_snapshots").select(F.explode("seen").alias("fp")).distinct()
-    return own.join(seen, "fp", "left_anti").select("request_id")
-
-
 def q_seen(spark: SparkSession, d: str) -> DataFrame:
-    """Requests that bring a fingerprint and whose computed one isn't in any snapshot."""
-    return _unseen(spark, d, q_fingerprints(spark, d))
-
-
-def q_seen_all(spark: SparkSession, d: str) -> DataFrame:
     """Requests whose computed fingerprint isn't in any snapshot; broken URLs have none and are left in."""
-    return _unseen(spark, d, q_fingerprints_all(spark, d))
+    seen = table(spark, d, "scheduler_snapshots").select(F.explode("seen").alias("fp")).distinct()
+    return q_fingerprints(spark, d).join(seen, "fp", "left_anti").select("request_id")
 
 
 def q_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -369,7 +342,6 @@ _MAIN = _A.replace("coalesce(html, '')", "regexp_extract(coalesce(html, ''), '<m
 _HOST = r"lower(regexp_extract(trim(url), '^[A-Za-z]+://([^/?#:]+)', 1))"
 _H1 = r"trim(regexp_replace(" + DECODE.format("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')") + r", '\s+', ' ', 'g'))"
 _ARTICLES = r"""(select page_id, unnest(regexp_extract_all(html, '<article class="card" data-sku="([^"]*)"', 1)) sku, generate_subscripts(regexp_extract_all(html, '<article class="card" data-sku="([^"]*)"', 1), 1) nth from pages)"""
-_TRIMMED = "trim(fingerprint, ' ' || chr(9) || chr(10) || chr(13))"
 _KEY = "coalesce(nullif(trim(extraction.final_url), ''), trim(url))"
 _MERGED = f"""(with r as (select *, row_number() over (partition by call_id order by result_id) pos, {_KEY} u from web_extract_results),
 w as (select *, case when extraction.provider_weight > 0 then extraction.provider_weight else 1.0 end wt from r)
@@ -390,12 +362,7 @@ SQL = {
     "q_opengraph": "select page_id, k \"key\", opengraph[k] \"value\" from (select page_id, opengraph, unnest(map_keys(opengraph)) k from structured_data where page_id in (select page_id from pages where html is not null))",
     "q_jsonld": "select page_id, (generate_subscripts(jsonld, 1) - 1)::int ord, unnest(jsonld) text from structured_data where page_id in (select page_id from pages where html is not null)",
     "q_hosts": f"select coalesce(nullif({_HOST}, ''), 'default') host, count(*) n from pages group by 1",
-    "q_fingerprints": f"select request_id, lower({_TRIMMED}) fp from scheduler_requests where {_TRIMMED} <> ''",
-    "q_schedule": f"""with r as (select *, lower({_TRIMMED}) fp from scheduler_requests where {_TRIMMED} <> ''),
-a as (select * from r where dont_filter union all select * exclude (n) from (select *, row_number() over (partition by fp order by request_id) n from r where not dont_filter) where n = 1)
-select crawl_id, request_id, row_number() over (partition by crawl_id order by priority desc, request_id) place from a""",
     "q_schedule_global": "select o_orderkey id, row_number() over (order by 10 - substr(o_orderpriority, 1, 1)::int desc, o_orderkey) place from orders",
-    "q_seen": f"select request_id from scheduler_requests where {_TRIMMED} <> '' and lower({_TRIMMED}) not in (select unnest(seen) from scheduler_snapshots)",
     "q_merge": "select call_id, url, title, content, round(score, 6) score, len(providers)::bigint n_providers, providers[1].provider first_provider, coalesce(array_to_string(suggestions, '|'), '') suggestions, coalesce(cardinality(fields), -1)::bigint n_fields from merged_results",
     "q_rank": f"select call_id, url, rank, round(score, 6) score from (select *, row_number() over (partition by call_id order by score desc, pos) rank from {_MERGED}) where rank <= 3",
     "q_suggestions": """with s as (select call_id, result_id, trim(unnest(suggestions)) s, generate_subscripts(suggestions, 1) i from web_extract_results),
@@ -457,9 +424,9 @@ SQL |= {
     "q_rules": r"""select case when regexp_matches(url, '[?&]page=') then 'paged' when regexp_matches(lower(url), '^[a-z]+://([^/?#:]*\.)?example[/?#:]') then 'example' else 'rest' end "rule", count(*) n from scheduler_requests group by 1""",
     "q_robots": r"""select not (starts_with(p, '/column') and not starts_with(p, '/column/a') or regexp_matches(p, '^/item/.*\?ref=')) allowed, count(*) n, 0::double "delay" from (select regexp_extract(trim(url), '^[A-Za-z]+://[^/?#]*([^#]*)', 1) p from scheduler_requests) group by 1""",
     "q_diagnose": r"""select r::int "rank", r = 1 accepted, count(*) n from (select unnest(range(1, len(regexp_extract_all(html, '<article ')) + 1)) r from pages) group by all""",
-    "q_fingerprints_all": f"select request_id, fp from {_SHA}",
-    "q_seen_all": f"select request_id from {_SHA} where fp not in (select unnest(seen) from scheduler_snapshots where seen is not null)",
-    "q_schedule_all": f"select crawl_id, request_id, row_number() over (partition by crawl_id order by priority desc, request_id) place from {_TAKEN}",
+    "q_fingerprints": f"select request_id, fp from {_SHA}",
+    "q_seen": f"select request_id from {_SHA} where fp not in (select unnest(seen) from scheduler_snapshots where seen is not null)",
+    "q_schedule": f"select crawl_id, request_id, row_number() over (partition by crawl_id order by priority desc, request_id) place from {_TAKEN}",
     "q_stream_new": f"select dont_filter, count(*) n, count(distinct fp) n_keys from {_TAKEN} group by 1",
     "q_static_extract": f"select page_id, {_TITLE} title, {_FULL('main')} content, case when html like '%<main%' then '' else 'css_selector matched no elements' end error from pages",
     "q_follow": f"select (page_id % 3)::int priority, count(*) n, count(*) n_referers from (select distinct page_id, href from {_ALL} where innav and href not like 'mailto:%' and href <> '') group by 1",

@@ -150,8 +150,8 @@ def test_requests_without_a_delivered_fingerprint(spark, tmp_path):
     schema = "request_id long, crawl_id long, url string, method string, sid string, body binary, priority int, dont_filter boolean, fingerprint string"
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/scheduler_requests.parquet")
     d = str(tmp_path)
-    fps = {r["request_id"]: r["fp"] for r in web.q_fingerprints_all(spark, d).collect()}
+    fps = {r["request_id"]: r["fp"] for r in web.q_fingerprints(spark, d).collect()}
     assert len(fps) == 5 and None not in fps.values() and fps[1] == fps[2] == fps[3] and len(set(fps.values())) == 3
-    assert {tuple(r) for r in web.q_schedule_all(spark, d).collect()} == {(1, 4, 1), (1, 3, 2), (1, 1, 3), (2, 5, 1)}
+    assert {tuple(r) for r in web.q_schedule(spark, d).collect()} == {(1, 4, 1), (1, 3, 2), (1, 1, 3), (2, 5, 1)}
     spark.createDataFrame([([fps[1]],)], "seen array<string>").write.parquet(f"{tmp_path}/scheduler_snapshots.parquet")
-    assert {r[0] for r in web.q_seen_all(spark, d).collect()} == {4, 5}
+    assert {r[0] for r in web.q_seen(spark, d).collect()} == {4, 5}
