@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -156,14 +157,28 @@ def crawl_times(log: DataFrame, key: str, at: str) -> DataFrame:
 
 
 def save_checkpoint(pending: DataFrame, seen: DataFrame, path: str) -> None:
-    """Pending requests and seen fingerprints, each written whole."""
-    pending.write.mode("overwrite").parquet(f"{path}/pending")
-    seen.select("fp").distinct().write.mode("overwrite").parquet(f"{path}/seen")
+    """Pending requests and seen fingerprints, written whole under a new name; only then the name of the
+    current one is replaced in one step, so a reader never meets half a checkpoint. Older ones stay."""
+    spark = pending.sparkSession
+    name = uuid.uuid4().hex
+    pending.write.parquet(f"{path}/{name}/pending")
+    seen.select("fp").distinct().write.parquet(f"{path}/{name}/seen")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    files, fs = jvm.org.apache.hadoop.fs, jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
+    fresh, current = files.Path(f"{path}/{name}/name"), files.Path(f"{path}/current")
+    out = fs.create(fresh, True)
+    out.writeBytes(name)
+    out.close()
+    overwrite = spark.sparkContext._gateway.new_array(files.Options.Rename, 1)
+    overwrite[0] = files.Options.Rename.OVERWRITE
+    files.FileContext.getFileContext(fs.getUri(), conf).rename(fresh, current, overwrite)
 
 
 def load_checkpoint(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(pending, seen) as saved; the fingerprints of pending normal requests count as seen."""
-    pending, seen = spark.read.parquet(f"{path}/pending"), spark.read.parquet(f"{path}/seen")
+    """(pending, seen) as saved last; the fingerprints of pending normal requests count as seen. Without a
+    checkpoint it is an error."""
+    name = spark.read.text(f"{path}/current").first()[0]
+    pending, seen = spark.read.parquet(f"{path}/{name}/pending"), spark.read.parquet(f"{path}/{name}/seen")
     marks = pending.where(~F.coalesce("dont_filter", F.lit(False)) & F.col("fp").isNotNull()).select("fp")
     return pending, seen.select("fp").unionByName(marks).distinct()
 

@@ -333,3 +333,14 @@ def test_adaptive_selection_needs_a_store(spark):
     pages = spark.createDataFrame([(1, "u", "<p>")], "page_id long, url string, html string")
     with pytest.raises(ValueError):
         adaptive.select_adaptive(pages, "p", "k", None)
+
+
+def test_checkpoints_replace_each_other(spark, tmp_path):
+    path = str(tmp_path / "c")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        frontier.load_checkpoint(spark, path)
+    r = spark.createDataFrame([(1, "a", False), (2, "b", True), (3, None, None)], "request_id long, fp string, dont_filter boolean")
+    for n in (3, 2):
+        frontier.save_checkpoint(r.where(f"request_id <= {n}"), r.where("fp = 'b'"), path)
+        pending, seen = frontier.load_checkpoint(spark, path)
+        assert pending.count() == n and {x[0] for x in seen.collect()} == {"a", "b"}
