@@ -259,7 +259,7 @@ def q_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def q_ledger_rows(spark: SparkSession, d: str) -> DataFrame:
     """A ledger document made of regions and nations, read as rows."""
-    n = table(spark, d, "nation")
+    n = table(spark, d, "nation").where("n_regionkey is not null and n_name is not null").dropDuplicates(["n_regionkey", "n_name"])
     subs = n.groupBy("n_regionkey").agg(F.map_from_entries(F.collect_list(F.struct(F.col("n_name"), F.struct(F.array(F.create_map(F.lit("id"), F.col("n_nationkey").cast("string"))).alias("items"))))).alias("subphases"))
     doc = subs.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(F.col("n_regionkey").cast("string"), F.struct("subphases")))).alias("phases"))).alias("text"))
     return ledger.ledger_rows(doc).select("phase", "subphase", "pos", F.col("item")["id"].alias("id"))
