@@ -39,7 +39,7 @@ def violations(items: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return items.withColumn("violations", found).where(F.size("violations") > 0)
 
 
-#: Columns that a handed-over item has filled (texts) or not empty (lists).
+#: Columns (fixed names) that a handed-over item has filled (texts) or not empty (lists).
 HANDOFF_TEXTS, HANDOFF_LISTS = ("contract", "slice_size", "execution_owner"), ("source_refs", "ready_when", "write_scope", "acceptance", "done_signal")
 
 

@@ -28,7 +28,11 @@ class Field:
     html_to_text: bool = False
 
 
+# Texts of errors.
 NO_MATCH = "selector matched no values"
+NO_ELEMENTS = "css_selector matched no elements"
+NO_CONTENT = "empty extracted content"
+HTTP_ERROR = "HTTP "
 SCHEMA = "page_id long, name string, type string, selector string, value string, values array<string>, error string"
 
 
@@ -82,11 +86,11 @@ def static_extract(pages: DataFrame, selector: str = "") -> DataFrame:
         except css.InvalidSelector:
             found = []
         if chosen and not found:
-            yield i, title, "", "css_selector matched no elements"
+            yield i, title, "", NO_ELEMENTS
             return
         text = "\n".join(t for t in (tree.full_text(n) if v is None else v for n, v in found) if t).strip()
         content = text or "\n".join(tree.outer_html(n) if v is None else v for n, v in found).strip()
-        yield i, title, content, "" if content else "empty extracted content"
+        yield i, title, content, "" if content else NO_CONTENT
 
     got = per_page(pages, "page_id long, title string, content string, error string", rows)
     if "status" not in pages.columns:
@@ -94,7 +98,7 @@ def static_extract(pages: DataFrame, selector: str = "") -> DataFrame:
     bad = ~F.coalesce(F.col("status").between(200, 299), F.lit(False))
     out = got.join(pages.select("page_id", "status"), "page_id")
     return out.select(
-        "page_id", "title", F.when(bad, "").otherwise(F.col("content")).alias("content"), F.when(bad, F.concat(F.lit("HTTP "), F.coalesce(F.col("status").cast("string"), F.lit("0")))).otherwise(F.col("error")).alias("error")
+        "page_id", "title", F.when(bad, "").otherwise(F.col("content")).alias("content"), F.when(bad, F.concat(F.lit(HTTP_ERROR), F.coalesce(F.col("status").cast("string"), F.lit("0")))).otherwise(F.col("error")).alias("error")
     )
 
 

@@ -179,33 +179,43 @@ def literal_check(requests: DataFrame, policies: DataFrame, agent: str = "") ->
     return out.withColumn("allowed", judge("url", "__robots")).drop("__robots")
 
 
+# Reasons of decisions.
+NO_HOST = "target URL must include scheme and host"
+NO_FILE = "robots.txt unavailable"
+EMPTY_FILE = "empty robots.txt"
+NOT_A_FILE = "not a usable robots.txt"
+NO_GROUP = "no matching robots rules"
+NO_RULE = "robots group has no matching path rule"
+BY_RULE = "by robots rule"
+
+
 def strict_decision(status: int | None, body: str | None, url: str | None, token: str) -> tuple[bool, str, float]:
     """(allowed, reason, delay) of a check that refuses where it can't know: without a file, with another
     status than 200, with an empty file or a page of markup."""
     u = urls.parse_url(url)
     if u is None or not u.scheme or not u.host:
-        return False, "target URL must include scheme and host", 0.0
+        return False, NO_HOST, 0.0
     if status != 200:
-        return False, "robots.txt unavailable" + ("" if status is None else f": status {status}"), 0.0
+        return False, NO_FILE + ("" if status is None else f": status {status}"), 0.0
     text = (body or "").strip()
     head = text[:256].lower()
     if not text:
-        return False, "empty robots.txt", 0.0
+        return False, EMPTY_FILE, 0.0
     if head.startswith(("<!doctype html", "<html")) or "<title>" in head:
-        return False, "not a usable robots.txt", 0.0
+        return False, NOT_A_FILE, 0.0
     found = groups(re.sub(r"\n\s*(?=\n)", "", "\n" + body) if body else body)  # blank lines end nothing here
     name = token.lower()
     own = [g for g in found if any(a and a != "*" and a in name for a in g["agents"])]
     scope = "specific" if own else "wildcard"
     own = own or [g for g in found if "*" in g["agents"]]
     if not own:
-        return True, "no matching robots rules", 0.0
+        return True, NO_GROUP, 0.0
     delay = max(g["delay"] for g in own)
     fits = [(len(p), allow, p) for g in own for p, allow in g["rules"] if strict_match(p, _path(url))]
     if not fits:
-        return True, f"{scope} robots group has no matching path rule", delay
+        return True, f"{scope} {NO_RULE}", delay
     best = max(fits, key=lambda x: x[:2])
-    return best[1], ("allowed" if best[1] else "disallowed") + " by robots rule " + best[2], delay
+    return best[1], f"{'allowed' if best[1] else 'disallowed'} {BY_RULE} {best[2]}", delay
 
 
 def strict_match(pattern: str, path: str) -> bool:

@@ -344,3 +344,16 @@ def test_checkpoints_replace_each_other(spark, tmp_path):
         frontier.save_checkpoint(r.where(f"request_id <= {n}"), r.where("fp = 'b'"), path)
         pending, seen = frontier.load_checkpoint(spark, path)
         assert pending.count() == n and {x[0] for x in seen.collect()} == {"a", "b"}
+
+
+def test_the_stream_lets_the_first_request_of_a_key_through(spark, tmp_path):
+    from pagewright.streaming import frontier as streaming
+
+    schema = "request_id long, url string, method string, sid string, body string, dont_filter boolean"
+    source, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    batches = [[(5, "http://a.test/", False), (3, "http://a.test/", None), (4, "http://b.test/", True)], [(1, "http://a.test/", False), (6, "http://b.test/", False), (7, None, False), (8, "http://b.test/", True)]]
+    for rows in batches:
+        spark.createDataFrame([(i, u, "GET", None, None, f) for i, u, f in rows], schema).coalesce(1).write.mode("append").parquet(source)
+        streaming.run(streaming.request_stream(spark, source, spark.createDataFrame([], schema).schema), target, state).awaitTermination()
+    got = {r["request_id"] for r in spark.read.parquet(target).collect()}
+    assert got - {7} == {3, 4, 6, 8} and spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != streaming.ROCKSDB
