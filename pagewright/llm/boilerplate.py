@@ -99,18 +99,25 @@ def stripped(line: str) -> str:
     return out.strip(" *_'`\t")
 
 
-def normal(text: str, site: str) -> str:
-    out = " ".join(text.lower().split())
-    if "19" in out or "20" in out:
-        out = _YEAR.sub("\x02", out)
-    return out.replace(site, "\x01") if site else out
+def folded(text: str) -> str:
+    return " ".join(text.lower().split())
+
+
+def marked(text: str, site: str) -> str:
+    """A folded text with years and the site's name as marks."""
+    if "19" in text or "20" in text:
+        text = _YEAR.sub("\x02", text)
+    return text.replace(site, "\x01") if site else text
 
 
 def guarded(lines: list[str]) -> list[bool]:
     """Which lines are code, tables or formulas."""
     out, until = [], None
-    for line in lines:
-        if until is None and not _SIGNS.search(line):  # most lines of prose
+    signs = [_SIGNS.search(x) is not None for x in lines]
+    if not any(signs):  # most pages
+        return [x.startswith(("    ", "\t")) and not _LEAD.match(x) for x in lines]
+    for line, sign in zip(lines, signs, strict=True):
+        if until is None and not sign:
             out.append(False)
             continue
         if until is not None:
@@ -133,7 +140,7 @@ def guarded(lines: list[str]) -> list[bool]:
                 until = lambda x, e=end: e in x or e in x.lower()
             continue
         out.append(False)
-    return [g or x.startswith(("    ", "\t")) and not _LEAD.match(x) or bool(_SIGNS.search(x)) and _code(x) for g, x in zip(out, lines, strict=True)]
+    return [g or x.startswith(("    ", "\t")) and not _LEAD.match(x) or sign and _code(x) for g, x, sign in zip(out, lines, signs, strict=True)]
 
 
 def _code(line: str) -> bool:
@@ -162,17 +169,21 @@ def parts_of(line: str) -> list[str]:
 def tokens_of(line: str, site: str) -> list[tuple[int, str, int]]:
     """(role, token, words) of a line: 0 for the line, odd roles for parts, even ones for sentences."""
     core = stripped(line)
-    words = len(_WORD.findall(core))
-    if not words:
-        return []
-    out = [(0, normal(core, site), words)]
+    low = folded(core)
     parts = parts_of(line)
     if parts:
-        out += [(2 * i + 1, normal(p, site), len(_WORD.findall(p))) for i, p in enumerate(parts)]
-    else:
-        sentences = _SENTENCES.split(core)
+        out = [(0, low, len(_WORD.findall(core)))]
+        out += [(2 * i + 1, folded(p), len(_WORD.findall(p))) for i, p in enumerate(parts)]
+    else:  # sentences of the folded text, so each word is looked at once
+        sentences = _SENTENCES.split(low)
+        sizes = [len(_WORD.findall(s)) for s in sentences]
+        out = [(0, low, sum(sizes))]
         if len(sentences) > 1:
-            out += [(2 * i + 2, normal(s, site), len(_WORD.findall(s))) for i, s in enumerate(sentences)]
+            out += [(2 * i + 2, s, n) for i, (s, n) in enumerate(zip(sentences, sizes, strict=True))]
+    if not out[0][2]:
+        return []
+    if site and site in low or "19" in low or "20" in low:
+        out = [(role, marked(text, site), n) for role, text, n in out]
     return [t for t in out if t[1] and t[2]]
 
 
