@@ -49,9 +49,10 @@ def release() -> None:
     while _made:
         spark, path = _made.pop()
         with contextlib.suppress(Exception):  # the JVM may be gone
-            jvm = spark.sparkContext._jvm
+            jvm, own = spark.sparkContext._jvm, spark.sparkContext._jsc
             target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            conf = own.hadoopConfiguration() if own else jvm.org.apache.hadoop.conf.Configuration()  # a stopped session has none
+            target.getFileSystem(conf).delete(target, True)
 
 
 atexit.register(release)
@@ -71,8 +72,8 @@ def spread(df: DataFrame) -> DataFrame:
     the bytes of a scan task; larger inputs, and those in as many files as cores, stay where they are."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
     unit = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b") or "128m"))
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if cores > 1 and size < cores * unit else df
+    if cores == 1 or size >= cores * unit or len(df.inputFiles()) >= cores:  # files are only listed for small inputs
+        return df
+    return df.repartition(cores)

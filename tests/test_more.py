@@ -357,3 +357,32 @@ def test_the_stream_lets_the_first_request_of_a_key_through(spark, tmp_path):
         streaming.run(streaming.request_stream(spark, source, spark.createDataFrame([], schema).schema), target, state).awaitTermination()
     got = {r["request_id"] for r in spark.read.parquet(target).collect()}
     assert got - {7} == {3, 4, 6, 8} and spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != streaming.ROCKSDB
+
+
+def test_shared_folder(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    from pagewright import session
+
+    fake = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d, set=lambda k, v: None), sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda k, d=None: d)))
+    with pytest.raises(ValueError):
+        session.shared_dir(fake("spark://h:7077"))
+    assert session.shared_dir(fake("local[2]")).startswith("file://")
+    monkeypatch.setattr(session, "_made", [])
+    df = session.materialize(spark.range(5).toDF("i"), "t")
+    path = session._made[0][1]
+    assert df.count() == 5
+    session.release()
+    assert not session._made and not spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
+
+
+def test_small_inputs_are_spread(spark, tmp_path):
+    from pagewright.session import spread
+
+    path = str(tmp_path / "p")
+    spark.range(100).coalesce(1).write.parquet(path)
+    assert spread(spark.read.parquet(path)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = str(tmp_path / "q")
+    spark.range(100).repartition(8).write.parquet(many)
+    plan = spread(spark.read.parquet(many))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan
