@@ -244,3 +244,14 @@ _GRAMS = r"""(select {id}, i, string_agg(word, ' ') over (partition by {id} orde
 from (select {id}, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) word, generate_subscripts(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), 1) i from {tbl}))"""
 SQL = {"p9_found": f"select distinct d.doc_id, b.item_id from {_GRAMS.format(id='doc_id', tbl='documents')} d join {_GRAMS.format(id='item_id', tbl='benchmark')} b on d.g = b.g where d.n = 12 and b.n = 12"}
 SQL["p9_items"] = f"select b.item_id, count(f.doc_id)::bigint n_docs from benchmark b left join ({SQL['p9_found']}) f on f.item_id = b.item_id group by b.item_id"
+# Windows that share an unbroken block of four words at most two places apart, and their edit distance: each
+# pair's words are written as letters of their own, so the distance of texts is that of word lists.
+_NEAR = r"""
+with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from documents), b as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from benchmark),
+dg as (select doc_id, w, j, array_to_string(w[j:j + 3], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 2)) j from d)),
+ig as (select item_id, w, f, k, array_to_string(w[f + 4 * k:f + 4 * k + 3], ' ') g from (select item_id, w, unnest(range(1, len(w) - 10)) f from b), (select unnest([0, 1, 2]) k)),
+c as (select distinct doc_id, item_id, dg.w[j - 4 * k - m:j - 4 * k - m + 11] x, ig.w[f:f + 11] y from dg join ig using (g), (select unnest(range(-2, 3)) m) where j - 4 * k - m >= 1 and j - 4 * k - m + 11 <= len(dg.w)),
+p as (select *, list_distinct(list_concat(x, y)) v from c),
+l as (select doc_id, item_id, levenshtein(array_to_string(list_transform(x, lambda a: chr(64 + list_position(v, a)::int)), ''), array_to_string(list_transform(y, lambda a: chr(64 + list_position(v, a)::int)), '')) e from p)
+select doc_id, item_id, min(e)::int edits from l where e <= 2 group by doc_id, item_id"""
+SQL["p9_near"] = _NEAR

@@ -315,7 +315,7 @@ def test_residue_has_no_length_bounds(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
-@pytest.mark.parametrize("name", ["p1_found", "p3_found", "p9_found", "p10_found", "p10_shares"])
+@pytest.mark.parametrize("name", ["p1_found", "p1_classes", "p3_found", "p3_wrong", "p8_roundtrip", "p9_found", "p9_items", "p9_near", "p10_found", "p10_shares", "p10_cutoffs", "p10_rejected"])
 def test_against_sql(spark, name):
     import duckdb
 
